@@ -2,8 +2,9 @@
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .near_dedup import OP2_SQL, op2_near_dedup
 from .pieces import op7_sentencepiece
 from .token_files import op1_token_file
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op7_sentencepiece, op8_decontaminate, op10_exact_dedup)}
-ORACLES = {"op8_decontaminate": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_near_dedup, op7_sentencepiece, op8_decontaminate, op10_exact_dedup)}
+ORACLES = {"op2_near_dedup": OP2_SQL, "op8_decontaminate": OP8_SQL, "op10_exact_dedup": OP10_SQL}
