@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,12 @@ def open_shard(blob: bytes) -> tuple[EliasFano, np.ndarray]:
     return bounds, np.frombuffer(blob, f"<u{width}", offset=5 + used)
 
 
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process: its tables serve all of the process's tasks."""
+    return WordTokenizer(path)
+
+
 class WordTokenizer:
     """Ids of a text with a tokenizer that never joins across ASCII white space and drops it."""
 
@@ -112,8 +119,8 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.parts = ChunkTable(self._encode, 200_000)
-        self.words = ChunkTable(self._words, 250_000)
+        self.parts = ChunkTable(self._encode, 400_000, 40)
+        self.words = ChunkTable(self._words, 120_000, 40)
 
     def _encode(self, parts: list[bytes]) -> list[bytes]:
         batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
@@ -160,7 +167,7 @@ _SHARDS_SQL = "part int, seq int, before bigint, n_docs bigint, n_tokens bigint,
 
 def _encode_part(tokenizer: str, end_id: int, shard_tokens: int, shard_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer)
+        tok = word_tokenizer(tokenizer)
         end = int(end_id).to_bytes(tok.width, "little")
         part, seq, before, tokens = TaskContext.get().partitionId(), 0, 0, 0
         ids: list[bytes] = []
