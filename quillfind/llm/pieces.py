@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,12 @@ MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 
 
+@lru_cache(maxsize=2)
+def chunk_codec(model: str) -> ChunkCodec:
+    """One for each worker process: its table serves all of the process's tasks."""
+    return ChunkCodec(model)
+
+
 class ChunkCodec:
     """encode and decode of whole texts, equal to the library's without begin and end ids."""
 
@@ -63,7 +70,7 @@ class ChunkCodec:
 
 def _code(model: str, digest: bool, most: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = ChunkCodec(model)
+        codec = chunk_codec(model)
 
         def out(doc_ids: list, texts: list[str]) -> pa.RecordBatch:
             n, ids, decoded = zip(*codec.run(texts))
