@@ -27,6 +27,8 @@ from .common import GOLDEN, MIX1, materialize, mix64, read_table, release
 from .segments import pack, unpack, unzip, with_rows, zip_bytes
 
 SPAN, GRAM = 50, 20
+#: Text bytes for each hash range, snippet bytes that are matched at once, and strings that one index sorts.
+RANGE_BYTES, LOT_BYTES, INDEX_STRINGS = 16 << 20, 4 << 20, 300_000
 #: A missing doc_id ranks after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -200,21 +202,50 @@ def run_index(texts_: list[bytes], counts: np.ndarray, owners: np.ndarray, span:
     return text, least
 
 
+def _index_hits(texts_: list[bytes], size: np.ndarray, owners: np.ndarray, name: np.ndarray, spans: dict[int, list]) -> None:
+    """Add to spans, by name, the first and last string of each run of strings that a smaller document has."""
+    text, least = run_index(texts_, size, owners)
+    hit = least < owners[text]
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    first_of_text = place == 0
+    begin = np.flatnonzero(hit & (np.r_[True, ~hit[:-1]] | first_of_text))
+    end = np.flatnonzero(hit & (np.r_[~hit[1:], True] | np.r_[first_of_text[1:], True]))
+    for b, e in zip(begin.tolist(), end.tolist()):
+        spans.setdefault(int(name[text[b]]), []).append((int(place[b]), int(place[e])))
+
+
 def _match(g: pd.DataFrame) -> pd.DataFrame:
-    """The snippets of a range -> for each segment the covered byte ranges of its documents."""
-    names: dict[tuple[int, bytes], int] = {}
+    """The snippets of a range -> for each segment the covered byte ranges of its documents.
+
+    Anchors are independent, so those of a range are taken in several lots, each of about LOT_BYTES.
+    """
+    lots = max(1, int(g["size"].sum()) // LOT_BYTES)
+    return pd.concat([_match_lot(g, lot, lots) for lot in range(lots)], ignore_index=True)
+
+
+def _match_lot(g: pd.DataFrame, lot: int, lots: int) -> pd.DataFrame:
+    names: dict[bytes, int] = {}
+    keys: list[int] = []
     name, docs, ids, firsts, counts, seg = [], [], [], [], [], []
     for r in g.itertuples(index=False):
-        data, at = unzip(r.data, r.size), 0
         n = np.frombuffer(unzip(r.counts, 4 * r.n), "<u4").astype(np.int64)
-        for k, m in zip(_from_six(r.keys).tolist(), (n + SPAN - 1).tolist()):
-            name.append(names.setdefault((k, data[at : at + m]), len(names)))
-            at += m
-        docs.append(np.frombuffer(unzip(r.docs, 4 * r.n), "<u4").astype(np.int64))
-        ids.append(np.frombuffer(unzip(r.ids, 8 * r.n), "<i8"))
-        firsts.append(np.frombuffer(unzip(r.firsts, 4 * r.n), "<u4").astype(np.int64))
-        counts.append(n)
-        seg.append(np.full(r.n, r.seg))
+        key, ends = _from_six(r.keys), np.cumsum(n + SPAN - 1)
+        own = np.flatnonzero(key % np.uint64(lots) == lot)
+        if not len(own):
+            continue
+        data = unzip(r.data, r.size)
+        for k, lo, hi in zip(key[own].tolist(), (ends - (n + SPAN - 1))[own].tolist(), ends[own].tolist()):
+            i = names.setdefault(data[lo:hi], len(names))
+            if i == len(keys):
+                keys.append(k)
+            name.append(i)
+        docs.append(np.frombuffer(unzip(r.docs, 4 * r.n), "<u4").astype(np.int64)[own])
+        ids.append(np.frombuffer(unzip(r.ids, 8 * r.n), "<i8")[own])
+        firsts.append(np.frombuffer(unzip(r.firsts, 4 * r.n), "<u4").astype(np.int64)[own])
+        counts.append(n[own])
+        seg.append(np.full(len(own), r.seg))
+    if not name:
+        return pd.DataFrame({"seg": pd.Series([], dtype="int64"), "spans": pd.Series([], dtype=object)})
     docs, ids, firsts, counts, seg = map(np.concatenate, (docs, ids, firsts, counts, seg))
     name = np.array(name)
     owners = np.full(len(names), NO_ID, np.int64)
@@ -222,22 +253,20 @@ def _match(g: pd.DataFrame) -> pd.DataFrame:
     # Copies of a snippet in a later document match throughout; its owner's strings go through the index.
     whole = np.flatnonzero(ids > owners[name])
     parts = [(seg[whole], docs[whole], firsts[whole], firsts[whole] + counts[whole] - 1 + SPAN)]
-    keys = np.fromiter((k for k, _ in names), np.uint64, len(names))
-    _, of, n = np.unique(keys, return_inverse=True, return_counts=True)
+    _, of, n = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
     contested = np.flatnonzero(n[of] > 1)
     if len(contested):
         listed = list(names)
-        size = np.array([len(listed[i][1]) - SPAN + 1 for i in contested.tolist()], np.int64)
-        text, least = run_index([listed[i][1] for i in contested.tolist()], size, owners[contested])
-        hit = least < owners[contested][text]
-        place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-        # runs of hits, cut where texts meet
-        first_of_text = place == 0
-        begin = np.flatnonzero(hit & (np.r_[True, ~hit[:-1]] | first_of_text))
-        end = np.flatnonzero(hit & (np.r_[~hit[1:], True] | np.r_[first_of_text[1:], True]))
-        spans = {}
-        for b, e in zip(begin.tolist(), end.tolist()):
-            spans.setdefault(int(contested[text[b]]), []).append((int(place[b]), int(place[e])))
+        contested = contested[np.argsort(of[contested], kind="stable")]
+        size = np.array([len(listed[i]) - SPAN + 1 for i in contested.tolist()], np.int64)
+        spans: dict[int, list] = {}
+        # Anchors are independent: some whole ones at a time bound the index's memory.
+        step, group = np.cumsum(size) // INDEX_STRINGS, of[contested]
+        heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        cuts = heads[np.r_[True, np.diff(step[heads]) > 0]].tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(contested)]):
+            some = contested[lo:hi]
+            _index_hits([listed[i] for i in some.tolist()], size[lo:hi], owners[some], some, spans)
         own = np.flatnonzero(ids == owners[name])
         rows = [(i, lo, hi) for i in own.tolist() for lo, hi in spans.get(int(name[i]), ())]
         if rows:
@@ -304,14 +333,20 @@ def unzip_all(data: bytes) -> bytes:
     return pa.CompressedInputStream(pa.BufferReader(bytes(data)), "zstd").read()
 
 
+def ranges(packed: DataFrame) -> int:
+    """How many hash ranges: one for RANGE_BYTES of text, and no fewer than there are shuffle partitions."""
+    total = packed.agg(F.sum("n_bytes")).head()[0] or 0
+    return max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+
+
 def remove_long_repeats(documents: DataFrame, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept (the bytes left) or kept_sha256.
 
     Null texts are empty. A null doc_id ranks after all others. Rows that repeat a doc_id do not
     remove from each other. Texts shorter than SPAN bytes keep all bytes.
     """
-    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = pack(documents)
+    n = ranges(packed)
     told = packed.select("seg", "sizes", "n_bytes", "pack").mapInPandas(_announce(n), "range int, seg bigint, shared boolean, keys binary")
     shared = materialize(told.groupBy("range").applyInPandas(_meet, "seg bigint, keys binary"), "anchors", "none")
     snippets = with_rows(packed, shared, "keys").mapInPandas(_snippets(n), _SNIPPETS)
