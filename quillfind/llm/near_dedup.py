@@ -36,12 +36,15 @@ REGISTERS = BANDS * ROWS
 SIMILAR = 75
 #: A candidate whose most likely similarity is below this, six deviations off, is not verified.
 HOPELESS = 0.45
+#: Registers of the sketches that compare members of different components, four deviations below
+#: the threshold for them, and how many best candidates go first for each member and component.
+FINE, FINE_HOPELESS, BEST = 512, 0.67, 3
 #: Members of a band's group that one task compares.
 GROUP_BLOCK = 2048
 
-_SEEDS = mix64(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64))
-_XOR = (_SEEDS[:REGISTERS] >> np.uint64(32)).astype(np.uint32)
-_MUL = (_SEEDS[REGISTERS:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SEEDS = mix64(np.arange(1, 2 * FINE + 1, dtype=np.uint64))
+_XOR = (_SEEDS[:FINE] >> np.uint64(32)).astype(np.uint32)
+_MUL = (_SEEDS[FINE:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: bytes, known: WordHashes) -> np.ndarray:
@@ -52,13 +55,13 @@ def shingle_set(text: bytes, known: WordHashes) -> np.ndarray:
     return np.unique(shingles(h, min(SHINGLE, len(h))))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """SetSketch registers of a non-empty set."""
+def sketch(s: np.ndarray, n: int = REGISTERS) -> np.ndarray:
+    """n SetSketch registers of a non-empty set."""
     x = (s >> np.uint64(32)).astype(np.uint32)
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    least = np.full(n, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 1024):
-        v = x[i : i + 1024, None] ^ _XOR
-        v *= _MUL
+        v = x[i : i + 1024, None] ^ _XOR[:n]
+        v *= _MUL[:n]
         np.minimum(least, v.min(axis=0), out=least)
     value = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, 65535).astype("<u2")
@@ -82,16 +85,16 @@ def likely_similarity(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n_a
     return np.take_along_axis(j, like.argmax(axis=1)[:, None], 1)[:, 0]
 
 
-def promising(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Of each row's two sketches: may the sets be linked?"""
+def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Of each row's two sketches the likely similarity; -1 where the sizes alone rule a link out."""
     n_a, n_b = n_a.astype(np.float64), n_b.astype(np.float64)
-    ok = 100 * np.minimum(n_a, n_b) >= SIMILAR * np.maximum(n_a, n_b)
-    at = np.flatnonzero(ok)
+    out = np.full(len(n_b), -1.0)
+    at = np.flatnonzero(100 * np.minimum(n_a, n_b) >= SIMILAR * np.maximum(n_a, n_b))
     if len(at):
         x, y = a[at], b[at]
         more, equal = (x > y).sum(axis=1), (x == y).sum(axis=1)
-        ok[at] = likely_similarity(more, REGISTERS - more - equal, equal, n_a[at], n_b[at]) >= HOPELESS
-    return ok
+        out[at] = likely_similarity(more, a.shape[1] - more - equal, equal, n_a[at], n_b[at])
+    return out
 
 
 _SIGNS_SQL = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary"
@@ -121,14 +124,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _regs(col: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(col), "<u2").reshape(-1, REGISTERS)
+def _regs(col: pd.Series, n: int = REGISTERS) -> np.ndarray:
+    return np.frombuffer(b"".join(col), "<u2").reshape(-1, n)
 
 
 def _promising(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=bool)
-    return pd.Series(promising(_regs(a), _regs(b), n_a.to_numpy(), n_b.to_numpy()))
+    return pd.Series(estimates(_regs(a), _regs(b), n_a.to_numpy(), n_b.to_numpy()) >= HOPELESS)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,23 +159,45 @@ def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return materialize(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"), "links")
 
 
-def _across(key: tuple, g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Promising pairs of a group's blocks between different components."""
-    _, lo, hi = key
-    regs, n, comp, rep = _regs(g["sketch"]), g["n"].to_numpy(), g["comp"].to_numpy(), g["rep"].to_numpy()
-    side = g["block"].to_numpy()
-    values, counts = np.unique(comp, return_counts=True)
-    rest = np.flatnonzero(comp != values[counts.argmax()])  # each pair across has at least one outside the largest
-    for i in rest.tolist():
-        other = comp != comp[i]
-        if lo != hi:
-            other &= side != side[i]
-        other &= ~np.isin(np.arange(len(g)), rest[rest <= i])
-        at = np.flatnonzero(other)
-        if len(at):
-            ok = at[promising(np.broadcast_to(regs[i], (len(at), REGISTERS)), regs[at], np.full(len(at), n[i]), n[at])]
-            if len(ok):
-                yield pd.DataFrame({"a": np.minimum(rep[i], rep[ok]), "b": np.maximum(rep[i], rep[ok])})
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep and text -> rep, size and fine sketch."""
+    known = WordHashes()
+    for b in batches:
+        sets = [shingle_set(t.as_py(), known) for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, FINE).tobytes() for s in sets])], names=["rep", "n", "sketch"])
+
+
+def _across(best: int | None):
+    """Of a group's blocks the promising pairs between different components: all, or the best for each member and component."""
+
+    def each(key: tuple, g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        _, lo, hi = key
+        regs, n, comp, rep = _regs(g["sketch"], FINE), g["n"].to_numpy(), g["comp"].to_numpy(), g["rep"].to_numpy()
+        side = g["block"].to_numpy()
+        values, counts = np.unique(comp, return_counts=True)
+        rest = np.flatnonzero(comp != values[counts.argmax()])  # each pair across has one outside the largest, at least
+        left = np.ones(len(g), bool)
+        for i in rest.tolist():
+            left[i] = best is not None  # the best are sought among all, else each pair comes once
+            other = (comp != comp[i]) & left
+            if lo != hi:
+                other &= side != side[i]
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            like = estimates(np.broadcast_to(regs[i], (len(at), FINE)), regs[at], np.full(len(at), n[i]), n[at])
+            ok = like >= FINE_HOPELESS
+            at, like = at[ok], like[ok]
+            if best is not None and len(at):
+                by = np.lexsort((-like, comp[at]))
+                at = at[by]
+                new = np.r_[True, comp[at][1:] != comp[at][:-1]]
+                place = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+                at = at[place < best]
+            if len(at):
+                yield pd.DataFrame({"a": np.minimum(rep[i], rep[at]), "b": np.maximum(rep[i], rep[at])})
+
+    return each
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -197,24 +222,31 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     side = reps.where("sketch IS NOT NULL").select("rep", "n", "sketch")
     stars = stars.join(side.toDF("b", "n_b", "s_b"), "b").join(side.toDF("a", "n_a", "s_a"), "a")
     may_link = F.pandas_udf(_promising, BooleanType())
-    stars = stars.where(may_link("s_a", "s_b", "n_a", "n_b")).select("a", "b")
-    links = _linked(stars, full)
+    tested = materialize(stars.where(may_link("s_a", "s_b", "n_a", "n_b")).select("a", "b"), "pairs")
+    links = _linked(tested, full)
     labels = connected_components(links)
 
-    # Groups that still hold several components, in blocks of bounded size.
-    told = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = told.groupBy("band").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band")
-    told = materialize(told.join(mixed, "band"), "mixed")
-    if not told.isEmpty():
+    # Groups that still hold several components: first each member's best candidates, then all that are left.
+    fine = None
+    for best in (BEST, None):
+        told = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        mixed = told.groupBy("band").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band")
+        told = materialize(told.join(mixed, "band"), "mixed")
+        if told.isEmpty():
+            break
+        if fine is None:
+            some = full.join(told.select("rep").distinct(), "rep", "left_semi")
+            fine = materialize(some.select("rep", "text").mapInArrow(_fine, "rep bigint, n bigint, sketch binary"), "fine")
         n_blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
-        dealt = told.join(side, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
+        dealt = told.join(fine, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "n", "sketch")
-        more = keyed_stream(dealt, ["band", "lo", "hi"], ["rep"], _across, "a bigint, b bigint").distinct()
-        links2 = _linked(more, full)
-        labels = connected_components(links.unionByName(links2))
-        release(links2)
-    release(full, leaders, members, told, links)
+        more = keyed_stream(dealt, ["band", "lo", "hi"], ["rep"], _across(best), "a bigint, b bigint").distinct()
+        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = _linked(more, full)
+        links, tested = links.unionByName(found), tested.unionByName(more)
+        if not found.isEmpty():
+            labels = connected_components(links)
 
     named = materialize(reps.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp")), "named")
     out = signs.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
