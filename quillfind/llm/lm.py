@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import GOLDEN, WordHashes, lower_words, materialize, mix64, read_table, texts
 from .quality import remainder
 
-SEGMENT_TOKENS = 3 << 20
+SEGMENT_TOKENS = 3 << 19
 LOG_BASE, BITS, PROBES = 1.5, 12, 4
 MAX_FILTER, MAX_TABLE = 192 << 20, 96 << 20
 #: Weight of the token's own probability against the history's count.
@@ -56,7 +56,7 @@ def _range(keys: np.ndarray, n: int) -> np.ndarray:
 
 def _count(n_ranges: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known = WordHashes(150_000)
 
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
             tokens = np.concatenate(held)
@@ -191,10 +191,10 @@ class Counts:
         return np.where(self.keys[at] == tokens, self.counts[at], 0)
 
 
-def _score(shared, total: int, types: int, keyed: bool, most: int = 6 << 20):
+def _score(shared, total: int, types: int, keyed: bool, most: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, slices = shared.value
-        table, known = Counts(np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")), WordHashes()
+        table, known = Counts(np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")), WordHashes(150_000)
         bloom = Filter(slices) if slices is not None else None
 
         def out(doc_ids: list, held: list[bytes]) -> pa.RecordBatch:
