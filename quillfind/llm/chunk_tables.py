@@ -20,21 +20,21 @@ class ChunkTable:
 
     def load(self, chunks: set) -> dict[Any, Any]:
         """A mapping that holds every one of chunks."""
-        missing = [c for c in chunks if c not in self.young]
+        missing = chunks.difference(self.young)
         if missing:
             if len(self.young) + len(missing) > self.limit:
                 self.old, self.young = self.young, {}
-                missing = list(chunks)
-            fresh = []
-            for c in missing:
-                v = self.old.get(c)
-                if v is None:
-                    fresh.append(c)
-                else:
-                    self.young[c] = v
-            long = {}
-            for c, v in zip(fresh, self.compute(fresh)) if fresh else ():
-                (self.young if len(c) <= self.longest else long)[c] = v
+                missing = chunks
+            if self.old:
+                again = missing & self.old.keys()
+                self.young.update((c, self.old[c]) for c in again)
+                missing = missing - again
+            fresh = list(missing)
+            made = dict(zip(fresh, self.compute(fresh))) if fresh else {}
+            long = [c for c in fresh if len(c) > self.longest]
             if long:
-                return {c: self.young[c] if c in self.young else long[c] for c in chunks}
+                some = {c: made.pop(c) for c in long}
+                self.young.update(made)
+                return {**{c: self.young[c] for c in chunks if c not in some}, **some}
+            self.young.update(made)
         return self.young

@@ -12,6 +12,7 @@ anything. A shard is bounded in bytes, and the driver sees one number for each p
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -109,7 +110,8 @@ def word_tokenizer(path: str) -> WordTokenizer:
 class WordTokenizer:
     """Ids of a text with a tokenizer that never joins across ASCII white space and drops it."""
 
-    _TAIL = b".,!?*#$%&;:"
+    #: After a plain letter the tokenizer starts anew at these marks, so words are cut there.
+    _CUT = re.compile(rb"(?<=[a-z])(?=[.,!?*#$%&;:|])")
 
     def __init__(self, path: str) -> None:
         import os
@@ -119,33 +121,21 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.parts = ChunkTable(self._encode, 400_000, 40)
-        self.words = ChunkTable(self._words, 120_000, 40)
+        self.words = ChunkTable(self._encode, 400_000, 40)
 
     def _encode(self, parts: list[bytes]) -> list[bytes]:
         batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         kind = f"<u{self.width}"
         return [np.array(e.ids, kind).tobytes() for e in batch([p.decode() for p in parts], add_special_tokens=False)]
 
-    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
-        """A word and its closing marks; after a plain letter the tokenizer starts anew there."""
-        if b"<|" in word:  # may hold a special token, whose case matters
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(self._TAIL)
-        if stem and len(stem) < len(word) and b"a" <= stem[-1:] <= b"z":
-            return stem, word[len(stem) :]
-        return word, b""
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        cut = [self._cut(w) for w in words]
-        known = self.parts.load({x for pair in cut for x in pair if x})
-        return [known[a] + (known[b] if b else b"") for a, b in cut]
+    def split(self, text: bytes) -> list[bytes]:
+        """Words that are encoded by themselves. A text that may hold special tokens keeps its case: it matters to them."""
+        return text.split() if b"<|" in text else self._CUT.sub(b" ", text.lower()).split()
 
     def ids(self, texts_: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts_]
+        split = [self.split(t) for t in texts_]
         known = self.words.load(set().union(*split))
-        return [b"".join([known[w] for w in words]) for words in split]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _batches(col: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
