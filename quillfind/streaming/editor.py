@@ -22,7 +22,11 @@ def debounce(events: DataFrame, gap: str | Column = "500 milliseconds", keys: li
 
 def debounce_stream(events: DataFrame, gap: str = "500 milliseconds", late: str = "10 seconds", keys: list[str] | None = None) -> DataFrame:
     """The same over a stream, for append mode: a run is emitted when the watermark has passed its end."""
-    return debounce(events.withWatermark("ts", late), gap, keys)
+    marked = events.withWatermark("ts", late)
+    if keys:
+        return debounce(marked, gap, keys)
+    # A stream's session window needs a key: without one there is a single timer.
+    return debounce(marked.withColumn("_timer", F.lit(0)), gap, ["_timer"]).drop("_timer")
 
 
 def cadence_gap(cadence: Column) -> Column:
