@@ -168,32 +168,37 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(best: int | None):
-    """Of a group's blocks the promising pairs between different components: all, or the best for each member and component."""
+    """Of a group's blocks the promising pairs between different components: all, or the best for each member and component.
+
+    A pair is looked at in the first band only that both share. Equal registers are counted first; the
+    likelihood is for those whose count is not six deviations short.
+    """
+    least = (FINE_HOPELESS - 6 * np.sqrt(FINE_HOPELESS * (1 - FINE_HOPELESS) / FINE)) * FINE
 
     def each(key: tuple, g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        _, lo, hi = key
+        band, lo, hi = key
         regs, n, comp, rep = _regs(g["sketch"], FINE), g["n"].to_numpy(), g["comp"].to_numpy(), g["rep"].to_numpy()
-        side = g["block"].to_numpy()
+        side, bands = g["block"].to_numpy(), np.stack(g["bands"].to_numpy())
         values, counts = np.unique(comp, return_counts=True)
         rest = np.flatnonzero(comp != values[counts.argmax()])  # each pair across has one outside the largest, at least
         left = np.ones(len(g), bool)
         for i in rest.tolist():
             left[i] = best is not None  # the best are sought among all, else each pair comes once
-            other = (comp != comp[i]) & left
+            other = (comp != comp[i]) & left & (100 * np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i]))
             if lo != hi:
                 other &= side != side[i]
             at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            like = estimates(np.broadcast_to(regs[i], (len(at), FINE)), regs[at], np.full(len(at), n[i]), n[at])
-            ok = like >= FINE_HOPELESS
-            at, like = at[ok], like[ok]
+            at = at[(bands[at] == bands[i]).argmax(axis=1) == int((bands[i] == band).argmax())]
+            equal = (regs[at] == regs[i]).sum(axis=1)
+            at, equal = at[equal >= least], equal[equal >= least]
             if best is not None and len(at):
-                by = np.lexsort((-like, comp[at]))
+                by = np.lexsort((-equal, comp[at]))
                 at = at[by]
                 new = np.r_[True, comp[at][1:] != comp[at][:-1]]
                 place = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
                 at = at[place < best]
+            if len(at):
+                at = at[estimates(np.broadcast_to(regs[i], (len(at), FINE)), regs[at], np.full(len(at), n[i]), n[at]) >= FINE_HOPELESS]
             if len(at):
                 yield pd.DataFrame({"a": np.minimum(rep[i], rep[at]), "b": np.maximum(rep[i], rep[at])})
 
@@ -236,11 +241,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             break
         if fine is None:
             some = full.join(told.select("rep").distinct(), "rep", "left_semi")
-            fine = materialize(some.select("rep", "text").mapInArrow(_fine, "rep bigint, n bigint, sketch binary"), "fine")
+            fine = some.select("rep", "text").mapInArrow(_fine, "rep bigint, n bigint, sketch binary")
+            fine = materialize(fine.join(reps.select("rep", "bands"), "rep"), "fine")
         n_blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
         dealt = told.join(fine, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "n", "sketch")
+        dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "n", "sketch", "bands")
         more = keyed_stream(dealt, ["band", "lo", "hi"], ["rep"], _across(best), "a bigint, b bigint").distinct()
         more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = _linked(more, full)
