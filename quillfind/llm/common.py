@@ -76,6 +76,21 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
+def trim() -> None:
+    """Give memory that a worker process no longer uses back to the system; workers live for many tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def keyed_stream(
     df: DataFrame,
     keys: list[str],

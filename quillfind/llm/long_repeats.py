@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX1, materialize, mix64, read_table, release
+from .common import GOLDEN, MIX1, materialize, mix64, read_table, release, trim
 from .segments import pack, unpack, unzip, with_rows, zip_bytes
 
 SPAN, GRAM = 50, 20
@@ -108,12 +108,15 @@ def _announce(n_ranges: int):
                     out += [(k, r.seg, shared, _six(some[lo:hi] << np.uint64(16))) for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if lo < hi]
                 if out:
                     yield pd.DataFrame(out, columns=["range", "seg", "shared", "keys"])
+                    del out, each, found, counts
+                trim()
 
     return run
 
 
 def _meet(g: pd.DataFrame) -> pd.DataFrame:
     """The anchors of a range -> for each segment those that more than one document has."""
+    trim()
     each = [_from_six(k) for k in g["keys"]]
     keys, row = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
     by = np.argsort(keys, kind="stable")
@@ -168,6 +171,8 @@ def _snippets(n_ranges: int):
                         cols = (_six(keys[at] << np.uint64(16)), zip_bytes(docs[at].astype("<u4").tobytes()), zip_bytes(ids[docs[at]].astype("<i8").tobytes()), zip_bytes(firsts[at].astype("<u4").tobytes()), zip_bytes(counts[at].astype("<u4").tobytes()))
                         out.append((k, r.seg, len(at), *cols, len(data), zip_bytes(data)))
                 yield pd.DataFrame(out, columns=["range", "seg", "n", "keys", "docs", "ids", "firsts", "counts", "size", "data"])
+                del out, texts_, key, doc, first, count
+                trim()
 
     return run
 
@@ -220,7 +225,11 @@ def _match(g: pd.DataFrame) -> pd.DataFrame:
     Anchors are independent, so those of a range are taken in several lots, each of about LOT_BYTES.
     """
     lots = max(1, int(g["size"].sum()) // LOT_BYTES)
-    return pd.concat([_match_lot(g, lot, lots) for lot in range(lots)], ignore_index=True)
+    found = []
+    for lot in range(lots):
+        found.append(_match_lot(g, lot, lots))
+        trim()
+    return pd.concat(found, ignore_index=True)
 
 
 def _match_lot(g: pd.DataFrame, lot: int, lots: int) -> pd.DataFrame:
