@@ -49,9 +49,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that operator 8 calls contaminated: windows of two benchmark items or more occur."""
-    found = contamination(docs, read_table(spark, sf_dir, "benchmark"), min_items=2)
-    return _only(docs, found, ~F.col("contaminated"))
+    """Drop the documents in which a window of any benchmark item occurs (operator 8's n_hit), named or not."""
+    found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return _only(docs, found, F.col("n_hit") == 0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,11 @@ def test_repeated_rows_are_kept_as_often_as_decided(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b")], "doc_id bigint, text string")
     out = corpus_pipeline.exact_dedup(spark, docs, "")
     assert sorted(out.collect(), key=str) == sorted([(1, "a"), (None, "b")], key=str)
+
+
+def test_decontaminate_drops_a_document_with_one_item(spark, tmp_path):
+    item = " ".join(f"b{i}" for i in range(12))
+    spark.createDataFrame([(0, item), (None, item.upper()[::-1])], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, f"before {item} after"), (2, "clean words only"), (3, " ".join(item.split()[:7])), (4, " ".join(item.split()[2:10])), (5, item[::-1])]
+    out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [2, 3]
