@@ -269,6 +269,34 @@ def test_passages(spark):
     assert all(r.end_word - r.start_word >= 40 and r.identity >= 0.75 and r.source_id < r.doc_id for r in got)
 
 
+def test_passages_with_text_between(spark):
+    rng = random.Random(12)
+    one, two, between = ([f"{c}{rng.randrange(10**6)}" for _ in range(n)] for c, n in (("p", 60), ("q", 60), ("r", 100)))
+    rows = [(1, " ".join(one + two)), (2, " ".join(one + between + two))]
+    got = passages.shared_passages(table(spark, rows)).collect()
+    places = {(r.start_word, r.end_word, r.source_start, r.source_end, r.n_equal) for r in got}
+    assert places == {(0, 60, 0, 60, 60), (160, 220, 60, 120, 60)}
+
+
+def test_parts_are_the_longest_by_brute_force():
+    rng = random.Random(8)
+    for _ in range(40):
+        x = [rng.randrange(10**6) for _ in range(rng.randint(60, 160))]
+        y = list(x)
+        for _ in range(rng.randint(0, 3)):
+            at, n = rng.randrange(len(y)), rng.randint(1, 60)
+            y[at:at] = [rng.randrange(10**6) for _ in range(n)]
+        equal = [(i, y.index(w)) for i, w in enumerate(x)]
+        best = 0
+        for i in range(len(equal)):
+            for j in range(i, len(equal)):
+                a, b = equal[j][0] - equal[i][0] + 1, equal[j][1] - equal[i][1] + 1
+                if min(a, b) >= passages.MIN_WORDS and j - i + 1 >= passages.MIN_IDENTITY * max(a, b):
+                    best = max(best, j - i + 1)
+        got = passages.parts(np.array(equal))
+        assert max((p[4] for p in got), default=0) == best
+
+
 @given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(0, 5), max_size=25))
 @settings(max_examples=100, deadline=None)
 def test_common_words(x, y):
@@ -279,6 +307,14 @@ def test_common_words(x, y):
     assert passages.common_words(x, y) == t[-1][-1]
 
 
+@given(st.lists(st.integers(0, 5), max_size=25), st.lists(st.integers(0, 5), max_size=25))
+@settings(max_examples=100, deadline=None)
+def test_matched(x, y):
+    pairs = passages.matched(x, y)
+    assert len(pairs) == passages.common_words(x, y) and all(x[i] == y[j] for i, j in pairs)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
 def test_best_chain_is_the_best():
     rng = random.Random(4)
     for _ in range(60):
