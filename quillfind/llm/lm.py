@@ -3,8 +3,8 @@
 Counts of single tokens and of pairs of neighbours are quantised to the logarithm of their frequency:
 an n-gram at level q is entered q times, as (n-gram, 1) ... (n-gram, q), in a Bloom filter. The filter
 goes to the workers; a count is found again by probing levels until one is missing, and the smoothed
-probability of a token combines the counts of pair, history and token (Dirichlet smoothing). Pairs seen
-once are at level 0 and take no room; nothing else is left out.
+probability of a token combines the counts of pair, history and token (Dirichlet smoothing). An n-gram
+seen once is at level 1, so every n-gram of the training texts is in the filter.
 
 Scale: each task counts a bounded segment of its tokens and sends sorted arrays of hashes and counts,
 cut into hash ranges, so the exchange carries about 12 bytes a distinct n-gram and segment, and a
@@ -85,15 +85,15 @@ def _count(n_ranges: int, segment: int):
     return run
 
 
-def level(counts: np.ndarray, order: int) -> np.ndarray:
-    """The quantised count: single tokens start at 1, pairs seen once are at 0."""
-    return np.floor(np.log(counts) / np.log(LOG_BASE) + 1e-9).astype(np.int64) + (order == 1)
+def level(counts: np.ndarray, least: int = 1) -> np.ndarray:
+    """The quantised count; an n-gram seen once is at level least."""
+    return np.floor(np.log(counts) / np.log(LOG_BASE) + 1e-9).astype(np.int64) + least
 
 
-def count_at(levels: np.ndarray, order: int) -> np.ndarray:
+def count_at(levels: np.ndarray) -> np.ndarray:
     """The middle count of a level; 0 where nothing was found."""
-    q = (levels - (order == 1)).astype(np.float64)
-    middle = np.where((order == 1) & (q == 0), 1.0, (LOG_BASE**q + LOG_BASE ** (q + 1)) / 2)
+    q = (levels - 1).astype(np.float64)
+    middle = np.where(q == 0, 1.0, (LOG_BASE**q + LOG_BASE ** (q + 1)) / 2)
     return np.where(levels > 0, middle, 0.0)
 
 
@@ -109,10 +109,10 @@ def _reduce(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
         if order == 1:
             out |= {"tokens": int(counts.sum()), "types": len(keys), "keys1": keys.tobytes(), "counts1": counts.astype("<i8").tobytes()}
-        q = level(counts, order)
+        q = level(counts)
         out[f"entries{order}"] = int(q.sum())
         if order == 2:
-            out |= {"keys2": keys[q > 0].tobytes(), "levels2": q[q > 0].astype(np.uint8).tobytes()}
+            out |= {"keys2": keys.tobytes(), "levels2": q.astype(np.uint8).tobytes()}
     out["entries"] = out.pop("entries1") + out.pop("entries2")
     return pd.DataFrame([out])[["range", "tokens", "types", "entries", "keys1", "counts1", "keys2", "levels2"]]
 
@@ -139,7 +139,7 @@ def _slices(bits: float):
                 size += -size % 8
                 mask = np.zeros(size, np.uint8)
                 for keys, q, order in (
-                    (np.frombuffer(r.keys1, np.uint64), level(np.frombuffer(r.counts1, "<i8"), 1), 1),
+                    (np.frombuffer(r.keys1, np.uint64), level(np.frombuffer(r.counts1, "<i8")), 1),
                     (np.frombuffer(r.keys2, np.uint64), np.frombuffer(r.levels2, np.uint8).astype(np.int64), 2),
                 ):
                     keys = _tagged(keys, order)
@@ -175,7 +175,7 @@ class Filter:
 
     def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
         distinct, back = np.unique(keys, return_inverse=True)
-        return count_at(self.levels(distinct, order), order)[back]
+        return count_at(self.levels(distinct, order))[back]
 
 
 class Counts:

@@ -370,6 +370,21 @@ def test_log_frequency_filter():
     assert (f.levels(np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64)), 1) > 0).mean() < 0.03
 
 
+def test_filter_holds_pairs_seen_once():
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    counts = np.where(np.arange(len(keys)) % 4 > 0, 1, 5).astype("<u4")
+    rows = pd.DataFrame([{"range": 0, "n": 2, "keys": keys.tobytes(), "counts": counts.tobytes()}])
+    made = lm._reduce((0,), rows)
+    (out,) = lm._slices(12)(iter([made]))
+    f = lm.Filter([out["bits"][0]])
+    got = f.counts(keys, 2)
+    assert (got >= 1).all()
+    assert (got[counts == 1] == 1).mean() > 0.97 and (got[counts == 5] > 3).all()
+
+
 def test_quality(spark):
     rng = random.Random(8)
     rows, labels = [], []
