@@ -9,9 +9,11 @@ seen once is at level 1, so every n-gram of the training texts is in the filter.
 Scale: each task counts a bounded segment of its tokens and sends sorted arrays of hashes and counts,
 cut into hash ranges, so the exchange carries about 12 bytes a distinct n-gram and segment, and a
 frequent token is one entry a segment. A range is reduced in one task and owns a slice of the filter.
-The filter's size is entries * bits, at most MAX_FILTER bytes: past that, bits for each entry become
-fewer and false positives more, and no n-gram is dropped. Exact token counts, for the base score, go
-out in blocks of at most MAX_TABLE bytes, one pass over the texts for each block.
+The filter has BITS bits an entry at every size. Up to MAX_FILTER bytes it goes to the workers whole;
+past that its slices stay in their ranges: segments of the texts send their distinct n-grams to the
+ranges and get a byte for each back, so no process holds more than a slice and both ways give the same
+scores. Exact token counts, for the base score, go out in blocks of at most MAX_TABLE bytes, one pass
+over the texts for each block.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, lower_words, materialize, mix64, read_table, texts
+from .common import GOLDEN, WordHashes, lower_words, materialize, mix64, read_table, release, texts
 from .quality import remainder
+from .segments import pack, unpack, with_rows
 
 SEGMENT_TOKENS = 3 << 19
 LOG_BASE, BITS, PROBES = 1.5, 12, 4
@@ -155,9 +158,10 @@ def _slices(bits: float):
 class Filter:
     """The filter's slices; slice r holds the n-grams whose hash is in range r."""
 
-    def __init__(self, slices: list[bytes]) -> None:
-        sizes = np.array([8 * len(s) for s in slices], np.int64)
-        self.n, self.sizes, self.starts = len(slices), sizes, np.cumsum(sizes) - sizes
+    def __init__(self, slices: list[bytes], sizes: list[int] | None = None) -> None:
+        """sizes: the slices' bytes, where slices are joined already."""
+        sizes = 8 * np.array([len(s) for s in slices] if sizes is None else sizes, np.int64)
+        self.n, self.sizes, self.starts = len(sizes), sizes, np.cumsum(sizes) - sizes
         self.bits = np.frombuffer(b"".join(slices), np.uint8)
 
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
@@ -191,11 +195,24 @@ class Counts:
         return np.where(self.keys[at] == tokens, self.counts[at], 0)
 
 
+_SCORED = "doc_id bigint, text_key binary, n_tokens bigint, n_known bigint, base double, score double"
+
+
+def smoothed(single: np.ndarray, both: np.ndarray, starts: np.ndarray, total: int, types: int) -> np.ndarray:
+    """The score of each text from the counts of its tokens and of its pairs; starts: where texts begin."""
+    before = np.empty(len(single))
+    before[1:] = single[:-1]
+    before[starts] = single[-1]  # each text ends once, so ends are as many as starts
+    both = np.minimum(both, before)
+    own = (single + 1) / (total + types + 1)
+    return np.add.reduceat(np.log10((both + PRIOR * own) / (before + PRIOR)), starts)
+
+
 def _score(shared, total: int, types: int, keyed: bool, most: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, slices = shared.value
         table, known = Counts(np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")), WordHashes(150_000)
-        bloom = Filter(slices) if slices is not None else None
+        bloom = Filter(*slices) if slices is not None else None
 
         def out(doc_ids: list, held: list[bytes]) -> pa.RecordBatch:
             each = [token_hashes(t, known) for t in held]
@@ -206,14 +223,7 @@ def _score(shared, total: int, types: int, keyed: bool, most: int = 2 << 20):
             base = np.add.reduceat(np.log10(c + 1.0), starts)
             score = np.zeros(len(n))
             if bloom is not None:
-                single = bloom.counts(tokens, 1)
-                before = np.empty(len(tokens))
-                before[1:] = single[:-1]
-                # each text ends once, so ends are as many as starts
-                before[starts] = bloom.counts(np.array([END]), 1)[0]
-                both = np.minimum(bloom.counts(pairs(tokens, starts), 2), before)
-                own = (single + 1) / (total + types + 1)
-                score = np.add.reduceat(np.log10((both + PRIOR * own) / (before + PRIOR)), starts)
+                score = smoothed(bloom.counts(tokens, 1), bloom.counts(pairs(tokens, starts), 2), starts, total, types)
             marks = [hashlib.sha256(t).digest() if keyed else None for t in held]
             return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(n), pa.array(found), pa.array(base), pa.array(score)], names=["doc_id", "text_key", "n_tokens", "n_known", "base", "score"])
 
@@ -231,6 +241,63 @@ def _score(shared, total: int, types: int, keyed: bool, most: int = 2 << 20):
     return run
 
 
+def _segment_tokens(sizes, n_bytes: int, data: bytes, known: WordHashes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Tokens of a segment, where its texts begin, and the texts."""
+    held = list(unpack(sizes, n_bytes, data))
+    each = [token_hashes(t, known) for t in held]
+    n = np.array([len(x) for x in each], np.int64)
+    return np.concatenate(each), np.cumsum(n) - n, held
+
+
+def _ask(n_ranges: int):
+    """A segment -> its distinct n-grams by range, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes(150_000)
+        for b in batches:
+            for r in b.to_pylist():
+                tokens, starts, _ = _segment_tokens(r["sizes"], r["n_bytes"], r["pack"], known)
+                cols: list[list] = [[], [], [], []]
+                for order, keys in ((1, tokens), (2, pairs(tokens, starts))):
+                    keys = np.unique(keys)
+                    cuts = np.searchsorted(_range(keys, n_ranges), np.arange(n_ranges + 1))
+                    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+                        if lo < hi:
+                            for c, v in zip(cols, (k, r["seg"], order, keys[lo:hi].tobytes())):
+                                c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["range", "seg", "n", "keys"])
+
+    return run
+
+
+def _answer(asked: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
+    """The n-grams asked of a range and its slice -> the level of each, a byte."""
+    bloom = Filter([bytes(made["bits"].iloc[0]) if len(made) else b""])
+    found = [bloom.levels(np.frombuffer(k, np.uint64), n).astype(np.uint8).tobytes() for k, n in zip(asked["keys"], asked["n"])]
+    return pd.DataFrame({"seg": asked["seg"], "range": asked["range"], "n": asked["n"], "levels": found})
+
+
+def _score_found(total: int, types: int):
+    """A segment and the levels of its distinct n-grams -> the scores of its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes(150_000)
+        for b in batches:
+            for r in b.to_pylist():
+                tokens, starts, held = _segment_tokens(r["sizes"], r["n_bytes"], r["pack"], known)
+                counts = []
+                for order, keys in ((1, tokens), (2, pairs(tokens, starts))):
+                    # ranges grow with the hash: their levels, one after another, are those of the sorted hashes
+                    levels = b"".join(x["levels"] for x in sorted((x for x in r["found"] if x["n"] == order), key=lambda x: x["range"]))
+                    back = np.unique(keys, return_inverse=True)[1]
+                    counts.append(count_at(np.frombuffer(levels, np.uint8).astype(np.int64))[back])
+                n, none = np.diff(np.r_[starts, len(tokens)]), np.zeros(len(starts))
+                marks = [hashlib.sha256(t).digest() for t in held]
+                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(marks, pa.binary()), pa.array(n), pa.array(none.astype(np.int64)), pa.array(none), pa.array(smoothed(*counts, starts, total, types))], names=["doc_id", "text_key", "n_tokens", "n_known", "base", "score"])
+
+    return run
+
+
 def lm_scores(documents: DataFrame, max_filter: int = MAX_FILTER, max_table: int = MAX_TABLE, segment: int = SEGMENT_TOKENS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -245,9 +312,13 @@ def lm_scores(documents: DataFrame, max_filter: int = MAX_FILTER, max_table: int
     reduced = materialize(counted.groupBy("range").applyInPandas(_reduce, _REDUCED), "ngrams")
     heads = {r[0]: r for r in reduced.select("range", "tokens", "types", "entries").collect()}  # a row a range
     total, types, entries = (sum(r[i] for r in heads.values()) for i in (1, 2, 3))
-    bits = min(BITS, 8 * max_filter / max(entries, 1))
-    made = {r[0]: bytes(r[1]) for r in reduced.select("range", "entries", "keys1", "counts1", "keys2", "levels2").mapInPandas(_slices(bits), "range int, bits binary").collect()}
-    slices = [made.get(r, b"") for r in range(n_ranges)]
+    cut = reduced.select("range", "entries", "keys1", "counts1", "keys2", "levels2").mapInPandas(_slices(BITS), "range int, bits binary")
+    whole = entries * BITS <= 8 * max_filter
+    slices = None
+    if whole:
+        made = {r[0]: bytes(r[1]) for r in cut.collect()}
+        sizes = [len(made.get(r, b"")) for r in range(n_ranges)]
+        slices = [b"".join(made.pop(r, b"") for r in range(n_ranges))], sizes
 
     blocks: list[list[int]] = [[]]
     size = 0
@@ -258,16 +329,24 @@ def lm_scores(documents: DataFrame, max_filter: int = MAX_FILTER, max_table: int
         blocks[-1].append(r)
         size += 16 * heads[r][2]
     rows, found = texts(documents), None
+    if not whole:
+        packed = pack(documents)
+        asked = packed.select("seg", "sizes", "n_bytes", "pack").mapInArrow(_ask(n_ranges), "range int, seg bigint, n int, keys binary")
+        levels = asked.groupBy("range").cogroup(cut.groupBy("range")).applyInPandas(_answer, "seg bigint, range int, n int, levels binary")
+        levels = materialize(levels.select("seg", F.struct("range", "n", "levels").alias("found")), "levels")
+        found = materialize(with_rows(packed, levels, "found").mapInArrow(_score_found(total, types), _SCORED), "scores")
+        release(packed, levels)
+    passes = len(blocks) + (not whole)
     for i, ranges in enumerate(blocks):
         lo, hi = (ranges[0], ranges[-1]) if ranges else (0, -1)
         part = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in reduced.where(F.col("range").between(lo, hi)).select("range", "keys1", "counts1").collect())
         shared = spark.sparkContext.broadcast((b"".join(p[1] for p in part), b"".join(p[2] for p in part), None if i else slices))
-        one = rows.mapInArrow(_score(shared, total, types, len(blocks) > 1), "doc_id bigint, text_key binary, n_tokens bigint, n_known bigint, base double, score double")
-        if len(blocks) > 1:
+        one = rows.mapInArrow(_score(shared, total, types, passes > 1), _SCORED)
+        if passes > 1:
             one = materialize(one, "scores")
         found = one if found is None else found.unionByName(one)
-    if len(blocks) > 1:
-        n = F.lit(len(blocks))
+    if passes > 1:
+        n = F.lit(passes)
         copies = (F.count(F.lit(1)) / n).cast("int").alias("copies")
         sums = [(F.sum(c) / (F.count(F.lit(1)) / n)).alias(c) for c in ("n_known", "base", "score")]
         found = found.groupBy("doc_id", "text_key").agg(F.first("n_tokens").alias("n_tokens"), *sums, copies)

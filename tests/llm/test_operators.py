@@ -355,6 +355,17 @@ def test_lm(spark):
     assert lm.lm_scores(table(spark, rows).limit(0)).count() == 0
 
 
+def test_lm_filter_past_one_block(spark):
+    rows = [*ROWS, (None, "w1 w2"), (2**60 + 1, "w3 w4")]
+    found = []
+    for kw in ({}, {"max_filter": 1000}, {"max_filter": 1000, "max_table": 2000}):
+        got = sorted(lm.lm_scores(table(spark, rows), **kw).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+        found.append(([r[:5] for r in got], [r.base_score for r in got], [r.score for r in got]))
+    for other in found[1:]:
+        assert other[0] == found[0][0] and len(other[0]) == len(rows)
+        assert other[1] == pytest.approx(found[0][1]) and other[2] == pytest.approx(found[0][2])
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2))
