@@ -9,19 +9,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where it is set.
 
-    Unset, as in tests: one temporary folder for a local master; else a folder in the warehouse.
+    Unset, as in tests, a local master takes a temporary folder; a cluster has none that all can see, an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        local = sc.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="quillfind-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillfind"
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="quillfind-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -68,12 +72,56 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def utf8(text: str | Column = "text") -> Column:
+    """The UTF-8 bytes of a whole text; null is empty."""
+    return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def texts(df: DataFrame) -> DataFrame:
     """(doc_id bigint, text binary): the UTF-8 bytes of whole texts; null is empty."""
-    return df.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"),
-    )
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"))
+
+
+def named_texts(df: DataFrame, row: tuple[str, str] | None) -> DataFrame:
+    """texts() with file and place, both bigint: of row, the columns that name each row (see with_row_names), or null."""
+    file, place = (F.col(c) for c in row) if row else (F.lit(None), F.lit(None))
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"), file.cast("bigint").alias("file"), place.cast("bigint").alias("place"))
+
+
+def with_row_names(df: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """df with two columns that name each row, the hash of its file's path and its place there, and their names.
+
+    They stay the same however often tasks are run again. A table that is not read from files is written first.
+    """
+    try:
+        meta = df.metadataColumn("_metadata")
+        df.select(meta["row_index"]).schema
+    except AnalysisException:
+        df = materialize(df, "rows")
+        meta = df.metadataColumn("_metadata")
+    names = tuple(fresh_name(df, c) for c in ("file", "place"))
+    return df.select("*", F.xxhash64(meta["file_path"]).alias(names[0]), meta["row_index"].alias(names[1])), names
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with strokes added until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def bounded(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
+    """The values of a binary column in lists of about most bytes."""
+    held, size = [], 0
+    for x in column:
+        held.append(x.as_py() or b"")
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def trim() -> None:
@@ -81,10 +129,8 @@ def trim() -> None:
     import ctypes
     import gc
 
-    import pyarrow
-
     gc.collect()
-    pyarrow.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library: nothing to trim

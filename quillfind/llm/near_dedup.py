@@ -7,10 +7,13 @@ close to the Jaccard similarity. Registers are banded; sets that share a band ar
 Candidates are estimated by the joint likelihood of the register comparison given both set sizes,
 and those that are not hopeless are verified on full sets.
 
-No group is expanded into pairs. Equal sets collapse first. Then each band's group is a star around
-its least document, verified; linked documents form components; only pairs between different
-components that still share a group are estimated and verified in a second pass, in blocks. Thus a
-pair that shares a band is in one component, or was rejected by size or likelihood, or was verified.
+No group is expanded into pairs. Equal sets collapse into one node first. Then each band's group is a
+star around its least node, estimated and verified; linked nodes form components. Only groups that
+still hold several components are looked at again, in blocks: a task holds the full sets of a block
+and compares, a member at a time, with all members of other components that share enough registers. It
+joins components as it goes and returns the links that joined two, so rows grow with the members and
+never with their pairs. Thus a pair that shares a band is in one component, or was rejected by its
+sizes, registers or likelihood, or was verified on full sets.
 
 With BANDS bands of 3 registers a pair at similarity 0.75 shares none with probability 2e-6.
 """
@@ -18,16 +21,16 @@ With BANDS bands of 3 registers a pair at similarity 0.75 shares none with proba
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import WordHashes, keyed_stream, lower_words, materialize, mix64, read_table, release, shingles, texts
+from .common import WordHashes, keyed_stream, lower_words, materialize, mix64, named_texts, read_table, release, shingles
 from .components import connected_components
 
 SHINGLE, BANDS, ROWS, BASE, RATE = 5, 24, 3, 1.001, 20.0
@@ -36,15 +39,14 @@ REGISTERS = BANDS * ROWS
 SIMILAR = 75
 #: A candidate whose most likely similarity is below this, six deviations off, is not verified.
 HOPELESS = 0.45
-#: Registers of the sketches that compare members of different components, four deviations below
-#: the threshold for them, and how many best candidates go first for each member and component.
-FINE, FINE_HOPELESS, BEST = 512, 0.67, 3
-#: Members of a band's group that one task compares.
-GROUP_BLOCK = 2048
+#: Equal registers, of all, that a pair at the threshold has but for six deviations.
+LEAST_EQUAL = int(REGISTERS * SIMILAR / 100 - 6 * (REGISTERS * SIMILAR / 100 * (1 - SIMILAR / 100)) ** 0.5)
+#: Members of a band's group, and shingles of theirs, that a task compares with as many others; rows of a star in a task.
+GROUP_BLOCK, GROUP_SHINGLES, STAR_BLOCK = 2048, 2 << 20, 512
 
-_SEEDS = mix64(np.arange(1, 2 * FINE + 1, dtype=np.uint64))
-_XOR = (_SEEDS[:FINE] >> np.uint64(32)).astype(np.uint32)
-_MUL = (_SEEDS[FINE:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_SEEDS = mix64(np.arange(1, 2 * 512 + 1, dtype=np.uint64))
+_XOR = (_SEEDS[:512] >> np.uint64(32)).astype(np.uint32)
+_MUL = (_SEEDS[512:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_set(text: bytes, known: WordHashes) -> np.ndarray:
@@ -97,14 +99,26 @@ def estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return out
 
 
-_SIGNS_SQL = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary"
+_SIGNS_SQL = "doc_id bigint, text binary, file bigint, place bigint, rank binary, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary"
+#: Where a missing doc_id ranks: after all others.
+_NO_RANK = b"\xff" * 9
+
+
+def rank_of(doc_id: int | None) -> bytes:
+    """Bytes that sort as doc_ids do, a missing one last."""
+    return _NO_RANK if doc_id is None else (doc_id + (1 << 63)).to_bytes(8, "big")
+
+
+def _doc_id_of(node: Column) -> Column:
+    """The doc_id at the head of a node, null for a missing one."""
+    known = F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.length(node) == 24, known.cast("bigint"))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     salt = mix64(np.arange(BANDS, dtype=np.uint64))
     for b in batches:
-        doc_ids = b.column(0).to_pylist()
         n, keys, bands, sketches = [], [], [], []
         for text in b.column(1):
             s = shingle_set(text.as_py(), known)
@@ -118,14 +132,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:  # sets of one shingle are linked to equal sets only
                 bands.append([])
                 sketches.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-            names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
-        )
+        ranks = [rank_of(i) for i in b.column(0).to_pylist()]
+        more = [pa.array(ranks, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[c.split()[0] for c in _SIGNS_SQL.split(", ")])
 
 
-def _regs(col: pd.Series, n: int = REGISTERS) -> np.ndarray:
-    return np.frombuffer(b"".join(col), "<u2").reshape(-1, n)
+def _regs(col: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(col), "<u2").reshape(-1, REGISTERS)
 
 
 def _promising(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -135,129 +148,142 @@ def _promising(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a, b and both texts, in order of a -> the linked pairs."""
+    """Rows star, node, text in order of stars, the text of the star itself first -> the linked pairs (a, b)."""
     known = WordHashes()
     last, of_a = None, np.empty(0, np.uint64)
     for batch in batches:
-        a_ids, b_ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         out: tuple[list, list] = ([], [])
-        for i, (a, b) in enumerate(zip(a_ids, b_ids)):
+        for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            s = shingle_set(text.as_py(), known)
+            if a == b:
+                last, of_a = a, s
+                continue
             if a != last:
-                last, of_a = a, shingle_set(batch.column(2)[i].as_py(), known)
-            of_b = shingle_set(batch.column(3)[i].as_py(), known)
-            both = len(np.intersect1d(of_a, of_b, assume_unique=True))
-            if 100 * both >= SIMILAR * (len(of_a) + len(of_b) - both):
+                raise AssertionError("a star without its text")
+            both = len(np.intersect1d(of_a, s, assume_unique=True))
+            if 100 * both >= SIMILAR * (len(of_a) + len(s) - both):
                 out[0].append(a)
                 out[1].append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+
 
+def _star_links(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full texts are linked, written. A star's text goes once to each STAR_BLOCK of its pairs."""
+    sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size"))
+    dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / STAR_BLOCK)).cast("int"))
+    rows = dealt.select("a", "block", F.col("b").alias("node")).unionByName(sizes.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / STAR_BLOCK) - 1).cast("int"))).alias("block"), F.col("a").alias("node")))
+    rows = rows.join(full, "node").repartition("a", "block").sortWithinPartitions("a", "block", F.col("node") != F.col("a"))
+    return materialize(rows.select("a", "node", "text").mapInArrow(_verify, "a binary, b binary"), "links")
 
-def _linked(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full texts are linked, written."""
-    with_b = pairs.join(full.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    with_both = with_b.join(full.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(with_both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"), "links")
 
+def joining_links(sets: list[np.ndarray], comp: np.ndarray, may: Callable[[int], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links between members of different components, each of which joins two; may(i): which members are compared with i.
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rep and text -> rep, size and fine sketch."""
+    A pair of different components that may be compared is linked, or is of one component in the end.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(n) - n
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(len(names), bool)
+    values, label, counts = np.unique(comp, return_inverse=True, return_counts=True)
+    rest = label != counts.argmax()  # each pair of different components has a member outside the largest, at least
+    for i in np.flatnonzero(rest).tolist():
+        other = may(i) & (label != label[i]) & (100 * np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i]))
+        other[:i] &= ~rest[:i]  # those saw i already
+        at = np.flatnonzero(other)
+        if not len(at):
+            continue
+        mine = ids[starts[i] : starts[i] + n[i]]
+        own[mine] = True
+        if 4 * n[at].sum() > len(ids):
+            both = np.add.reduceat(own[ids], starts, dtype=np.int64)[at]
+        else:
+            ends = np.cumsum(n[at])
+            both = np.add.reduceat(own[ids[np.repeat(starts[at] - (ends - n[at]), n[at]) + np.arange(ends[-1])]], ends - n[at], dtype=np.int64)
+        own[mine] = False
+        for j in at[100 * both >= SIMILAR * (n[at] + n[i] - both)].tolist():
+            if label[j] != label[i]:
+                yield i, j
+                label[label == label[j]] = label[i]
+
+
+def _across(key: tuple, g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Of two blocks of a group (or of one alone) the links that join components.
+
+    A pair is looked at in the first band only that both share.
+    """
+    band, lo, hi = key
     known = WordHashes()
-    for b in batches:
-        sets = [shingle_set(t.as_py(), known) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, FINE).tobytes() for s in sets])], names=["rep", "n", "sketch"])
+    side, node, bands, regs = g["block"].to_numpy(), g["node"].to_numpy(), np.stack(g["bands"].to_numpy()), _regs(g["sketch"])
+    here = int((bands[0] == band).argmax())
 
+    def may(i: int) -> np.ndarray:
+        out = side != side[i] if lo != hi else np.ones(len(g), bool)
+        out[out] = (regs[out] == regs[i]).sum(axis=1) >= LEAST_EQUAL
+        out[out] = (bands[out] == bands[i]).argmax(axis=1) == here
+        return out
 
-def _across(best: int | None):
-    """Of a group's blocks the promising pairs between different components: all, or the best for each member and component.
+    found = list(joining_links([shingle_set(t, known) for t in g["text"]], g["comp"].to_numpy(), may))
+    if found:
+        a, b = (node[list(x)] for x in zip(*found))
+        yield pd.DataFrame({"a": a, "b": b})
 
-    A pair is looked at in the first band only that both share. Equal registers are counted first; the
-    likelihood is for those whose count is not six deviations short.
-    """
-    least = (FINE_HOPELESS - 6 * np.sqrt(FINE_HOPELESS * (1 - FINE_HOPELESS) / FINE)) * FINE
-
-    def each(key: tuple, g: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        band, lo, hi = key
-        regs, n, comp, rep = _regs(g["sketch"], FINE), g["n"].to_numpy(), g["comp"].to_numpy(), g["rep"].to_numpy()
-        side, bands = g["block"].to_numpy(), np.stack(g["bands"].to_numpy())
-        values, counts = np.unique(comp, return_counts=True)
-        rest = np.flatnonzero(comp != values[counts.argmax()])  # each pair across has one outside the largest, at least
-        left = np.ones(len(g), bool)
-        for i in rest.tolist():
-            left[i] = best is not None  # the best are sought among all, else each pair comes once
-            other = (comp != comp[i]) & left & (100 * np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i]))
-            if lo != hi:
-                other &= side != side[i]
-            at = np.flatnonzero(other)
-            at = at[(bands[at] == bands[i]).argmax(axis=1) == int((bands[i] == band).argmax())]
-            equal = (regs[at] == regs[i]).sum(axis=1)
-            at, equal = at[equal >= least], equal[equal >= least]
-            if best is not None and len(at):
-                by = np.lexsort((-equal, comp[at]))
-                at = at[by]
-                new = np.r_[True, comp[at][1:] != comp[at][:-1]]
-                place = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-                at = at[place < best]
-            if len(at):
-                at = at[estimates(np.broadcast_to(regs[i], (len(at), FINE)), regs[at], np.full(len(at), n[i]), n[at]) >= FINE_HOPELESS]
-            if len(at):
-                yield pd.DataFrame({"a": np.minimum(rep[i], rep[at]), "b": np.maximum(rep[i], rep[at])})
-
-    return each
-
-
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Null, empty and blank texts have no shingles and are linked with nothing. A row whose doc_id is
-    null is kept, without component. Rows that repeat a doc_id are one document. Equal sets are
-    linked; other columns are ignored; an empty table gives no rows.
+
+def near_duplicates(documents: DataFrame, row: tuple[str, str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept; with row, also the file and place that name it and stays.
+
+    Null, empty and blank texts have no shingles and are linked with nothing. Equal sets are linked. A
+    null doc_id ranks after all others: a component of such rows alone has no id. Rows that repeat a
+    doc_id are compared by their own texts, and have the id in common. kept is doc_id = component_id
+    (two nulls are equal here); stays is true for one row of each component and for all without
+    shingles. Other columns are ignored; an empty table gives no rows.
     """
-    rows = texts(documents)
-    signs = materialize(rows.mapInArrow(_sign, _SIGNS_SQL), "signs")
-    reps = signs.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = materialize(reps, "reps")
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    leaders = materialize(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1"), "leaders")
-    members = materialize(banded.join(leaders, "band"), "members")
-
-    ids = members.select("rep").distinct()
-    full = materialize(rows.withColumnRenamed("doc_id", "rep").join(ids, "rep").dropDuplicates(["rep"]), "texts")
-
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    side = reps.where("sketch IS NOT NULL").select("rep", "n", "sketch")
+    signs = materialize(named_texts(documents, row).mapInArrow(_sign, _SIGNS_SQL), "signs")
+    # A node is a distinct set, named by its least doc_id and its key.
+    best = F.min(F.struct("rank", "file", "place")).alias("best")
+    reps = signs.where("set_key IS NOT NULL").groupBy("set_key").agg(best, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = materialize(reps.withColumn("node", F.concat("best.rank", "set_key")), "reps")
+    banded = reps.select("node", "n", F.posexplode("bands").alias("k", "band"))
+    leaders = banded.groupBy("k", "band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).where("size > 1")
+    leaders = materialize(leaders, "leaders")
+    members = materialize(banded.drop("n").join(leaders, ["k", "band"]), "members")
+
+    ids = members.select("node", F.expr("substring(node, -16, 16)").alias("set_key")).distinct()
+    full = signs.select("set_key", "text").join(ids, "set_key").groupBy("node").agg(F.first("text").alias("text"))  # texts of one set are as good
+    full = materialize(full, "texts")
+
+    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    side = reps.where("sketch IS NOT NULL").select("node", "n", "sketch")
     stars = stars.join(side.toDF("b", "n_b", "s_b"), "b").join(side.toDF("a", "n_a", "s_a"), "a")
     may_link = F.pandas_udf(_promising, BooleanType())
-    tested = materialize(stars.where(may_link("s_a", "s_b", "n_a", "n_b")).select("a", "b"), "pairs")
-    links = _linked(tested, full)
+    links = _star_links(materialize(stars.where(may_link("s_a", "s_b", "n_a", "n_b")).select("a", "b"), "pairs"), full)
     labels = connected_components(links)
 
-    # Groups that still hold several components: first each member's best candidates, then all that are left.
-    fine = None
-    for best in (BEST, None):
-        told = members.where("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        mixed = told.groupBy("band").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band")
-        told = materialize(told.join(mixed, "band"), "mixed")
-        if told.isEmpty():
-            break
-        if fine is None:
-            some = full.join(told.select("rep").distinct(), "rep", "left_semi")
-            fine = some.select("rep", "text").mapInArrow(_fine, "rep bigint, n bigint, sketch binary")
-            fine = materialize(fine.join(reps.select("rep", "bands"), "rep"), "fine")
-        n_blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
-        dealt = told.join(fine, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "comp", "n", "sketch", "bands")
-        more = keyed_stream(dealt, ["band", "lo", "hi"], ["rep"], _across(best), "a bigint, b bigint").distinct()
-        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _linked(more, full)
-        links, tested = links.unionByName(found), tested.unionByName(more)
-        if not found.isEmpty():
-            labels = connected_components(links)
-
-    named = materialize(reps.select("set_key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp")), "named")
-    out = signs.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
+    # Groups that still hold several components; of those with the same members the first band's alone.
+    told = members.where("size > 2").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = told.groupBy("k", "band").agg(
+        (F.min("comp") < F.max("comp")).alias("mixed"),
+        F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node")), F.sum(F.hash("node").cast("bigint"))).alias("members"),
+    )
+    mixed = mixed.where("mixed").groupBy("members").agg(F.min(F.struct("k", "band")).alias("first")).select("first.*")
+    told = told.join(mixed, ["k", "band"])
+    n_blocks = F.greatest(F.ceil(F.col("size") / GROUP_BLOCK), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("int")
+    dealt = told.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp")
+    dealt = dealt.join(reps.select("node", "bands", "sketch"), "node").join(full, "node")
+    found = materialize(keyed_stream(dealt, ["band", "lo", "hi"], ["node"], _across, "a binary, b binary"), "links")
+    if not found.isEmpty():
+        labels = connected_components(links.unionByName(found))
+
+    named = reps.select("set_key", "node", "best").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = materialize(named.select("set_key", "comp", F.when(F.col("comp") == F.col("node"), F.col("best")).alias("best")), "named")
+    release(members, full)
+    out = signs.select("doc_id", "n_shingles", "set_key", "rank", "file", "place").join(named, "set_key", "left")
+    comp = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(_doc_id_of(F.col("comp")))
+    out = out.withColumn("component_id", comp).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = F.col("set_key").isNull() | F.coalesce(F.struct("rank", "file", "place").eqNullSafe(F.col("best")), F.lit(False))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(["file", "place", stays.alias("stays")] if row else []))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
