@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, read_table, shingles, texts
+from .common import bounded, materialize, mix64, read_table, release, shingles, texts, utf8
 
 WINDOW, GRAM = 8, 5
 BLOCK_BYTES = 32 << 20
@@ -136,11 +136,19 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The benchmark in blocks of about most bytes, each small enough to hold in the driver."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).head()[0] or 0
-    n = max(1, -(-2 * total // most)) if total > most else 1
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), utf8().alias("text"))
+
+
+def n_blocks(benchmark: DataFrame, most: int) -> int:
+    """How many blocks keep each at about most bytes: the benchmark's size, measured."""
+    total = _items(benchmark).agg(F.sum(F.octet_length("text") + 64)).head()[0] or 0
+    return -(-2 * total // most) if total > most else 1
+
+
+def blocks(benchmark: DataFrame, n: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The benchmark in n blocks, each small enough to hold in the driver; an item is never cut."""
+    rows = _items(benchmark)
     dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     for b in range(n):
         yield [(r[0], bytes(r[1])) for r in (rows.where(dealt == b) if n > 1 else rows).orderBy("item_id", "text").collect()]
@@ -178,42 +186,73 @@ def _scan(shared, most: int = 4 << 20, keyed: bool = False):
     return run
 
 
+def _hit_column(shared, text: str | Column) -> Column:
+    """Number of words that windows of one block of items cover, as a column."""
+
+    @F.arrow_udf("bigint")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index: BenchmarkIndex = pickle.loads(zlib.decompress(shared.value))
+        for c in columns:
+            yield pa.array([sum(hi - lo for lo, hi in spans) for held in bounded(c) for _, spans, _ in index.hits(held)], pa.int64())
+
+    return run(utf8(text))
+
+
+def _share(spark: SparkSession, items: list[tuple[str | None, bytes]]):
+    return spark.sparkContext.broadcast(zlib.compress(pickle.dumps(BenchmarkIndex(items)), 1))
+
+
+def clean_rows(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents, whole, in which no window of any benchmark item occurs.
+
+    Null and empty texts are clean, as is all with an empty benchmark; repeated rows are judged each.
+    Nothing is joined: a row is judged where it is. One block after another is broadcast and let go.
+    """
+    spark, parts = documents.sparkSession, n_blocks(benchmark, block_bytes)
+    for i, items in enumerate(blocks(benchmark, parts)):
+        shared = _share(spark, items)
+        later = documents.where(_hit_column(shared, "text") == 0)
+        if parts > 1:
+            later = materialize(later, "clean")
+            shared.destroy()
+            if i:
+                release(documents)
+        documents = later
+    return documents
+
 
 def contamination(documents: DataFrame, benchmark: DataFrame, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated.
 
     Null and empty texts have no words; items without words match nothing; an item of fewer than
     WINDOW words is one window. An item whose item_id is null marks words but is not counted or named.
-    Repeated rows are each kept. An empty benchmark leaves every document clean.
+    Repeated rows are each kept. An empty benchmark leaves every document clean; an empty table of
+    documents gives no rows. Other columns are ignored.
     """
-    spark = documents.sparkSession
-    rows = texts(documents)
-    parts = []
-    for items in blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(BenchmarkIndex(items)), 1))
-        parts.append((rows, shared))
-    if len(parts) == 1:
-        found = rows.mapInArrow(_scan(parts[0][1]), _HITS_SQL).drop("text_key")
-    else:  # each block's hits are written, then joined by document
-        each = None
-        for _, shared in parts:
-            one = materialize(rows.mapInArrow(_scan(shared, keyed=True), _HITS_SQL), "hits")
-            each = one if each is None else each.unionByName(one)
-        found = each.groupBy("doc_id", "text_key").agg(
+    spark, rows, n = documents.sparkSession, texts(documents), n_blocks(benchmark, block_bytes)
+    found, end = None, F.lit(0).cast("bigint")
+    for items in blocks(benchmark, n):
+        shared = _share(spark, items)
+        one = rows.mapInArrow(_scan(shared, keyed=n > 1), _HITS_SQL)
+        if n > 1:  # each block's hits are written, then joined by document
+            one = materialize(one, "hits")
+            shared.destroy()
+        found = one if found is None else found.unionByName(one)
+    if n > 1:
+        found = found.groupBy("doc_id", "text_key").agg(
             F.first("n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            (F.count(F.lit(1)) / len(parts)).cast("int").alias("copies"),
-        )
-        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies", "text_key")
-        reach = F.aggregate(
-            "spans",
-            F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n")),
-            lambda a, s: F.struct(F.greatest(a["end"], s["hi"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(a["end"], s["lo"]))).alias("n")),
+            (F.count(F.lit(1)) / n).cast("int").alias("copies"),
         )
-        return found.select("doc_id", "n_words", reach["n"].alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.size("items") >= min_items).alias("contaminated"))
-    n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["hi"] - s["lo"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.size("items") >= min_items).alias("contaminated"))
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    # Spans are in order; those of several blocks may overlap.
+    reach = F.aggregate(
+        "spans",
+        F.struct(end.alias("end"), end.alias("n")),
+        lambda a, s: F.struct(F.greatest(a["end"], s["hi"]).alias("end"), (a["n"] + F.greatest(end, s["hi"] - F.greatest(a["end"], s["lo"]))).alias("n")),
+    )
+    return found.select("doc_id", "n_words", reach["n"].alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans", (F.size("items") >= min_items).alias("contaminated"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, texts
+from .common import materialize, named_texts, read_table
 
 BLOCK = 4096
 #: A segment is closed at so many bytes of distinct blocks or so many rows.
@@ -28,9 +28,18 @@ SEGMENT_BYTES, SEGMENT_ROWS = 48 << 20, 200_000
 _SPACE = b" \t\n\x0b\x0c\r"
 
 _NODES = pa.schema(
-    [("level", pa.int32()), ("ref", pa.int64()), ("block", pa.binary()), ("lref", pa.int64()), ("rref", pa.int64()), ("ids", pa.list_(pa.int64())), ("sha", pa.string())]
+    [("level", pa.int32()), ("ref", pa.int64()), ("block", pa.binary()), ("lref", pa.int64()), ("rref", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("ids", "files", "places")), ("sha", pa.string())]
 )
-_NODES_SQL = "level int, ref bigint, block binary, lref bigint, rref bigint, ids array<bigint>, sha string"
+_NODES_SQL = "level int, ref bigint, block binary, lref bigint, rref bigint, ids array<bigint>, files array<bigint>, places array<bigint>, sha string"
+#: Bits of a name: the partition has what these two leave of 63.
+SEGMENT_BITS, INDEX_BITS = 18, 24
+
+
+def _base(partition: int, segment: int) -> int:
+    """The first name of a segment. Raises rather than take the names of another."""
+    if segment >> SEGMENT_BITS or partition >> (63 - SEGMENT_BITS - INDEX_BITS):
+        raise OverflowError(f"no names for segment {segment} of partition {partition}: use more partitions or larger segments")
+    return (partition << SEGMENT_BITS | segment) << INDEX_BITS
 
 
 def normalise(text: bytes) -> bytes:
@@ -45,11 +54,11 @@ class _Segment:
     """Names of blocks and pairs within a bounded run of rows."""
 
     def __init__(self, base: int) -> None:
-        self.base, self.bytes, self.rows = base << 32, 0, 0
+        self.base, self.bytes, self.rows = base, 0, 0
         self.levels: list[dict] = [{}]
         self.roots: dict[tuple[int, int], list] = {}
 
-    def add(self, doc_id: int | None, text: bytes, block: int) -> None:
+    def add(self, row: tuple, text: bytes, block: int) -> None:
         names = []
         for i in range(0, max(1, len(text)), block):
             part, known = text[i : i + block], self.levels[0]
@@ -67,19 +76,21 @@ class _Segment:
         root = (level, names[0])
         if root not in self.roots:
             self.roots[root] = [[], hashlib.sha256(text).hexdigest()]
-        self.roots[root][0].append(doc_id)
+        self.roots[root][0].append(row)
         self.rows += 1
 
     def rows_out(self) -> Iterator[pa.RecordBatch]:
         cols: list[list] = [[] for _ in _NODES]
         held = 0
         for level, known in enumerate(self.levels):
+            if len(known) >> INDEX_BITS:
+                raise OverflowError("too many blocks in a segment: use smaller ones")
             for key, i in known.items():
                 block, left, right = (key, None, None) if level == 0 else (None, self.base + key[0], self.base + key[1] if key[1] >= 0 else None)
-                ids, sha = self.roots.get((level, i), (None, None))
-                for c, v in zip(cols, (level, self.base + i, block, left, right, ids, sha)):
+                rows, sha = self.roots.get((level, i), (None, None))
+                for c, v in zip(cols, (level, self.base + i, block, left, right, *(map(list, zip(*rows)) if rows else (None, None, None)), sha)):
                     c.append(v)
-                held += len(block or b"") + 8 * len(ids or ()) + 100
+                held += len(block or b"") + 24 * len(rows or ()) + 100
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _NODES)], schema=_NODES)
                     cols, held = [[] for _ in _NODES], 0
@@ -89,28 +100,28 @@ class _Segment:
 
 def _local_names(block: int, segment_bytes: int, segment_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() << 10
-        seg = _Segment(base)
+        partition, n = TaskContext.get().partitionId(), 0
+        seg = _Segment(_base(partition, n))
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                seg.add(doc_id, normalise(text.as_py()), block)
+            for *row, text in zip(*(b.column(c).to_pylist() for c in (0, 2, 3)), b.column(1)):
+                seg.add(tuple(row), normalise(text.as_py()), block)
                 if seg.bytes >= segment_bytes or seg.rows >= segment_rows:
                     yield from seg.rows_out()
-                    base += 1
-                    seg = _Segment(base)
+                    n += 1
+                    seg = _Segment(_base(partition, n))
         yield from seg.rows_out()
 
     return run
 
 
-def exact_groups(documents: DataFrame, block: int = BLOCK, segment_bytes: int = SEGMENT_BYTES, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(documents: DataFrame, block: int = BLOCK, segment_bytes: int = SEGMENT_BYTES, segment_rows: int = SEGMENT_ROWS, row: tuple[str, str] | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; with row, also the file and place that name it.
 
     Null and empty texts are one group. A null doc_id ranks after every other id; of rows that repeat
     one doc_id and text, one is kept. Other columns of documents are ignored, whatever their names.
     An empty table gives an empty result.
     """
-    nodes = materialize(texts(documents).mapInArrow(_local_names(block, segment_bytes, segment_rows), _NODES_SQL), "blocks")
+    nodes = materialize(named_texts(documents, row).mapInArrow(_local_names(block, segment_bytes, segment_rows), _NODES_SQL), "blocks")
     depth = nodes.agg(F.max("level")).head()[0] or 0
     first = F.min("ref")
     names = [materialize(nodes.where("level = 0").select("ref", first.over(Window.partitionBy("block")).alias("name")), "names")]
@@ -123,18 +134,19 @@ def exact_groups(documents: DataFrame, block: int = BLOCK, segment_bytes: int =
     for level, t in enumerate(names):
         t = t.select(F.lit(level).alias("level"), "ref", "name")
         named = t if named is None else named.unionByName(t)
-    roots = nodes.where(F.col("ids").isNotNull()).select("level", "ref", "ids", "sha").join(named, ["level", "ref"])
+    roots = nodes.where(F.col("ids").isNotNull()).select("level", "ref", "ids", "files", "places", "sha").join(named, ["level", "ref"])
     same = Window.partitionBy("level", "name")
     least = F.struct(F.array_min("ids").isNull().alias("none"), F.array_min("ids").alias("id"), F.col("ref"))
-    out = roots.select("ref", "ids", "sha", F.min(least).over(same).alias("best"), F.sum(F.size("ids").cast("bigint")).over(same).alias("group_size"))
+    out = roots.select("ref", "ids", "files", "places", "sha", F.min(least).over(same).alias("best"), F.sum(F.size("ids").cast("bigint")).over(same).alias("group_size"))
     out = out.withColumn("at", F.when(F.col("best.ref") == F.col("ref"), F.coalesce(F.array_position("ids", F.col("best.id")), F.lit(1))))
-    out = out.select("*", F.posexplode("ids").alias("pos", "doc_id"))
+    out = out.select("*", F.posexplode(F.arrays_zip("ids", "files", "places")).alias("pos", "row"))
     out = out.select(
-        "doc_id",
+        F.col("row.ids").alias("doc_id"),
         F.col("best.id").alias("keep_id"),
         "group_size",
         F.coalesce(F.col("at") == F.col("pos") + 1, F.lit(False)).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        *([F.col("row.files").alias("file"), F.col("row.places").alias("place")] if row else []),
     )
     out._quillfind_tables = [nodes, *names]
     return out

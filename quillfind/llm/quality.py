@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_tables import ChunkTable
-from .common import mix64, read_table, texts
+from .common import bounded, materialize, mix64, read_table, release, texts, utf8
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 10, (2, 3, 4)
-EPOCHS, RATE, TRAIN_ROWS, SEED = 6, 0.5, 4000, 7
+EPOCHS, RATE, TRAIN_ROWS, TRAIN_BYTES, SEED = 6, 0.5, 4000, 64 << 20, 7
 #: The bucket of a word that repeats the one before it, and its weight: such a word counts once more as this marker.
 AGAIN, AGAIN_WEIGHT = 1, 12
 THRESHOLD = 0.7
@@ -136,28 +136,29 @@ def score_texts(bucket: np.ndarray, constant: float, batches: Iterator[list[byte
         yield 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _score(bucket, constant: float, most: int = 4 << 20):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[list] = []
+def score_column(spark: SparkSession, model: Model, text: str | Column = "text") -> Column:
+    """The score of a text column, 0 to 1: whatever other columns a row has go along with it."""
+    bucket, constant = model.scores()
+    shared = spark.sparkContext.broadcast(bucket)
+
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        sizes: list[int] = []
 
         def parts() -> Iterator[list[bytes]]:
-            for b in batches:
-                doc_ids, held, size, first = b.column(0).to_pylist(), [], 0, 0
-                for i, x in enumerate(b.column(1)):
-                    held.append(x.as_py() or b"")
-                    size += len(held[-1])
-                    if size >= most:
-                        ids.append(doc_ids[first : i + 1])
-                        yield held
-                        held, size, first = [], 0, i + 1
-                if held:
-                    ids.append(doc_ids[first:])
-                    yield held
+            for c in columns:
+                held = list(bounded(c))
+                sizes.append(len(held))
+                yield from held
 
-        for s in score_texts(bucket.value, constant, parts()):
-            yield pa.RecordBatch.from_arrays([pa.array(ids.pop(0), pa.int64()), pa.array(s)], names=["doc_id", "score"])
+        held: list[np.ndarray] = []
+        for s in score_texts(shared.value, constant, parts()):
+            held.append(s)
+            if len(held) == sizes[0]:
+                yield pa.array(np.concatenate(held))
+                held, sizes[:] = [], sizes[1:]
 
-    return run
+    return run(utf8(text))
 
 
 def remainder(modulus: int):
@@ -165,13 +166,19 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("bigint").cast("string").cast("binary")) % modulus
 
 
-def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most train_rows labelled documents, none of them held out (remainder(4) is 2)."""
+def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most train_rows labelled documents of train_bytes in all, none of them held out (remainder(4) is 2)."""
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     usable = usable.where(F.col("quality").isin(0, 1) & (remainder(4) != 2))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_rows)
-    rows = texts(documents).join(F.broadcast(sample), "doc_id")  # at most train_rows rows
-    got = [(bytes(r.text), r.quality) for r in rows.orderBy("doc_id", "text", "quality").collect()]
+    # At most train_rows rows, a doc_id that repeats too, of train_bytes together; the texts stay whole.
+    rows = texts(documents).join(F.broadcast(sample), "doc_id")
+    rows = materialize(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality").limit(train_rows), "labelled")
+    room = rows.select("doc_id", "text", "quality", F.octet_length("text").alias("size"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "quality")  # over the bounded sample alone
+    room = room.withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= train_bytes)
+    got = [(bytes(r.text), r.quality) for r in room.orderBy("doc_id", "text", "quality").collect()]
+    release(rows)
     return Model().fit(got)
 
 
@@ -179,11 +186,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame, train_rows: int = TR
     """One row per document: doc_id, held_out, score, predicted.
 
     Null and empty texts get the score of no words. A null doc_id is not held out and is scored like
-    any other; labels other than 0 and 1 are ignored; without labels every score is 0.5.
+    any other; labels other than 0 and 1 are ignored; without labels every score is 0.5. Rows that
+    repeat a doc_id are each scored; other columns are ignored; an empty table gives no rows.
     """
-    bucket, constant = train(documents, labels, train_rows).scores()
-    shared = documents.sparkSession.sparkContext.broadcast(bucket)
-    out = texts(documents).mapInArrow(_score(shared, constant), "doc_id bigint, score double")
+    score = score_column(documents.sparkSession, train(documents, labels, train_rows))
+    out = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), score.alias("score"))
     held = F.coalesce(remainder(4) == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
