@@ -1,57 +1,54 @@
 """The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
 
 quality -> exact_dedup -> near_dedup -> decontaminate -> encode. Every stage but the last returns the
-columns of documents; each works on all that the one before kept.
+columns of documents; each works on all that the one before kept. A stage decides on rows, not on ids:
+quality and decontaminate judge a row where it is; the deduplications name each row by its file and
+place, and the rows that stay are joined by that name, so rows that repeat a doc_id or have none keep
+their own decisions. In every stage a null text is empty, an empty table stays empty, and other columns
+of documents go along, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfind.llm.common import materialize, read_table
-from quillfind.llm.decontaminate import contamination
+from quillfind.llm.common import materialize, read_table, with_row_names
+from quillfind.llm.decontaminate import clean_rows
 from quillfind.llm.exact_dedup import exact_groups
 from quillfind.llm.near_dedup import near_duplicates
 from quillfind.llm.pieces import encode_pieces
-from quillfind.llm.quality import quality_scores
+from quillfind.llm.quality import THRESHOLD, score_column, train
 
 
-_NO_ID = -(1 << 63)
+def _staying(docs: DataFrame, groups, keep: str) -> DataFrame:
+    """The rows of docs that groups(docs, row), a row for each row of docs, marks in its column keep."""
+    named, row = with_row_names(docs)
+    kept = groups(named, row=row).where(keep).select(F.col("file").alias(row[0]), F.col("place").alias(row[1]))
+    return named.join(kept, list(row)).select(*[named[c] for c in docs.columns])
 
 
-def _only(docs: DataFrame, decided: DataFrame, keep) -> DataFrame:
-    """The rows of docs that decided, a row for each row of docs, keeps; joined by doc_id.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier (operator 5) rejects.
 
-    Of rows that repeat a doc_id (null is one, too) as many stay as decided keeps, in order of text.
+    Without labels every score is 0.5, below the threshold, so every document goes.
     """
-    as_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID))
-    kept = decided.where(keep).groupBy(as_id.alias("__id")).agg(F.count(F.lit(1)).alias("__kept"))
-    out = docs.withColumn("__id", as_id).join(kept, "__id")
-    out = out.withColumn("__row", F.row_number().over(Window.partitionBy("__id").orderBy("text")))
-    return out.where("__row <= __kept").select(*docs.columns)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier (operator 5) rejects."""
-    scored = quality_scores(docs, read_table(spark, sf_dir, "labels"))
-    return _only(docs, scored, F.col("predicted") == 1)
+    return docs.where(score_column(spark, train(docs, read_table(spark, sf_dir, "labels"))) >= THRESHOLD)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts keep the one with the smallest doc_id (operator 10)."""
-    return _only(docs, exact_groups(docs), F.col("kept"))
+    """Of equal texts keep the row with the smallest doc_id (operator 10); a null one ranks last, of ties one row stays."""
+    return _staying(docs, exact_groups, "kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies keep the document with the smallest doc_id (operator 2)."""
-    return _only(docs, near_duplicates(docs), F.col("kept"))
+    """Of each component of near copies keep the row with the smallest doc_id (operator 2); a null one ranks last, of ties one row stays."""
+    return _staying(docs, near_duplicates, "stays")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents in which a window of any benchmark item occurs (operator 8's n_hit), named or not."""
-    found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return _only(docs, found, F.col("n_hit") == 0)
+    return clean_rows(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
