@@ -7,11 +7,14 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfind.functions import fts
+from quillfind.log import logger
 from quillfind.operators import ingest, lsh, maintenance, search
 from quillfind.operators.embed import EmbeddingService, Provider
 from quillfind.settings import Settings, requires_reindex
 from quillfind.sources import vault as vaults
-from quillfind.sources.store import Store
+from quillfind.sources.store import Store, part_of
+from quillfind.streaming import files
 
 
 class Engine:
@@ -25,33 +28,88 @@ class Engine:
     def process_vault(self, vault: DataFrame, now: Column | None = None) -> dict[str, int]:
         """Upsert a vault scan (path, name, base_name, text); rows by action. New vectors join the stored planes' buckets."""
         now = F.current_timestamp() if now is None else now
-        before = self.store.tables()
-        after, counts = ingest.ingest(before, vault.where(F.endswith("path", F.lit(".md"))), lambda n: vaults.blocks_of_lines(n, now), self.provider, now)
-        told = {r["action"]: r["n"] for r in counts.collect()}
+        notes = self.store.table("notes")
+        later = vault.where(F.endswith("path", F.lit(".md")))
+        acted = ingest.upsert_actions(notes, later).select("path", "id", "action").persist()
+        told = {r["action"]: r["n"] for r in acted.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        changed = acted.where("action <> 'skip'")
         if set(told) - {"skip"}:
-            self.store.save({k: after[k] for k in ("notes", "blocks", "vectors", "fts_content")})
-            self._extend_index()
+            hit = F.broadcast(changed.select("path")) if self._small(told) else changed.select("path")
+            after = ingest.upsert_notes(notes.join(hit, "path", "left_semi"), later.join(hit, "path", "left_semi"), now)
+            self._save_notes(after, notes.limit(0), now)
+        acted.unpersist()
         return told
 
+    @staticmethod
+    def _small(told: dict[str, int], most: int = 10_000) -> bool:
+        """Are the changed paths few enough to go to every worker?"""
+        return sum(n for k, n in told.items() if k != "skip") <= most
+
+    def _save_notes(self, changed: DataFrame, gone: DataFrame, now: Column) -> None:
+        """Save changed notes (whole rows) with all that follows from them, and drop gone ones (id).
+
+        Only the partitions that these notes are in are read and written.
+        """
+        changed = changed.persist()
+        both = changed.select("id").unionByName(gone.select("id"))
+        parts = self.store.parts_of(both)
+        if parts:
+            before = self.store.tables(parts)
+            after = ingest.cascade(before, changed, gone, lambda n: vaults.blocks_of_lines(n, now), self.provider, now)
+            notes = ingest.delete_for_notes(before["notes"].withColumnRenamed("id", "note_id"), both).withColumnRenamed("note_id", "id").unionByName(changed, allowMissingColumns=True)
+            self.store.save({"notes": notes, **after}, parts, {"fts_postings": lambda new: fts.postings(new["fts_content"]), **self._buckets()})
+        changed.unpersist()
+
+    def _buckets(self) -> dict:
+        """How lsh_buckets follow from vectors just written: nothing without an index."""
+        planes = self._planes()
+        if planes is None:
+            return {}
+        config = self.store.table("lsh_configs").head()["id"]  # one row
+
+        def rows(new: dict[str, DataFrame]) -> DataFrame:
+            hashed = lsh.hash_vectors(new["vectors"].where(F.col("vector").isNotNull()).select("id", "note_id", "vector", "created_at"), planes)
+            return lsh.bucket_rows(hashed, F.lit(config), F.col("created_at"))
+
+        return {"lsh_buckets": rows}
+
+    def apply_files(self, events: DataFrame, now: Column | None = None) -> None:
+        """File events (event_id, ts, path, op, new_path, text) with all that follows: blocks, vectors, buckets and keywords.
+
+        Only notes of paths that the events name are looked at.
+        """
+        now = F.current_timestamp() if now is None else now
+        named = files.relevant(events).select(F.explode(F.array(F.col("path"), F.coalesce("new_path", "path"))).alias("path")).distinct()
+        before = self.store.table("notes").join(named, "path", "left_semi").persist()
+        after = files.apply_events(before, events, now).persist()
+        held = ("path", "name", "base_name", "text")
+        same = before.select("id", F.struct(*held).alias("_was"))
+        moved = after.join(same, "id", "left").where(~F.struct(*held).eqNullSafe(F.col("_was"))).drop("_was")
+        self._save_notes(moved, before.join(after, "id", "left_anti").select("id"), now)
+        before.unpersist()
+        after.unpersist()
+
+    def watch(self, stream: DataFrame, checkpoint: str):
+        """A streaming query that applies file events as they come."""
+        return files.start(stream, self.apply_files, checkpoint)
+
     def _planes(self) -> DataFrame | None:
         if self.store.table("lsh_configs").isEmpty():
             return None
         return self.store.table("lsh_hash_functions").select("hash_index", "projection")
 
-    def _extend_index(self) -> None:
-        planes = self._planes()
-        if planes is None:
-            return
-        hashed = lsh.hash_vectors(self.store.table("vectors").select("id", "vector", "created_at"), planes)
-        config = self.store.table("lsh_configs").select(F.col("id").alias("config_id"))
-        rows = hashed.crossJoin(F.broadcast(config)).select(F.concat_ws("#", "config_id", "id").alias("id"), "config_id", "bucket_hash", F.col("id").alias("vector_id"), "created_at")
-        self.store.save({"lsh_buckets": rows})
+    def _index(self) -> DataFrame:
+        return self.store.table("lsh_buckets").select("bucket_hash", "vector_id")
 
     def rebuild_index(self) -> None:
-        v = self.store.table("vectors").where(F.col("vector").isNotNull()).select("id", "vector")
+        v = self.store.table("vectors").where(F.col("vector").isNotNull()).select("id", "note_id", "vector")
         first = v.select(F.size("vector")).head()
         self.store.save(lsh.build_index(v, first[0] if first else 0, self.seed, F.current_timestamp()))
 
+    def clear_index(self, config_id: str | None = None) -> None:
+        """Drop the index, or one configuration of it; searches scan then."""
+        self.store.save(lsh.clear(self.store.tables(), config_id))
+
     def ensure_index(self) -> bool:
         """Build the index if there is none; was it built?"""
         if self._planes() is not None:
@@ -60,8 +118,16 @@ class Engine:
         return True
 
     def ensure_fts(self) -> None:
+        """Keyword rows and postings for notes that have none; nothing is written when none lacks them."""
         t = self.store.tables()
-        self.store.save({"fts_content": ingest.replace_fts_rows(t["fts_content"], t["notes"].limit(0), ingest.missing_fts_rows(t["notes"], t["blocks"], t["fts_content"]))})
+        missing = ingest.missing_fts_rows(t["notes"], t["blocks"], t["fts_content"])
+        lacking = missing.select("note_id").distinct()
+        parts = self.store.parts_of(lacking, "note_id")
+        if parts:
+            here = self.store.tables(parts)
+            rows = ingest.replace_fts_rows(t["fts_content"], t["notes"].limit(0), ingest.missing_fts_rows(here["notes"], here["blocks"], here["fts_content"]))
+            mine = rows.where(part_of(F.col("note_id"), self.store.parts).isin(parts))
+            self.store.save({"fts_content": mine}, parts, {"fts_postings": lambda new: fts.postings(new["fts_content"])})
 
     def automatic_setup(self, vault: DataFrame) -> dict[str, int]:
         told = self.process_vault(vault)
@@ -86,10 +152,8 @@ class Engine:
 
     def delete_notes(self, ids: list[str]) -> None:
         """Delete notes with all that belongs to them."""
-        t = self.store.tables()
-        gone = t["notes"].where(F.col("id").isin(ids))
-        changed = {k: ingest.delete_for_notes(t[k], gone) for k in ("chunks", "vectors", "blocks", "fts_content")}
-        self.store.save({"notes": t["notes"].where(~F.col("id").isin(ids)), **changed})
+        gone = self.store.table("notes").where(F.col("id").isin(ids))
+        self._save_notes(gone.limit(0), gone.select("id"), F.current_timestamp())
 
     def cleanup(self) -> dict[str, int]:
         """Remove orphans; how many there were."""
@@ -106,22 +170,26 @@ class Engine:
     def search(self, text: str, options: search.SearchOptions | None = None) -> DataFrame:
         t = self.store.tables()
         options = options or search.SearchOptions(min_score=0.1)
-        return search.vector_search(self._query(text), t["vectors"], t["notes"], t["blocks"], t["chunks"], options, self._planes() if options.use_index else None)
+        return search.vector_search(self._query(text), t["vectors"], t["notes"], t["blocks"], t["chunks"], options, self._planes() if options.use_index else None, self._index())
 
     def hybrid(self, text: str, options: search.SearchOptions | None = None) -> DataFrame:
         t = self.store.tables()
         options = options or search.SearchOptions()
-        return search.hybrid_search(self._query(text), t["vectors"], t["notes"], t["blocks"], t["fts_content"], options, self._planes() if options.use_index else None)
+        return search.hybrid_search(self._query(text), t["vectors"], t["notes"], t["blocks"], t["fts_content"], options, self._planes() if options.use_index else None, self._index(), t["fts_postings"])
 
     def keywords(self, text: str, limit: int = 20, strict: bool = False) -> DataFrame:
-        return search.search_fts(self.store.table("fts_content"), text, limit, strict)
+        return search.search_fts(self.store.table("fts_content"), text, limit, strict, self.store.table("fts_postings"))
 
     def dynamic(self, text: str, current_path: str | None = None) -> DataFrame:
-        """Search as the settings say, without the note that is open."""
+        """Search as the settings say, without the note that is open. An error is logged and gives no results."""
         options = search.SearchOptions(exclude_paths=(current_path,) if current_path else ())
-        if self.settings.search_mode == "hybrid":
-            return self.hybrid(text, options)
-        return self.search(text, replace(options, min_score=0.1))
+        try:
+            found = self.hybrid(text, options) if self.settings.search_mode == "hybrid" else self.search(text, replace(options, min_score=0.1))
+            rows = found.collect()  # top_k rows
+        except Exception as e:  # noqa: BLE001  as-you-type search never fails
+            logger.error("Engine", "dynamic search failed", e)
+            return self.spark.createDataFrame([], "query_id bigint, rank int, note_path string, text string")
+        return self.spark.createDataFrame(rows, found.schema)
 
     def stats(self) -> dict:
         t = self.store.tables()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,48 +114,105 @@ def parse(query: str):
     return out
 
 
-def _has(found: Column, token: str, prefix: bool) -> Column:
-    return F.exists(found, lambda x: x.startswith(token)) if prefix else F.array_contains(found, token)
+class TokenArrays:
+    """Terms looked up in the tokens of each row: token arrays by column name."""
 
+    def __init__(self, columns: dict[str, Column]) -> None:
+        self.columns = columns
 
-def _near(found: Column, a: Term, b: Term, distance: int) -> Column:
-    """Some place of a and some place of b with at most distance tokens between."""
+    def has(self, token: str, prefix: bool, column: str) -> Column:
+        found = self.columns[column]
+        return F.exists(found, lambda x: x.startswith(token)) if prefix else F.array_contains(found, token)
 
-    def at(t: Term) -> Column:
-        hits = F.transform(found, lambda x, i: F.when(x.startswith(t.tokens[0]) if t.prefix else x == t.tokens[0], i))
+    def places(self, token: str, prefix: bool, column: str) -> Column:
+        hits = F.transform(self.columns[column], lambda x, i: F.when(x.startswith(token) if prefix else x == token, i))
         return F.filter(hits, lambda i: i.isNotNull())
 
-    # Each side's places are found once: those near a, then one look for a place of b among them.
-    around = F.flatten(F.transform(at(a), lambda i: F.concat(F.sequence(i - distance - 1, i - 1), F.sequence(i + 1, i + distance + 1))))
-    return F.coalesce(F.arrays_overlap(around, at(b)), F.lit(False))
 
+class FoundPostings:
+    """Terms looked up in the postings found for a row: an array of (column, term, positions)."""
+
+    def __init__(self, found: Column) -> None:
+        self.found = found
+
+    @staticmethod
+    def _hit(x: Column, token: str, prefix: bool, column: str) -> Column:
+        return (x["column"] == column) & (x["term"].startswith(token) if prefix else x["term"] == token)
+
+    def has(self, token: str, prefix: bool, column: str) -> Column:
+        return F.exists(self.found, lambda x: self._hit(x, token, prefix, column))
+
+    def places(self, token: str, prefix: bool, column: str) -> Column:
+        return F.flatten(F.transform(F.filter(self.found, lambda x: self._hit(x, token, prefix, column)), lambda x: x["positions"]))
+
+
+def _chain(tree) -> tuple[list[Term], list[int]] | None:
+    """The terms of a NEAR/NEAR/... chain and the distances between them; None if an operand is not a term of one token."""
+    if isinstance(tree, Term):
+        return ([tree], []) if len(tree.tokens) == 1 else None
+    if not isinstance(tree, Op) or tree.kind != "NEAR" or not isinstance(tree.right, Term):
+        return None
+    head, last = _chain(tree.left), _chain(tree.right)
+    return (head[0] + last[0], [*head[1], tree.distance]) if head and last else None
+
+
+def _near(source, terms: list[Term], distances: list[int], default: str) -> Column:
+    """Some place of each term such that each is within its distance of the place taken for the term before."""
+
+    def at(t: Term) -> Column:
+        return source.places(t.tokens[0], t.prefix, t.column or default)
+
+    def around(places: Column, n: int) -> Column:
+        return F.flatten(F.transform(places, lambda i: F.concat(F.sequence(i - n, i - 1), F.sequence(i + 1, i + n))))
+
+    reached = at(terms[0])
+    for t, distance in zip(terms[1:], distances):
+        reached = F.array_intersect(at(t), around(reached, distance + 1))
+    return F.coalesce(F.size(reached) > 0, F.lit(False))
 
-def predicate(tree, columns: dict[str, Column], default: str = "content") -> Column:
-    """Does a row match? columns: token arrays by name."""
+
+def predicate(tree, source, default: str = "content") -> Column:
+    """Does a row match? source tells where a term's tokens are: TokenArrays or FoundPostings."""
     if tree is None:
         return F.lit(False)
     if isinstance(tree, Term):
-        found = columns[tree.column or default]
         out = None
         for i, token in enumerate(tree.tokens):
-            one = _has(found, token, tree.prefix and i == len(tree.tokens) - 1)
+            one = source.has(token, tree.prefix and i == len(tree.tokens) - 1, tree.column or default)
             out = one if out is None else out & one
         return out
-    left, right = predicate(tree.left, columns, default), predicate(tree.right, columns, default)
-    if tree.kind == "AND":
-        return left & right
+    if tree.kind == "NEAR" and (chain := _chain(tree)):
+        if len({t.column or default for t in chain[0]}) > 1:
+            return F.lit(False)  # places of different columns are never near
+        return _near(source, *chain, default)
+    left, right = predicate(tree.left, source, default), predicate(tree.right, source, default)
     if tree.kind == "OR":
         return left | right
-    if tree.kind == "NOT":
-        return left & ~right
-    if not (isinstance(tree.left, Term) and isinstance(tree.right, Term)):
-        return left & right
-    return _near(columns[tree.left.column or default], tree.left, tree.right, tree.distance)
+    return left & ~right if tree.kind == "NOT" else left & right
 
 
-def used_columns(tree) -> set[str]:
+def leaves(tree) -> list[Term]:
     if tree is None:
-        return set()
-    if isinstance(tree, Term):
-        return {tree.column or "content"}
-    return used_columns(tree.left) | used_columns(tree.right)
+        return []
+    return [tree] if isinstance(tree, Term) else leaves(tree.left) + leaves(tree.right)
+
+
+def used_columns(tree) -> set[str]:
+    return {t.column or "content" for t in leaves(tree)}
+
+
+def wanted(tree, default: str = "content") -> Column:
+    """Which postings (column, term) a query needs."""
+    out = F.lit(False)
+    for t in leaves(tree):
+        for i, token in enumerate(t.tokens):
+            hit = F.col("term").startswith(token) if t.prefix and i == len(t.tokens) - 1 else F.col("term") == token
+            out = out | ((F.col("column") == (t.column or default)) & hit)
+    return out
+
+
+def postings(content: DataFrame) -> DataFrame:
+    """The keyword index of content: term, column, docid, note_id and the term's positions in that column."""
+    columns = F.array(*[F.struct(F.lit(c).alias("column"), fts_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for c in COLUMNS])
+    rows = content.select("docid", "note_id", F.inline(columns)).select("docid", "note_id", "column", F.posexplode("tokens").alias("position", "term"))
+    return rows.groupBy("term", "column", "docid", "note_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))

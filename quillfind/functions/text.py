@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,21 +38,29 @@ def needs_chunking(c: Column, size: int) -> Column:
     return token_count(c) > size
 
 
-def bpe_tokens(encoding_file: str):
-    """A Pandas UDF text -> ids with a tiktoken rank file at a given path."""
-    import pandas as pd
+@lru_cache(maxsize=4)
+def _encoding(encoding_file: str):
+    """A byte-pair encoding, read once for each worker process."""
+    import base64
+
+    import tiktoken
 
-    def run(texts: pd.Series) -> pd.Series:
-        import base64
+    with open(encoding_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    # A fixed value: the public split pattern of this encoding.
+    pattern = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
-        import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(encoding_file, "rb") if line.strip())}
-        pattern = r"""'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"""
-        enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return texts.fillna("").map(enc.encode_ordinary)
+def bpe_tokens(encoding_file: str):
+    """A function text -> ids with a tiktoken rank file at a given path, which workers must be able to read."""
+
+    @F.arrow_udf("array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        encode = _encoding(encoding_file).encode_ordinary
+        return pa.array([encode(t.as_py() or "") for t in texts], pa.list_(pa.int32()))
 
-    return F.pandas_udf(run, "array<int>")
+    return run
 
 
 def chunk_texts(df: DataFrame, text: str = "text", size: int = 128, overlap: int = 16) -> DataFrame:
@@ -55,27 +68,41 @@ def chunk_texts(df: DataFrame, text: str = "text", size: int = 128, overlap: int
 
     A text of at most size tokens is one chunk, the text itself. Else chunks start every
     max(1, size - overlap) tokens until all have been starts, so a last chunk may lie inside the one
-    before. Offsets are token places scaled to characters, halves rounded up.
+    before. Offsets are token places scaled to characters, halves rounded up. Chunks are cut within
+    the row, so a text and its tokens are not copied to each of them.
     """
     step = max(1, size - overlap)
-    base = df.withColumn("_tok", tokens(F.coalesce(F.col(text), F.lit(""))))
-    base = base.withColumn("_n", F.size("_tok")).withColumn("_len", utf16_length(F.coalesce(F.col(text), F.lit(""))))
-    starts = F.when(F.col("_n") <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(step)))
-    base = base.select("*", F.posexplode(starts).alias("chunk_index", "_at"))
-    end = F.least(F.col("_at") + size, F.col("_n"))
-    single = F.col("_n") <= size
+    whole = F.coalesce(F.col(text), F.lit(""))
+    base = df.withColumn("_tok", tokens(whole)).withColumn("_len", utf16_length(whole)).withColumn("_n", F.size("_tok"))
 
     def place(tok: Column) -> Column:
         return F.floor(tok * (F.col("_len").cast("double") / F.col("_n")) + F.lit(0.5)).cast("int")
 
-    return base.select(
-        *[F.col(c) for c in df.columns],
-        "chunk_index",
-        F.when(single, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(F.slice("_tok", F.col("_at") + 1, F.greatest(end - F.col("_at"), F.lit(0))), " ")).alias("chunk_text"),
-        F.when(single, F.lit(0)).otherwise(place(F.col("_at"))).alias("start_index"),
-        F.when(single, F.col("_len")).otherwise(place(end)).alias("end_index"),
-        F.when(single, F.col("_n")).otherwise(end - F.col("_at")).alias("token_count"),
-    )
+    def chunk(at: Column, i: Column) -> Column:
+        end = F.least(at + size, F.col("_n"))
+        cut = F.array_join(F.slice("_tok", at + 1, F.greatest(end - at, F.lit(0))), " ")
+        return F.struct(i.alias("chunk_index"), cut.alias("chunk_text"), place(at).alias("start_index"), place(end).alias("end_index"), (end - at).alias("token_count"))
+
+    one = F.struct(F.lit(0).alias("chunk_index"), whole.alias("chunk_text"), F.lit(0).alias("start_index"), F.col("_len").alias("end_index"), F.col("_n").alias("token_count"))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(step))
+    base = base.withColumn("_chunks", F.when(F.col("_n") <= size, F.array(one)).otherwise(F.transform(starts, chunk)))
+    return base.select(*[F.col(c) for c in df.columns], F.inline("_chunks"))
+
+
+def lines_of(text: str | Column) -> Column:
+    """Lines of a text with the place after each: array of (content, end), in one pass over the text."""
+
+    @F.arrow_udf("array<int>")
+    def ends(lines: pa.Array) -> pa.Array:
+        size = pc.utf8_length(lines.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        offsets = lines.offsets.to_numpy().astype(np.int64)
+        upto = np.cumsum(size)
+        before = np.r_[0, upto][offsets - offsets[0]]
+        values = upto - np.repeat(before[:-1], np.diff(offsets)) - 1
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(values, pa.int32()))
+
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.arrays_zip(lines.alias("content"), ends(lines).alias("end"))
 
 
 def split_sections(df: DataFrame, content: str = "content", sections: str = "sections") -> DataFrame:

@@ -37,9 +37,15 @@ class Provider(Protocol):
 
 def quantize(v: list[float]) -> list[int]:
     """L2-normalise and quantise one vector, as the Column operators do."""
-    size = float(np.sqrt(sum(float(x) * float(x) for x in v)))
-    unit = [float(x) / size for x in v] if size else [float(x) for x in v]
-    return [int(np.floor(max(-1.0, min(1.0, x)) * 127.0 + 0.5)) for x in unit]
+    return quantize_rows(np.array([v], np.float64))[0].tolist()
+
+
+def quantize_rows(v: np.ndarray) -> np.ndarray:
+    """L2-normalise and quantise each row; squares are summed in order, as the Column operators do."""
+    if not v.size:
+        return np.zeros(v.shape, np.int8)
+    size = np.sqrt(np.cumsum(v * v, axis=1)[:, -1:])
+    return np.floor(np.clip(v / np.where(size == 0, 1.0, size), -1.0, 1.0) * 127.0 + 0.5).astype(np.int8)
 
 
 def estimate_tokens(text: str) -> int:
@@ -66,41 +72,61 @@ def fixed_batch(ordinal: Column, size: int = LOCAL_BATCH) -> Column:
 
 
 def greedy_batch_numbers(df: DataFrame, key: str, ordinal: str, tokens: str, most: int = CLOUD_TOKENS) -> DataFrame:
-    """key, ordinal, tokens, batch: greedy requests within each key's texts in order; a key is held in one task."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(ordinal, ignore_index=True)
-        batch = np.zeros(len(g), np.int64)
-        for k, places in enumerate(greedy_batches(g[tokens].tolist(), most)):
-            batch[places] = k
-        return g.assign(batch=batch)
+    """key, ordinal, tokens, batch: greedy requests within each key's texts in order.
 
+    Where a request ends depends on all before it, so a key's three numbers a text pass through one
+    task, in order and as a stream: the task holds a batch of rows and two numbers, never a key.
+    """
     rows = df.select(key, ordinal, tokens)
-    return rows.groupBy(key).applyInPandas(run, rows.select("*", F.lit(0).cast("bigint").alias("batch")).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, batch, total = None, 0, 0
+        for b in batches:
+            out = np.empty(len(b), np.int64)
+            for i, (k, n) in enumerate(zip(b[key].tolist(), b[tokens].tolist())):
+                if k != last:
+                    last, batch, total = k, 0, n
+                elif total + n <= most:
+                    total += n
+                else:
+                    batch, total = batch + 1, n
+                out[i] = batch
+            yield b.assign(batch=out)
+
+    ordered = rows.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, ordinal)
+    return ordered.mapInPandas(run, rows.select("*", F.lit(0).cast("bigint").alias("batch")).schema)
+
+
+class _Places(dict):
+    """token -> twice its place, plus one if its sign is positive; emptied when it holds limit tokens."""
+
+    def __init__(self, dims: int, limit: int = 500_000) -> None:
+        super().__init__()
+        self.dims, self.limit = dims, limit
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        h = hashlib.md5(token.encode()).hexdigest()  # noqa: S324  spreads tokens, guards nothing
+        found = self[token] = 2 * (int(h[:8], 16) % self.dims) + (int(h[8], 16) % 2 == 0)
+        return found
 
 
 class HashingEmbedder:
     """Offline default: signed feature hashing of keyword tokens into dims places."""
 
     def __init__(self, dims: int = 64) -> None:
-        self.dims, self._places = dims, {}
-
-    def _place(self, token: str) -> tuple[int, int]:
-        found = self._places.get(token)
-        if found is None:
-            h = hashlib.md5(token.encode()).hexdigest()  # noqa: S324  spreads tokens, guards nothing
-            found = self._places[token] = int(h[:8], 16) % self.dims, 1 if int(h[8], 16) % 2 == 0 else -1
-        return found
+        self.dims, self._places = dims, _Places(dims)
 
     def embed_one(self, text: str) -> list[float]:
-        v = [0.0] * self.dims
-        for token in fts.query_tokens(text):
-            i, sign = self._place(token)
-            v[i] += sign
-        return v
+        return self.embed_many([text])[0]
 
     def embed_many(self, texts: list[str]) -> list[list[float]]:
-        return [self.embed_one(t) for t in texts]
+        split = [fts.query_tokens(t) for t in texts]
+        places = np.fromiter(map(self._places.__getitem__, (x for s in split for x in s)), np.int64)
+        row = np.repeat(np.arange(len(split)), list(map(len, split)))
+        sums = np.bincount(row * self.dims + (places >> 1), 2 * (places & 1) - 1.0, len(split) * self.dims)
+        return sums.reshape(len(split), self.dims).tolist()
 
     def validate(self) -> None:
         return None
@@ -214,6 +240,13 @@ class EmbeddingService:
     def embed_texts(self, texts: list[str]) -> list[list[int]]:
         return [quantize(v) for v in self.provider.embed_many(texts)]
 
+    def embed_rows(self, texts: list[str]) -> list[np.ndarray]:
+        """The same as numpy rows, all of one call together where they are of one length."""
+        found = self.provider.embed_many(texts)
+        if len({len(v) for v in found}) == 1:
+            return list(quantize_rows(np.array(found, np.float64)))
+        return [quantize_rows(np.array([v], np.float64))[0] for v in found]
+
     def validate(self) -> None:
         self.provider.validate()
 
@@ -291,6 +324,6 @@ def embed(df: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         service = EmbeddingService(provider)
         for b in batches:
-            yield b.assign(vector=service.embed_texts(b[text].fillna("").tolist()))
+            yield b.assign(vector=service.embed_rows(b[text].fillna("").tolist()))
 
     return df.mapInPandas(run, schema)

@@ -121,21 +121,17 @@ def replace_fts_rows(content: DataFrame, changed: DataFrame, fresh: DataFrame) -
     return kept.unionByName(added.withColumn("docid", F.col("_top") + 1 + F.col("_seq")).drop("_top", "_seq"), allowMissingColumns=True)
 
 
-def ingest(tables: dict[str, DataFrame], vault: DataFrame, vault_blocks, provider: Provider, now: Column) -> tuple[dict[str, DataFrame], DataFrame]:
-    """One run over a vault scan (path, name, base_name, text): the new tables, and counts by action.
+def cascade(tables: dict[str, DataFrame], changed: DataFrame, gone: DataFrame, vault_blocks, provider: Provider, now: Column) -> dict[str, DataFrame]:
+    """blocks, vectors, chunks and fts_content after notes changed (whole rows) and notes went (id).
 
-    vault_blocks makes blocks of notes. Only inserted and updated notes are split and embedded again.
+    What belonged to either goes; changed notes are split, embedded and indexed again. Chunks are not
+    made by ingest, so those of notes that stay are kept.
     """
-    acted = upsert_actions(tables["notes"], vault)
-    notes = upsert_notes(tables["notes"], vault, now)
-    changed = notes.join(acted.where("action <> 'skip'").select("path"), "path", "left_semi")
+    both = changed.select("id").unionByName(gone.select("id"))
     fresh = vault_blocks(changed)
-    vectors = delete_for_notes(tables["vectors"], changed).unionByName(make_vectors(changed, fresh, provider, now), allowMissingColumns=True)
-    out = {
-        **tables,
-        "notes": notes,
-        "blocks": replace_blocks(tables["blocks"], changed, fresh),
-        "vectors": vectors,
-        "fts_content": replace_fts_rows(tables["fts_content"], changed, fts_rows(changed, fresh.where(is_embedded_block(F.col("type"))))),
+    return {
+        "blocks": replace_blocks(tables["blocks"], both, fresh),
+        "vectors": delete_for_notes(tables["vectors"], both).unionByName(make_vectors(changed, fresh, provider, now), allowMissingColumns=True),
+        "chunks": delete_for_notes(tables["chunks"], gone),
+        "fts_content": replace_fts_rows(tables["fts_content"], both, fts_rows(changed, fresh.where(is_embedded_block(F.col("type"))))),
     }
-    return out, acted.groupBy("action").agg(F.count(F.lit(1)).alias("n"))

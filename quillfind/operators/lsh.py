@@ -84,15 +84,52 @@ def candidate_buckets(queries: DataFrame, sizes: DataFrame, top_k: int) -> DataF
     q = queries.select("query_id", bits_of(F.col("bucket_hash")).alias("_q"))
     pairs = sizes.select("bucket_hash", "size", bits_of(F.col("bucket_hash")).alias("_b")).crossJoin(F.broadcast(q))
     pairs = pairs.withColumn("distance", F.bit_count(F.col("_q").bitwiseXOR(F.col("_b"))).cast("int"))
-    before = Window.partitionBy("query_id").orderBy("distance", "bucket_hash").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = pairs.withColumn("_nearer", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # A bucket holds a vector at least, so no more buckets than vectors are wanted: that many leave each partition.
+    order = Window.partitionBy("query_id").orderBy("distance", "bucket_hash")
+    pairs = pairs.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= 10 * top_k)
+    pairs = pairs.withColumn("_nearer", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return pairs.where(F.col("_nearer") < 10 * top_k).select("query_id", "bucket_hash", "distance", "size")
 
 
-def candidates(queries: DataFrame, hashed: DataFrame, top_k: int) -> DataFrame:
-    """hashed's rows in candidate buckets, with query_id and distance."""
-    near = candidate_buckets(queries, bucket_sizes(hashed), top_k)
-    return hashed.join(near.drop("size"), "bucket_hash")
+def candidates(queries: DataFrame, index: DataFrame, top_k: int) -> DataFrame:
+    """index's rows (bucket_hash, vector_id or others) in candidate buckets, with query_id and distance.
+
+    At most 10 * top_k buckets a query go to the workers; of the index two columns are read, vectors none.
+    """
+    near = candidate_buckets(queries, bucket_sizes(index), top_k)
+    return index.join(F.broadcast(near.drop("size")), "bucket_hash")
+
+
+def bucket_rows(hashed: DataFrame, config: Column, now: Column) -> DataFrame:
+    """Rows of lsh_buckets; note_id goes along where vectors have one."""
+    note = F.col("note_id") if "note_id" in hashed.columns else F.lit(None).cast("string").alias("note_id")
+    return hashed.select(F.concat_ws("#", config, F.col("id")).alias("id"), config.alias("config_id"), "bucket_hash", F.col("id").alias("vector_id"), note, now.alias("created_at"))
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: the share of exact's (query_id, id) that found has, and how many there are."""
+    both = exact.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("_hit")).distinct(), ["query_id", "id"], "left")
+    return both.agg(F.coalesce(F.try_divide(F.count("_hit").cast("double"), F.count(F.lit(1)).cast("double")), F.lit(1.0)).alias("recall"), F.count(F.lit(1)).alias("n"))
+
+
+def clear(tables: dict[str, DataFrame], config_id: str | None = None) -> dict[str, DataFrame]:
+    """The index tables without one configuration, or empty."""
+    keep = F.lit(False) if config_id is None else None
+    return {
+        "lsh_configs": tables["lsh_configs"].where(keep if keep is not None else F.col("id") != config_id),
+        "lsh_hash_functions": tables["lsh_hash_functions"].where(keep if keep is not None else F.col("config_id") != config_id),
+        "lsh_buckets": tables["lsh_buckets"].where(keep if keep is not None else F.col("config_id") != config_id),
+    }
+
+
+def current_config(configs: DataFrame) -> DataFrame:
+    """The newest configuration, if any."""
+    return configs.orderBy(F.desc("created_at"), "id").limit(1)
+
+
+def hash_functions(functions: DataFrame, config_id: str) -> DataFrame:
+    """hash_index and projection of a configuration, in order."""
+    return functions.where(F.col("config_id") == config_id).select("hash_index", "projection").orderBy("hash_index")
 
 
 def build_index(vectors: DataFrame, dims: int, seed: int = 42, now: Column | None = None) -> dict[str, DataFrame]:
@@ -105,5 +142,5 @@ def build_index(vectors: DataFrame, dims: int, seed: int = 42, now: Column | Non
     configs = spark.range(1 if n else 0).select(config.alias("id"), now.alias("created_at"), F.lit(n).cast("bigint").alias("vector_count"), F.lit(dims).alias("vector_dimensions"), F.lit(h).alias("num_hash_functions"))
     p = planes(spark, h, dims, seed)
     functions = p.select(F.concat_ws("#", config, F.col("hash_index")).alias("id"), config.alias("config_id"), "hash_index", now.alias("created_at"), "projection")
-    rows = hash_vectors(vectors, p).select(F.concat_ws("#", config, F.col("id")).alias("id"), config.alias("config_id"), "bucket_hash", F.col("id").alias("vector_id"), now.alias("created_at"))
+    rows = bucket_rows(hash_vectors(vectors, p), config, now)
     return {"lsh_configs": configs, "lsh_hash_functions": functions, "lsh_buckets": rows}

@@ -6,21 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _fan_out(notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """notes left joined with chunks, note vectors and chunk vectors; the product of the matches is kept."""
-    n = notes.select(F.col("id").alias("note_id"), "path", "created_at", "updated_at")
-    c = chunks.select("note_id", F.col("id").alias("c_id"))
-    vn = vectors.where("type = 'note'").select("note_id", F.col("id").alias("vn_id"), F.col("created_at").alias("vn_created"))
-    vc = vectors.where("type = 'chunk'").select(F.col("chunk_id").alias("c_id"), F.col("id").alias("vc_id"), F.col("created_at").alias("vc_created"))
-    return n.join(c, "note_id", "left").join(vn, "note_id", "left").join(vc, "c_id", "left")
+def per_note(notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Per note what a join with its chunks, note vectors and chunk vectors would count, without the join's product.
+
+    The counts are those of the joined rows, so a second note vector doubles both chunk counts. Every
+    side is aggregated first, so nothing is multiplied but numbers.
+    """
+    vn = vectors.where("type = 'note'").groupBy(F.col("note_id").alias("id")).agg(F.count("id").alias("_nv"), F.min("created_at").alias("_vn"))
+    vc = vectors.where("type = 'chunk'").groupBy(F.col("chunk_id").alias("_chunk")).agg(F.count("id").alias("_k"), F.min("created_at").alias("_made"))
+    c = chunks.select("note_id", F.col("id").alias("_chunk")).join(vc, "_chunk", "left").withColumn("_k", F.coalesce("_k", F.lit(0)))
+    c = c.groupBy(F.col("note_id").alias("id")).agg(F.sum(F.greatest(F.col("_k"), F.lit(1))).alias("_rows"), F.sum("_k").alias("_with"), F.min("_made").alias("_vc"), F.bool_or(F.col("_k") == 0).alias("_bare"))
+    out = notes.select("id", "path", "created_at", "updated_at").join(vn, "id", "left").join(c, "id", "left")
+    times = F.greatest(F.coalesce("_nv", F.lit(0)), F.lit(1))
+    has = F.coalesce(F.col("_nv") > 0, F.lit(False))
+    total, with_vectors = (F.coalesce(F.col(k), F.lit(0)) * times for k in ("_rows", "_with"))
+    fresh_note = F.coalesce(has & (F.col("_vn") >= F.col("updated_at")), F.lit(False))
+    fresh_chunks = (total == 0) | F.coalesce((with_vectors == total) & (F.col("_vc") >= F.col("updated_at")), F.lit(False))
+    old = ~has | (F.col("_vn") < F.col("updated_at")) | F.coalesce("_bare", F.lit(False)) | (F.col("_vc") < F.col("updated_at"))
+    return out.select(
+        F.col("id").alias("note_id"), "path", "created_at", "updated_at",
+        has.alias("has_note_vector"), fresh_note.alias("note_vector_up_to_date"),
+        total.alias("total_chunks"), with_vectors.alias("chunks_with_vectors"), fresh_chunks.alias("all_chunk_vectors_up_to_date"),
+        (fresh_note & fresh_chunks).alias("fully_processed"), F.coalesce(old, F.lit(False)).alias("modified"),
+    )
 
 
 def modified_files(notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """path, updated_at of notes with a missing or older note vector, or a chunk with one; newest first."""
-    rows = _fan_out(notes, chunks, vectors)
-    old = F.col("vn_id").isNull() | (F.col("vn_created") < F.col("updated_at"))
-    old_chunk = F.col("c_id").isNotNull() & (F.col("vc_id").isNull() | (F.col("vc_created") < F.col("updated_at")))
-    return rows.where(old | F.coalesce(old_chunk, F.lit(False))).select("path", "updated_at").distinct().orderBy(F.desc("updated_at"), "path")
+    return per_note(notes, chunks, vectors).where("modified").select("path", "updated_at").distinct().orderBy(F.desc("updated_at"), "path")
 
 
 def files_without_vectors(notes: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -30,10 +43,8 @@ def files_without_vectors(notes: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def outdated_files(notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """path, note_id, updated_at: modified files and those without vectors, once a path."""
-    a = modified_files(notes, chunks, vectors).select("path")
-    b = files_without_vectors(notes, vectors).select("path")
-    return notes.join(a.unionByName(b).distinct(), "path", "left_semi").select("path", F.col("id").alias("note_id"), "updated_at")
+    """path, note_id, updated_at: modified files and those without vectors; the latter are modified, too."""
+    return per_note(notes, chunks, vectors).where("modified").select("path", "note_id", "updated_at")
 
 
 def vector_count(vectors: DataFrame) -> DataFrame:
@@ -50,19 +61,7 @@ def note_status(notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> Data
 
     Counts are over the joined rows, so a second note vector doubles both chunk counts.
     """
-    g = _fan_out(notes, chunks, vectors).groupBy("note_id", "updated_at").agg(
-        F.count("c_id").alias("total_chunks"),
-        F.count("vn_id").alias("_notes"),
-        F.count("vc_id").alias("chunks_with_vectors"),
-        F.min("vn_created").alias("_vn"),
-        F.min("vc_created").alias("_vc"),
-    )
-    g = g.withColumn("has_note_vector", F.col("_notes") > 0)
-    g = g.withColumn("note_vector_up_to_date", F.coalesce(F.col("has_note_vector") & (F.col("_vn") >= F.col("updated_at")), F.lit(False)))
-    chunked = (F.col("chunks_with_vectors") == F.col("total_chunks")) & (F.col("_vc") >= F.col("updated_at"))
-    g = g.withColumn("all_chunk_vectors_up_to_date", (F.col("total_chunks") == 0) | F.coalesce(chunked, F.lit(False)))
-    g = g.withColumn("fully_processed", F.col("note_vector_up_to_date") & F.col("all_chunk_vectors_up_to_date"))
-    return g.drop("_notes", "_vn", "_vc")
+    return per_note(notes, chunks, vectors).drop("path", "created_at", "modified")
 
 
 def up_to_date(notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -121,10 +120,9 @@ def fts_stats(content: DataFrame) -> DataFrame:
 
 def db_stats(notes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row of totals."""
-    processed = note_status(notes, chunks, vectors).agg(F.count(F.lit(1)).alias("total_notes"), F.count_if("fully_processed").alias("processed_notes"))
-    outdated = outdated_files(notes, chunks, vectors).agg(F.count(F.lit(1)).alias("outdated_files"))
+    told = per_note(notes, chunks, vectors).agg(F.count(F.lit(1)).alias("total_notes"), F.count_if("fully_processed").alias("processed_notes"), F.count_if("modified").alias("outdated_files"))
     kinds = vectors.agg(F.count(F.lit(1)).alias("total_vectors"), F.count_if(F.col("type") == "note").alias("note_vectors"), F.count_if(F.col("type") == "block").alias("block_vectors"))
-    return processed.crossJoin(kinds).crossJoin(outdated).crossJoin(orphan_counts(notes, chunks, vectors))
+    return told.crossJoin(kinds).crossJoin(orphan_counts(notes, chunks, vectors))
 
 
 def report(stats: dict) -> str:

@@ -45,18 +45,21 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, notes: DataFrame, blocks: DataFrame | None, chunks: DataFrame | None, options: SearchOptions, planes: DataFrame | None = None) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, notes: DataFrame, blocks: DataFrame | None, chunks: DataFrame | None, options: SearchOptions, planes: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """Search results: query_id, id, note_id, chunk_id, block_id, type, score, rank, text, note_path, note_name, positions.
 
-    With planes, candidates come from the nearest buckets; kinds and excluded paths are dropped after
-    that, as whole buckets are chosen from all vectors. Hits without note, chunk or block are dropped
-    before ranking.
+    With planes, candidates come from the nearest buckets of index (bucket_hash, vector_id; made from
+    vectors if there is none), and only their vectors are fetched; kinds and excluded paths are dropped
+    after that, as whole buckets are chosen from all vectors. Hits without note, chunk or block are
+    dropped before ranking.
     """
     pool = vectors
     if planes is not None and options.use_index:
-        hashed = hash_vectors(vectors, planes)
-        near = candidates(hash_vectors(queries.withColumnRenamed("query", "vector"), planes).select("query_id", "bucket_hash"), hashed, options.top_k)
-        pool = near.join(F.broadcast(queries.select("query_id", "query")), "query_id")
+        if index is None:
+            index = hash_vectors(vectors.select("id", "vector"), planes).withColumnRenamed("id", "vector_id")
+        asked = hash_vectors(queries.select("query_id", F.col("query").alias("vector")), planes).select("query_id", "bucket_hash")
+        near = candidates(asked, index.select("bucket_hash", "vector_id"), options.top_k).select("query_id", F.col("vector_id").alias("id"))
+        pool = vectors.join(near, "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
     else:
         pool = vectors.crossJoin(F.broadcast(queries.select("query_id", "query")))
     pool = pool.where(F.col("type").isin(*options.types) if options.types else F.lit(False))
@@ -80,11 +83,12 @@ def vector_search(queries: DataFrame, vectors: DataFrame, notes: DataFrame, bloc
     return ranked(out, options.top_k)
 
 
-def search_fts(content: DataFrame, query: str, limit: int, strict: bool = False) -> DataFrame:
+def search_fts(content: DataFrame, query: str, limit: int, strict: bool = False, postings: DataFrame | None = None) -> DataFrame:
     """Rows of content that match query, in docid order, limit of them; relevance is 1.
 
     Quotes are deleted first; nothing left gives no rows. A malformed query raises with strict, else
-    its words are joined by AND.
+    its words are joined by AND. With postings only those of the query's terms are read, and of content
+    only the rows found; without, every row is tokenised.
     """
     words = query.replace('"', "").replace("'", "").strip()
     try:
@@ -93,17 +97,32 @@ def search_fts(content: DataFrame, query: str, limit: int, strict: bool = False)
         if strict:
             raise
         tree = fts.parse(" ".join(w for w in fts.query_tokens(words)))
-    columns = {c: fts.fts_tokens(F.coalesce(F.col(c), F.lit(""))) for c in fts.used_columns(tree)}
-    return content.where(fts.predicate(tree, columns)).withColumn("relevance", F.lit(1.0)).orderBy("docid").limit(limit)
+    if postings is None:
+        columns = {c: fts.fts_tokens(F.coalesce(F.col(c), F.lit(""))) for c in fts.used_columns(tree)}
+        found = content.where(fts.predicate(tree, fts.TokenArrays(columns)))
+    else:
+        hits = postings.where(fts.wanted(tree)).groupBy("docid").agg(F.collect_list(F.struct("column", "term", "positions")).alias("found"))
+        hits = hits.where(fts.predicate(tree, fts.FoundPostings(F.col("found")))).select("docid").orderBy("docid").limit(limit)
+        found = content.join(F.broadcast(hits), "docid")  # limit rows at most
+    return found.withColumn("relevance", F.lit(1.0)).orderBy("docid").limit(limit)
+
 
+def search_fts_many(content: DataFrame, queries: DataFrame, limit: int, postings: DataFrame | None = None) -> DataFrame:
+    """AND search for many queries (query_id, query): query_id, rank by docid, and content's columns.
 
-def search_fts_many(content: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """AND search for many queries (query_id, query): query_id, rank by docid, and content's columns."""
-    q = queries.select("query_id", F.array_distinct(fts.fts_tokens(fts_sanitise(F.col("query")))).alias("_terms")).where(F.size("_terms") > 0)
-    found = content.withColumn("_tokens", F.array_distinct(fts.fts_tokens(F.coalesce("content", F.lit("")))))
-    hits = found.join(F.broadcast(q), F.size(F.array_except("_terms", "_tokens")) == 0).drop("_terms", "_tokens")
+    The terms of the stated query set go to the workers; a row matches a query when it has as many of
+    its terms as there are. Without postings the terms come from the texts.
+    """
+    q = queries.select("query_id", F.array_distinct(fts.fts_tokens(fts_sanitise(F.col("query")))).alias("_terms"))
+    q = q.select("query_id", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
+    if postings is None:
+        have = content.select("docid", F.explode(F.array_distinct(fts.fts_tokens(F.coalesce("content", F.lit(""))))).alias("term"))
+    else:
+        have = postings.where("column = 'content'").select("docid", "term")
+    hits = have.join(F.broadcast(q), "term").groupBy("query_id", "docid").agg(F.count(F.lit(1)).alias("_have"), F.first("_n").alias("_n")).where("_have = _n")
     w = Window.partitionBy("query_id").orderBy("docid")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    hits = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "docid", "rank")
+    return content.join(F.broadcast(hits), "docid")  # limit rows a query at most
 
 
 def fuse(by_vector: DataFrame, by_fts: DataFrame, options: SearchOptions, k: int = 60) -> DataFrame:
@@ -126,12 +145,29 @@ def fuse(by_vector: DataFrame, by_fts: DataFrame, options: SearchOptions, k: int
     return out.where(~F.col("note_path").isin(*options.exclude_paths)) if options.exclude_paths else out
 
 
-def hybrid_search(queries: DataFrame, vectors: DataFrame, notes: DataFrame, blocks: DataFrame | None, content: DataFrame, options: SearchOptions, planes: DataFrame | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, vectors: DataFrame, notes: DataFrame, blocks: DataFrame | None, content: DataFrame, options: SearchOptions, planes: DataFrame | None = None, index: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
     """queries: query_id, query (int8 vector) and text. Keyword hits of missing blocks keep null positions."""
-    by_vector = vector_search(queries, vectors, notes, blocks, None, options, planes)
-    hits = search_fts_many(content, queries.select("query_id", F.col("text").alias("query")), 2 * options.top_k).withColumnRenamed("content", "text")
+    by_vector = vector_search(queries, vectors, notes, blocks, None, options, planes, index)
+    hits = search_fts_many(content, queries.select("query_id", F.col("text").alias("query")), 2 * options.top_k, postings).withColumnRenamed("content", "text")
     out = fuse(by_vector, hits, options)
     if blocks is None:
         return out
     where = blocks.select(F.col("id").alias("block_id"), "start_position", "end_position")
     return out.join(where, "block_id", "left")
+
+
+def result_batches(results: DataFrame, size: int = 3) -> DataFrame:
+    """Results in the batches in which a panel shows them: batch from 0, and of each query how many results there are."""
+    total = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    return results.withColumn("batch", F.floor((F.col("rank") - 1) / size).cast("int")).withColumn("shown", F.format_string("%d results", total))
+
+
+def block_navigation(results: DataFrame, highlight: bool = True) -> DataFrame:
+    """Where opening a result puts the cursor, what it selects, and the context of the search that follows.
+
+    Results without a block position open the note alone: no cursor, no search.
+    """
+    at, end = F.col("start_position"), F.col("end_position")
+    select = F.when(F.lit(highlight) & at.isNotNull() & end.isNotNull(), F.struct(at.alias("from"), end.alias("to")))
+    context = F.when(at.isNotNull() & (F.col("text") != ""), F.col("text"))
+    return results.select("query_id", "rank", "note_path", F.when(at.isNotNull(), F.struct(at["line"].alias("line"), at["col"].alias("col"))).alias("cursor"), select.alias("selection"), context.alias("context"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfind.functions import text as X
@@ -16,34 +14,11 @@ from quillfind.operators import maintenance as M
 from quillfind.operators import search as S
 from quillfind.plans import fixtures as fx
 from quillfind.plans.fixtures import sql
+from quillfind.plans.registry import ORACLES, QUERIES, listed, register, seconds  # noqa: F401  the registered queries are read from here, too
 from quillfind.settings import MODEL_DIMENSIONS, Settings, model_dimensions, requires_reindex
 from quillfind.streaming import editor as R
 from quillfind.streaming import files as C
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(oracle: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return put
-
-
-def seconds(c: str) -> Column:
-    return F.unix_seconds(c).alias(c)
-
-
-def listed(v: Column, digits: int | None = None) -> Column:
-    """An array as text, the same in both engines."""
-    items = F.transform(v, lambda x: F.format_string(f"%.{digits}f", F.round(x, digits) + 0.0) if digits is not None else x.cast("string"))
-    return F.array_join(items, ",")
-
-
 # --- vectors ---------------------------------------------------------------------------------------
 
 _COS = """CASE WHEN {na} = 0 OR {nb} = 0 THEN 0.0::DOUBLE ELSE ({dot} / ({na} * {nb}) + 1) / 2 END"""
@@ -66,20 +41,21 @@ def vec_quantize_int8(spark, d):
     return fx.vectors(spark, d).select("vec_id", listed(F.col("vector")).alias("vector"))
 
 
-def _queries(spark, d, n: int = 10) -> DataFrame:
-    return fx.vectors(spark, d).where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+def _queries(spark, d) -> DataFrame:
+    """The stated query set: every vector whose id is divisible by 50."""
+    return fx.vectors(spark, d).where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
 
 
-_KNN = "s AS (SELECT q.vec_id AS query_id, v.id, v.type, v.note_id, " + _cos("q.vector", "v.vector") + " AS score FROM vectors v, vectors q WHERE q.vec_id < {n})"
+_KNN = "s AS (SELECT q.vec_id AS query_id, v.id, v.type, v.note_id, " + _cos("q.vector", "v.vector") + " AS score FROM vectors v, vectors q WHERE {n})"
 
 
-@register("WITH " + fx.CTES["vectors"] + ",\n" + _KNN.format(n=1) + " SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
+@register("WITH " + fx.CTES["vectors"] + ",\n" + _KNN.format(n="q.vec_id = 0") + " SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
 def vec_cosine_topk(spark, d):
-    q = _queries(spark, d, 1)
+    q = _queries(spark, d).where("query_id = 0")  # the search for one text
     return S.knn(q, fx.vectors(spark, d).select("id", "vector"), 10).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("WITH " + fx.CTES["vectors"] + ",\n" + _KNN.format(n=10) + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
+@register("WITH " + fx.CTES["vectors"] + ",\n" + _KNN.format(n="q.vec_id % 50 = 0") + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
 def vec_knn_multi(spark, d):
     return S.knn(_queries(spark, d), fx.vectors(spark, d).select("id", "vector"), 10).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -95,7 +71,7 @@ def _hits(df: DataFrame) -> DataFrame:
     return df.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"), "note_path", "text")
 
 
-@register("WITH " + ",\n".join(fx.CTES[k] for k in ("notes", "blocks", "vectors")) + ",\n" + _KNN.format(n=10) + _FILTERED)
+@register("WITH " + ",\n".join(fx.CTES[k] for k in ("notes", "blocks", "vectors")) + ",\n" + _KNN.format(n="q.vec_id % 50 = 0") + _FILTERED)
 def vec_knn_filtered(spark, d):
     options = S.SearchOptions(min_score=0.1, exclude_paths=_excluded(spark, d), use_index=False)
     return _hits(S.vector_search(_queries(spark, d), fx.vectors(spark, d), fx.notes(spark, d), fx.blocks(spark, d), None, options))
@@ -113,18 +89,14 @@ _HASHED = """bits AS (SELECT v.vec_id, h, CASE WHEN list_sum(list_transform(gene
 hashes AS (SELECT vec_id, string_agg(b, '' ORDER BY h) AS bucket_hash FROM bits GROUP BY vec_id), hashed AS (SELECT * FROM vectors JOIN hashes USING (vec_id))"""
 _LSH = "WITH " + fx.CTES["vectors"] + ",\n" + _PLANES + ",\n" + _HASHED + ",\nbuckets AS (SELECT bucket_hash, count(*) AS size FROM hashed GROUP BY 1)"
 _NEAR = """,
-q AS (SELECT vec_id AS query_id, vector AS qv, bucket_hash AS qh FROM hashed WHERE vec_id < 10),
+q AS (SELECT vec_id AS query_id, vector AS qv, bucket_hash AS qh FROM hashed WHERE vec_id % 50 = 0),
 dist AS (SELECT query_id, b.bucket_hash, size, hamming(qh, b.bucket_hash) AS distance FROM q, buckets b),
 run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY query_id ORDER BY distance, bucket_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nearer FROM dist),
 near AS (SELECT * FROM run WHERE nearer < 100)"""
 
 
-def _planes(spark, d) -> DataFrame:
-    return L.planes(spark, L.plane_count(fx.table(spark, d, "embeddings").count()), _DIMS, _SEED)
-
-
 def _hashed(spark, d) -> DataFrame:
-    return L.hash_vectors(fx.vectors(spark, d), _planes(spark, d))
+    return L.hash_vectors(fx.vectors(spark, d), fx.lsh_planes(spark, d))
 
 
 @register("WITH " + _PLANES + " SELECT h AS hash_index, j AS place, round(z, 9) + 0 AS value FROM cell")
@@ -151,16 +123,17 @@ def lsh_stats(spark, d):
 @register(_LSH + _NEAR + " SELECT query_id, bucket_hash, distance::BIGINT AS distance FROM dist")
 def lsh_hamming(spark, d):
     h = _hashed(spark, d)
-    q = h.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), L.bits_of(F.col("bucket_hash")).alias("q"))
+    q = h.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), L.bits_of(F.col("bucket_hash")).alias("q"))
     out = L.bucket_sizes(h).crossJoin(F.broadcast(q))
     return out.select("query_id", "bucket_hash", V.hamming_bits(F.col("q"), L.bits_of(F.col("bucket_hash"))).cast("bigint").alias("distance"))
 
 
 @register(_LSH + _NEAR + " SELECT query_id, h.id, distance::BIGINT AS distance FROM near JOIN hashed h USING (bucket_hash)")
 def lsh_candidates(spark, d):
-    h = _hashed(spark, d)
-    q = h.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "bucket_hash")
-    return L.candidates(q, h, 10).select("query_id", "id", F.col("distance").cast("bigint").alias("distance"))
+    index = fx.lsh_index(spark, d)
+    asked = F.col("vector_id").cast("bigint")
+    q = index.where(asked % 50 == 0).select(asked.alias("query_id"), "bucket_hash")
+    return L.candidates(q, index, 10).select("query_id", F.col("vector_id").alias("id"), F.col("distance").cast("bigint").alias("distance"))
 
 
 @register(
@@ -170,7 +143,7 @@ def lsh_candidates(spark, d):
     + ",\nr AS (SELECT s.query_id, s.id, s.score, n.path AS note_path, CASE WHEN s.type = 'note' THEN n.path || ' - ' || n.name ELSE b.content END AS text FROM s JOIN notes n ON n.id = s.note_id LEFT JOIN blocks b ON b.id = s.block_id WHERE s.type IN ('note', 'block') AND s.score >= 0.1) SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, note_path, text FROM r WHERE text IS NOT NULL QUALIFY rank <= 10"
 )
 def lsh_search(spark, d):
-    return _hits(S.vector_search(_queries(spark, d), fx.vectors(spark, d), fx.notes(spark, d), fx.blocks(spark, d), None, S.SearchOptions(min_score=0.1), _planes(spark, d)))
+    return _hits(S.vector_search(_queries(spark, d), fx.vectors(spark, d), fx.notes(spark, d), fx.blocks(spark, d), None, S.SearchOptions(min_score=0.1), fx.lsh_planes(spark, d), fx.lsh_index(spark, d)))
 
 
 # --- text ------------------------------------------------------------------------------------------
@@ -275,22 +248,22 @@ def _fts(where: str, limit: int = 20) -> str:
 
 @register(_fts("list_contains(w, 'the') AND list_contains(w, 'of') AND list_contains(w, 'and')"))
 def fts_and(spark, d):
-    return _found(S.search_fts(fx.fts_content(spark, d), "The of \"and\"", 20))
+    return _found(S.search_fts(fx.fts_content(spark, d), "The of \"and\"", 20, postings=fx.fts_postings(spark, d)))
 
 
 @register(_fts("len(list_filter(w, lambda x: starts_with(x, 'thest'))) > 0"))
 def fts_prefix(spark, d):
-    return _found(S.search_fts(fx.fts_content(spark, d), "thest*", 20))
+    return _found(S.search_fts(fx.fts_content(spark, d), "thest*", 20, postings=fx.fts_postings(spark, d)))
 
 
 @register(_fts("(list_contains(w, 'und') OR list_contains(w, 'les')) AND NOT list_contains(w, 'der')"))
 def fts_or_not(spark, d):
-    return _found(S.search_fts(fx.fts_content(spark, d), "(und OR les) NOT der", 20))
+    return _found(S.search_fts(fx.fts_content(spark, d), "(und OR les) NOT der", 20, postings=fx.fts_postings(spark, d)))
 
 
 @register(_fts("list_contains(w, 'the')", 7))
 def fts_limit_order(spark, d):
-    return _found(S.search_fts(fx.fts_content(spark, d), "the", 7))
+    return _found(S.search_fts(fx.fts_content(spark, d), "the", 7, postings=fx.fts_postings(spark, d)))
 
 
 @register(
@@ -302,12 +275,12 @@ SELECT docid, id, note_path, 1.0::DOUBLE AS relevance FROM fts JOIN m USING (doc
     )
 )
 def fts_near(spark, d):
-    return _found(S.search_fts(fx.fts_content(spark, d), "the NEAR/2 was", 20))
+    return _found(S.search_fts(fx.fts_content(spark, d), "the NEAR/2 was", 20, postings=fx.fts_postings(spark, d)))
 
 
 @register(sql("notes blocks fts", "SELECT docid, id, note_path, 1.0::DOUBLE AS relevance FROM ftsw WHERE list_contains(regexp_extract_all(note_path, '[a-z0-9]+'), 'src3') AND list_contains(w, 'the') ORDER BY docid LIMIT 20"))
 def fts_column(spark, d):
-    return _found(S.search_fts(fx.fts_content(spark, d), "note_path:src3 the", 20))
+    return _found(S.search_fts(fx.fts_content(spark, d), "note_path:src3 the", 20, postings=fx.fts_postings(spark, d)))
 
 
 @register(sql("notes blocks fts", "SELECT 'note_' || n.id AS id, 'note' AS type, n.id AS note_id FROM notes n WHERE n.doc_id % 3 = 0 UNION ALL SELECT 'block_' || b.id, 'block', b.note_id FROM blocks b WHERE b.doc_id % 3 = 0"))
@@ -325,11 +298,9 @@ def fts_stats(spark, d):
 
 
 def _spoken(spark, d) -> DataFrame:
-    """Ten queries: the first two words of the first user turns."""
-    from quillfind.functions.fts import fts_tokens
-
-    first = fx.table(spark, d, "conversations").where("role = 'user' AND conv_id < 10").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    return first.select(F.col("conv_id").cast("bigint").alias("query_id"), F.array_join(F.slice(fts_tokens(F.col("text")), 1, 2), " ").alias("text"))
+    """The stated query set: the whole first user turn of every conversation whose id is divisible by 50."""
+    first = fx.table(spark, d, "conversations").where("role = 'user' AND conv_id % 50 = 0").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    return first.select(F.col("conv_id").cast("bigint").alias("query_id"), "text")
 
 
 _TOK = "regexp_extract_all(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
@@ -343,12 +314,12 @@ _EMBED = """{out} AS (SELECT k, list_transform(raw, lambda x: floor(greatest(-1:
 def _hybrid_sql(weight: float, exclude: str = "false") -> str:
     parts = [
         fx.CTES["notes"],
-        f"spoken AS (SELECT conv_id AS query_id, array_to_string({_TOK.format(c='min_by(text, turn)')}[1:2], ' ') AS text FROM conversations WHERE role = 'user' AND conv_id < 10 GROUP BY conv_id)",
+        "spoken AS (SELECT conv_id AS query_id, min_by(text, turn) AS text FROM conversations WHERE role = 'user' AND conv_id % 50 = 0 GROUP BY conv_id)",
         _EMBED.format(out="qe", key="query_id", tok=_TOK.format(c="text"), src="spoken"),
         _EMBED.format(out="ne", key="id", tok=_TOK.format(c="text"), src="(SELECT * FROM notes WHERE length(trim(text)) >= 16)"),
         "s AS (SELECT q.k AS query_id, n.k AS id, " + _cos("q.vector", "n.vector") + " AS score FROM qe q, ne n)",
         f"v AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'v' || id) AS rank FROM s JOIN notes USING (id) WHERE NOT ({exclude}) QUALIFY rank <= 10)",
-        f"h AS (SELECT q.query_id, n.id, row_number() OVER (PARTITION BY q.query_id ORDER BY n.doc_id) AS rank FROM spoken q JOIN (SELECT *, {_TOK.format(c='text')} AS w FROM notes) n ON list_has_all(n.w, string_split(q.text, ' ')) WHERE q.text <> '' QUALIFY rank <= 20)",
+        f"h AS (SELECT q.query_id, n.id, row_number() OVER (PARTITION BY q.query_id ORDER BY n.doc_id) AS rank FROM spoken q JOIN (SELECT *, {_TOK.format(c='text')} AS w FROM notes) n ON list_has_all(n.w, {_TOK.format(c="translate(q.text, chr(34) || chr(39), '')")}) WHERE len({_TOK.format(c="translate(q.text, chr(34) || chr(39), '')")}) > 0 QUALIFY rank <= 20)",
         f"u AS (SELECT coalesce(v.query_id, h.query_id) AS query_id, coalesce(v.id, h.id) AS id, v.rank AS rv, h.rank AS rf, coalesce({weight}::DOUBLE * (1::DOUBLE / (60 + v.rank)), 0) + coalesce((1 - {weight}::DOUBLE) * (1::DOUBLE / (60 + h.rank)), 0) AS score FROM v FULL JOIN h ON v.query_id = h.query_id AND v.id = h.id)",
         "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rv NULLS LAST, rf) AS rank FROM u WHERE score > 0 QUALIFY rank <= 10)",
     ]
@@ -357,13 +328,10 @@ def _hybrid_sql(weight: float, exclude: str = "false") -> str:
 
 def _hybrid(spark, d, options: S.SearchOptions) -> DataFrame:
     n = fx.notes(spark, d)
-    provider = E.HashingEmbedder(_DIMS)
-    long = n.where(X.long_enough(F.col("text"))).select(F.concat(F.lit("v"), "id").alias("id"), F.col("id").alias("note_id"), "text")
-    none = F.lit(None).cast("string")
-    v = E.embed(long, provider).select("id", "note_id", none.alias("chunk_id"), none.alias("block_id"), F.lit("note").alias("type"), "vector")
-    q = E.embed(_spoken(spark, d), provider).withColumnRenamed("vector", "query")
+    q = E.embed(_spoken(spark, d), E.HashingEmbedder(_DIMS)).withColumnRenamed("vector", "query")
     content = fx.fts_content(spark, d).where("type = 'note'")
-    out = S.hybrid_search(q, v, n, None, content, options)
+    note_ids = fx.fts_postings(spark, d).where(F.col("docid") < 1 << 40)  # notes come before blocks
+    out = S.hybrid_search(q, fx.note_vectors(spark, d), n, None, content, options, postings=note_ids)
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 9).alias("score"), "key", "note_path")
 
 
@@ -631,17 +599,47 @@ def _file_events(spark, d) -> DataFrame:
     return fx.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), path.alias("path"), op.alias("op"), new.alias("new_path"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"))
 
 
+def _stored_files(spark, d) -> DataFrame:
+    had = fx.table(spark, d, "events").where("user_id % 2 = 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md")).alias("path")).distinct()
+    at = F.timestamp_seconds(F.lit(fx.START))
+    return had.select(F.sha2("path", 256).alias("id"), at.alias("created_at"), at.alias("updated_at"), "path", F.col("path").alias("name"), F.col("path").alias("base_name"), F.lit("old").alias("text"))
+
+
+#: What an event finds at its path is what the user's event before it left there.
+_FOUND = f"""{_OPS}, l AS (SELECT *, lag(op) OVER w AS before, lag(event_id) OVER w AS before_id, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS back FROM ops WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+r AS (SELECT user_id, arg_max(struct_pack(before, before_id, event_id), (us, event_id)) AS x FROM l WHERE op = 'rename' GROUP BY user_id)"""
+
+
 @register(
-    f"""WITH {_OPS}, l AS (SELECT user_id, arg_max(op, (us, event_id)) AS op, arg_max(event_id, (us, event_id)) AS event_id FROM ops GROUP BY user_id),
-h AS (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0)
-SELECT CASE WHEN op = 'rename' THEN 'new-u' ELSE 'u' END || l.user_id || '.md' AS path, CASE WHEN op = 'rename' AND h.user_id IS NOT NULL THEN 'old' ELSE 'text ' || event_id END AS text FROM l LEFT JOIN h USING (user_id) WHERE op <> 'delete'"""
+    f"""WITH {_FOUND}
+SELECT 'u' || user_id || '.md' AS path, 'text ' || event_id AS text FROM l WHERE back = 1 AND op IN ('create', 'modify')
+UNION ALL SELECT 'new-u' || user_id || '.md', CASE WHEN x.before IN ('create', 'modify') THEN 'text ' || x.before_id WHEN x.before IS NULL AND user_id % 2 = 0 THEN 'old' ELSE 'text ' || x.event_id END FROM r"""
 )
 def cdc_apply(spark, d):
-    e = _file_events(spark, d)
-    had = fx.table(spark, d, "events").where("user_id % 2 = 0").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".md")).alias("path")).distinct()
+    return C.apply_events(_stored_files(spark, d), _file_events(spark, d), F.timestamp_seconds(F.lit(fx.START))).select("path", "text")
+
+
+_CHAIN = "WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events), s AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS moves, 'old' AS text FROM (SELECT DISTINCT user_id FROM events) UNION ALL SELECT o.user_id, o.i, s.moves + CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END, CASE WHEN event_type = 'purchase' THEN s.text ELSE 'text ' || o.event_id END FROM s JOIN o ON o.user_id = s.user_id AND o.i = s.i + 1) SELECT 'u' || user_id || '-' || max(moves) || '.md' AS path, arg_max(text, i) AS text FROM s GROUP BY user_id"
+
+
+@register(_CHAIN)
+def cdc_modify_rename(spark, d):
+    """A file edited and renamed again and again: edits keep their place between the renames, and all follow the file."""
+    from pyspark.sql import Window
+
+    e = fx.table(spark, d, "events").withColumn("op", F.when(F.col("event_type") == "purchase", "rename").otherwise("modify"))
+    renamed = (F.col("op") == "rename").cast("int")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumn("n", F.sum(renamed).over(w))
+
+    def path(moves: Column) -> Column:
+        return F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), moves.cast("string"), F.lit(".md"))
+
+    events = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), path(F.col("n") - renamed).alias("path"), "op", F.when(F.col("op") == "rename", path(F.col("n"))).alias("new_path"), F.concat(F.lit("text "), F.col("event_id").cast("string")).alias("text"))
     at = F.timestamp_seconds(F.lit(fx.START))
-    notes = had.select(F.sha2("path", 256).alias("id"), at.alias("created_at"), at.alias("updated_at"), "path", F.col("path").alias("name"), F.col("path").alias("base_name"), F.lit("old").alias("text"))
-    return C.apply_events(notes, C.last_events(e), at).select("path", "text")
+    first = e.select("user_id").distinct().select(path(F.lit(0)).alias("path"))
+    notes = first.select(F.sha2("path", 256).alias("id"), at.alias("created_at"), at.alias("updated_at"), "path", F.col("path").alias("name"), F.col("path").alias("base_name"), F.lit("old").alias("text"))
+    return C.apply_events(notes, events, at).select("path", "text")
 
 
 # --- embedding and settings ------------------------------------------------------------------------

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfind.functions.text import chunk_texts
+from quillfind.functions import fts
+from quillfind.functions.text import chunk_texts, lines_of, long_enough
 from quillfind.functions.vectors import process_vector
+from quillfind.operators import lsh
+from quillfind.operators.embed import HashingEmbedder, embed
 from quillfind.schema import EMBEDDED_BLOCKS
+from quillfind.sources.scratch import shared_dir
 
 #: 2024-01-01 UTC in seconds; kinds that the lines of a document take in turn.
 START = 1704067200
@@ -36,21 +42,25 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block a line, with its kind in turn and its offset in characters."""
-    n = notes(spark, sf_dir).select("id", "doc_id", "created_at", F.split("text", "\n", -1).alias("lines"))
-    ends = F.aggregate("lines", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + 1 + F.length(x))))
-    n = n.withColumn("ends", ends).select("id", "doc_id", "created_at", "ends", F.posexplode("lines").alias("ordinal", "content"))
-    end = F.element_at("ends", F.col("ordinal") + 1)
+    return _blocks(spark, sf_dir).drop("note_path", "note_name")
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes(spark, sf_dir).select("id", "doc_id", "created_at", "path", "name", F.posexplode(lines_of("text")).alias("ordinal", "line"))
     kinds = F.array(*map(F.lit, LINE_TYPES))
+    content, end = F.col("line.content"), F.col("line.end")
     return n.select(
         F.concat_ws("#", "id", F.col("ordinal").cast("string")).alias("id"),
         F.col("id").alias("note_id"),
         "created_at",
         "ordinal",
         F.element_at(kinds, ((F.col("doc_id") + F.col("ordinal")) % 6 + 1).cast("int")).alias("type"),
-        "content",
-        F.struct(F.col("ordinal").alias("line"), F.lit(0).alias("col"), (end - F.length("content")).alias("offset")).alias("start_position"),
-        F.struct(F.col("ordinal").alias("line"), F.length("content").alias("col"), end.alias("offset")).alias("end_position"),
+        content.alias("content"),
+        F.struct(F.col("ordinal").alias("line"), F.lit(0).alias("col"), (end - F.length(content)).alias("offset")).alias("start_position"),
+        F.struct(F.col("ordinal").alias("line"), F.length(content).alias("col"), end.alias("offset")).alias("end_position"),
         "doc_id",
+        F.col("path").alias("note_path"),
+        F.col("name").alias("note_name"),
     )
 
 
@@ -84,12 +94,58 @@ def fts_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes, then embedded blocks, in order of docid."""
     n = notes(spark, sf_dir)
     own = n.select(F.col("doc_id").alias("docid"), F.concat(F.lit("note_"), "id").alias("id"), F.lit("note").alias("type"), F.col("id").alias("note_id"), F.col("text").alias("content"), F.col("path").alias("note_path"), F.col("name").alias("note_name"), F.lit(None).cast("string").alias("block_id"))
-    paths = n.select(F.col("id").alias("note_id"), F.col("path").alias("note_path"), F.col("name").alias("note_name"))
-    b = blocks(spark, sf_dir).where(F.col("type").isin(*EMBEDDED_BLOCKS)).join(paths, "note_id")
+    b = _blocks(spark, sf_dir).where(F.col("type").isin(*EMBEDDED_BLOCKS))
     b = b.select((F.lit(1 << 40) + F.col("doc_id") * (1 << 20) + F.col("ordinal")).alias("docid"), F.concat(F.lit("block_"), "id").alias("id"), F.lit("block").alias("type"), "note_id", "content", "note_path", "note_name", F.col("id").alias("block_id"))
     return own.unionByName(b)
 
 
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that is built once a session and folder, as an index is, and read from then on.
+
+    It is written to the folder that all executors share.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/quillfind-index/{name}-{uuid.uuid4().hex}"
+        df = make()
+        df.write.parquet(path)
+        _BUILT[key] = spark.read.schema(df.schema).parquet(path)
+    return _BUILT[key]
+
+
+def lsh_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.planes(spark, lsh.plane_count(table(spark, sf_dir, "embeddings").count()), 64, 42)
+
+
+def lsh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bucket_hash, vector_id of all vectors, in order of buckets, so that few row groups are read for one."""
+
+    def make() -> DataFrame:
+        hashed = lsh.hash_vectors(vectors(spark, sf_dir).select("id", "vector"), lsh_planes(spark, sf_dir))
+        return hashed.select("bucket_hash", F.col("id").alias("vector_id")).repartitionByRange("bucket_hash", "vector_id").sortWithinPartitions("bucket_hash")
+
+    return built(spark, sf_dir, "buckets", make)
+
+
+def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword index, in order of terms."""
+    return built(spark, sf_dir, "postings", lambda: fts.postings(fts_content(spark, sf_dir)).repartitionByRange("term", "docid").sortWithinPartitions("term", "column", "docid"))
+
+
+def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the notes' texts by the offline provider, embedded once as ingest does."""
+
+    def make() -> DataFrame:
+        long = notes(spark, sf_dir).where(long_enough(F.col("text"))).select(F.concat(F.lit("v"), "id").alias("id"), F.col("id").alias("note_id"), "text")
+        none = F.lit(None).cast("string")
+        return embed(long, HashingEmbedder(64)).select("id", "note_id", none.alias("chunk_id"), none.alias("block_id"), F.lit("note").alias("type"), "vector")
+
+    return built(spark, sf_dir, "note-vectors", make)
+
+
 _WHITE = r"[\t\n\x0b\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 #: The same tables for DuckDB, times in seconds. WITH clauses by name; a query lists those that it needs.

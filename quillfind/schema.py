@@ -22,9 +22,13 @@ TABLES: dict[str, T.StructType] = {
     "fts_content": _table(docid=_L, id=_S, type=_S, note_id=_S, content=_S, note_path=_S, note_name=_S, block_id=_S),
     "lsh_configs": _table(id=_S, created_at=_TS, vector_count=_L, vector_dimensions=_I, num_hash_functions=_I),
     "lsh_hash_functions": _table(id=_S, config_id=_S, hash_index=_I, created_at=_TS, projection=T.ArrayType(T.DoubleType())),
-    "lsh_buckets": _table(id=_S, config_id=_S, bucket_hash=_S, vector_id=_S, created_at=_TS),
+    "lsh_buckets": _table(id=_S, config_id=_S, bucket_hash=_S, vector_id=_S, note_id=_S, created_at=_TS),
+    "fts_postings": _table(term=_S, column=_S, docid=_L, note_id=_S, positions=T.ArrayType(_I)),
 }
 
+#: By which column a table's rows belong to a note; id where none is named.
+NOTE_KEYS = {"chunks": "note_id", "vectors": "note_id", "blocks": "note_id", "fts_content": "note_id", "lsh_buckets": "note_id", "fts_postings": "note_id"}
+
 #: Kinds of blocks and vectors, and the kinds of blocks that get a vector.
 BLOCK_TYPES = ("paragraph", "heading", "list", "blockquote", "code", "table", "thematicBreak", "linkReference", "definition", "yaml", "math", "callout", "embed", "footnote")
 VECTOR_TYPES = ("note", "chunk", "block")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfind.functions.text import anchor_id, lines_of
+
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """path, name, base_name, text of every .md file below path, whole texts."""
@@ -28,10 +30,7 @@ def line_kind(line):
 
 def blocks_of_lines(notes: DataFrame, now) -> DataFrame:
     """A block for each line that is not blank, with its kind and offsets."""
-    lines = notes.select(F.col("id").alias("note_id"), F.split("text", "\n", -1).alias("l"))
-    ends = F.aggregate("l", F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)) + 1 + F.length(x))))
-    rows = lines.withColumn("e", ends).select("note_id", "e", F.posexplode("l").alias("ordinal", "content"))
-    end = F.element_at("e", F.col("ordinal") + 1)
+    rows = notes.select(F.col("id").alias("note_id"), F.posexplode(lines_of("text")).alias("ordinal", "line")).select("note_id", "ordinal", "line.*")
 
     def place(col, offset):
         return F.struct(F.col("ordinal").alias("line"), col.cast("int").alias("col"), offset.cast("int").alias("offset"))
@@ -44,6 +43,7 @@ def blocks_of_lines(notes: DataFrame, now) -> DataFrame:
         "ordinal",
         line_kind(F.col("content")).alias("type"),
         "content",
-        place(F.lit(0), end - F.length("content")).alias("start_position"),
-        place(F.length("content"), end).alias("end_position"),
+        anchor_id(F.col("content")).alias("anchor_id"),
+        place(F.lit(0), F.col("end") - F.length("content")).alias("start_position"),
+        place(F.length("content"), F.col("end")).alias("end_position"),
     )

@@ -34,21 +34,50 @@ def cadence_gap(cadence: Column) -> Column:
     return F.when(cadence == "always", "500 milliseconds").when(cadence == "sometimes", "2000 milliseconds").when(cadence == "occasionally", "8000 milliseconds").otherwise("500 milliseconds")
 
 
-def suppress(events: DataFrame, calls: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def suppress(events: DataFrame, calls: DataFrame, keys: list[str] | None = None, hours: int = 1) -> DataFrame:
     """events with suppressed: is ts before the end set by the last call at or before it?
 
-    calls: event_id, ts, ms. The last call wins, a shorter one too.
+    calls: event_id, ts, ms. The last call wins, a shorter one too. Time is cut in spans of some hours:
+    a task takes a span of a key, and the last call before it comes from a table of a row a span, so
+    neither a busy key nor a single timer is one task.
     """
     keys = keys or []
     until = F.col("ts") + F.make_dt_interval(secs=(F.col("ms") / 1000).cast("decimal(18,6)"))
-    both = events.select(*keys, "event_id", "ts", F.lit(None).cast("timestamp").alias("_until"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_row"))
-    marks = calls.select(*keys, "event_id", "ts", until.alias("_until"), F.lit(0).alias("_kind"), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"))
-    # Of one instant the calls come first.
-    w = Window.partitionBy(*keys).orderBy("ts", "_kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.unionByName(marks).withColumn("_upto", F.last("_until", ignorenulls=True).over(w)).where("_kind = 1")
+    span = F.floor(F.unix_micros("ts") / F.lit(hours * 3_600_000_000)).alias("_span")
+    both = events.select(*keys, span, "event_id", "ts", F.lit(None).cast("timestamp").alias("_until"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_row"))
+    row = both.schema["_row"].dataType
+    marks = calls.select(*keys, span, "event_id", "ts", until.alias("_until"), F.lit(0).alias("_kind"), F.lit(None).cast(row).alias("_row"))
+    spans = marks.groupBy(*keys, "_span").agg(F.max_by("_until", F.struct("ts", "event_id")).alias("_last"))
+    spans = spans.unionByName(both.select(*keys, "_span", F.lit(None).cast("timestamp").alias("_last")).distinct()).groupBy(*keys, "_span").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.withColumn("_until", F.last("_last", ignorenulls=True).over(before)).where("_until IS NOT NULL")
+    carried = carried.select(*keys, "_span", F.lit(None).cast("bigint").alias("event_id"), F.timestamp_micros(F.col("_span") * F.lit(hours * 3_600_000_000)).alias("ts"), "_until", F.lit(-1).alias("_kind"), F.lit(None).cast(row).alias("_row"))
+    # Of one instant what is carried over comes first, then the calls.
+    w = Window.partitionBy(*keys, "_span").orderBy("ts", "_kind", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.unionByName(marks).unionByName(carried).withColumn("_upto", F.last("_until", ignorenulls=True).over(w)).where("_kind = 1")
     return out.select("_row.*", F.coalesce(F.col("ts") < F.col("_upto"), F.lit(False)).alias("suppressed"))
 
 
+#: How long after a trigger of a kind its context is read, in milliseconds.
+TRIGGER_DELAY_MS = {"editor-change": 0, "active-leaf-change": 0, "click": 10, "file-open": 50}
+
+
+def triggers(raw: DataFrame) -> DataFrame:
+    """Raw editor events (event_id, ts, kind, panel_visible, markdown, in_editor, context) as arrivals: event_id, ts, action, context.
+
+    Nothing happens while the panel is hidden or for other kinds. A markdown view gives a search with its
+    context; a click must be in an editor; opening another file clears the results, other events with
+    it do nothing. ts is when the context is read.
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in TRIGGER_DELAY_MS.items() for x in pair])
+    delay = F.element_at(kinds, F.col("kind"))
+    seen = raw.where(F.coalesce("panel_visible", F.lit(False)) & F.col("kind").isin(*TRIGGER_DELAY_MS))
+    search = F.coalesce("markdown", F.lit(False)) & ((F.col("kind") != "click") | F.coalesce("in_editor", F.lit(False)))
+    action = F.when(search, "search").when((F.col("kind") == "file-open") & ~F.coalesce("markdown", F.lit(False)), "clear")
+    at = F.timestamp_micros(F.unix_micros("ts") + delay * 1000)
+    return seen.select("event_id", at.alias("ts"), action.alias("action"), F.when(action == "search", F.coalesce("context", F.lit(""))).alias("context")).where("action IS NOT NULL")
+
+
 def search_fires(events: DataFrame, calls: DataFrame, gap: str = "500 milliseconds", keys: list[str] | None = None) -> DataFrame:
     """Fires that are left: suppressed events never reach the timer, and a fire within a suppression is lost."""
     kept = suppress(events, calls, keys).where(~F.col("suppressed")).drop("suppressed")

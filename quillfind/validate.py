@@ -64,5 +64,8 @@ def validate_system(provider: Provider, store, manager: ModelManager | None = No
 
 
 def summary(r: SystemResult) -> str:
-    lines = (("Provider", r.provider.success), ("Database", r.database.success), ("Models", r.models.success), ("Overall", r.overall))
-    return "\n".join(f"{name}: {'Ready' if ok else 'Issue'}" for name, ok in lines)
+    """A line for each part: its name, its state and its message."""
+    whole = r.pipeline or r.models
+    overall = Result(True, "All components are ready") if r.overall else Result(False, whole.message if not whole.success else "Some components failed")
+    parts = (("Provider", r.provider), ("Database", r.database), ("Models", r.models), ("Overall", overall))
+    return "\n".join(f"{name}: {'Ready' if x.success else 'Issue'} - {x.message}" for name, x in parts)

@@ -5,7 +5,8 @@ import os
 
 import pytest
 
-from quillfind.plans.catalogue import ORACLES, QUERIES
+import quillfind.plans  # noqa: F401  registers the queries
+from quillfind.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings conversations".split()
