@@ -1,24 +1,24 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of single tokens and of pairs of neighbours are quantised to the logarithm of their frequency:
-an n-gram at level q is entered q times, as (n-gram, 1) ... (n-gram, q), in a Bloom filter. The filter
-goes to the workers; a count is found again by probing levels until one is missing, and the smoothed
-probability of a token combines the counts of pair, history and token (Dirichlet smoothing). An n-gram
-seen once is at level 1, so every n-gram of the training texts is in the filter.
+Counts of single tokens and of pairs of neighbours, and of each token how many different ones follow
+it, are quantised to the logarithm of their frequency: an n-gram at level q is entered q times, as
+(n-gram, 1) ... (n-gram, q), in a Bloom filter. The filter goes to the workers; a count is found again
+by probing levels until one is missing. A pair's probability is interpolated with the token's own, in
+the share that the history's followers have among its occurrences (Witten-Bell), so the smoothing, too,
+is learned from the corpus. An n-gram seen once is at level 1: every one of the training texts is in.
 
 Scale: each task counts a bounded segment of its tokens and sends sorted arrays of hashes and counts,
 cut into hash ranges, so the exchange carries about 12 bytes a distinct n-gram and segment, and a
-frequent token is one entry a segment. A range is reduced in one task and owns a slice of the filter.
-The filter has BITS bits an entry at every size. Up to MAX_FILTER bytes it goes to the workers whole;
-past that its slices stay in their ranges: segments of the texts send their distinct n-grams to the
-ranges and get a byte for each back, so no process holds more than a slice and both ways give the same
-scores. Exact token counts, for the base score, go out in blocks of at most MAX_TABLE bytes, one pass
-over the texts for each block.
+frequent token is one entry a segment. Pairs go to the range of their history. Ranges follow the size of
+the input; one is reduced in one task and owns a slice of the filter. The filter has BITS bits an entry
+at every size. While it and the exact token counts, for the base score, are within MAX_FILTER and
+MAX_TABLE bytes, they go to the workers whole; past that they stay in their ranges: segments of the
+texts send their distinct n-grams to the ranges and get levels and counts back, so no process holds
+more than a slice, texts are read once, and scores are the same.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,34 +27,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, lower_words, materialize, mix64, read_table, release, texts
+from .common import GOLDEN, WordHashes, freeing, lower_words, materialize, mix64, read_table, texts, trim, utf8
 from .quality import remainder
 from .segments import pack, unpack, with_rows
 
 SEGMENT_TOKENS = 3 << 19
 LOG_BASE, BITS, PROBES = 1.5, 12, 4
 MAX_FILTER, MAX_TABLE = 192 << 20, 96 << 20
-#: Weight of the token's own probability against the history's count.
-PRIOR = 400.0
+#: Text bytes for each hash range; no fewer ranges than there are shuffle partitions.
+RANGE_BYTES = 64 << 20
 #: Stand-ins for the end of a text and for what is before its first token.
 END, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
+#: What is in the filter: tokens, pairs, and histories with the number of their followers.
+TOKEN, PAIR, FOLLOWED = 1, 2, 3
 
 
 def token_hashes(text: bytes, known: WordHashes) -> np.ndarray:
     return np.append(known.array(lower_words(text)), END)
 
 
-def pairs(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it; starts: places where texts begin."""
+def histories(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """What is before each token; starts: places where texts begin."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[starts] = START
+    return before
+
+
+def pair_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mix64(before * GOLDEN + tokens)
 
 
 def _range(keys: np.ndarray, n: int) -> np.ndarray:
     """The hash range, of n, of each key; grows with the key."""
-    return ((keys >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
+    return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def distinct_pairs(before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair hash, its history, its count, which pair each place has) in order of history, then hash."""
+    keys, first, back, counts = np.unique(pair_hashes(before, tokens), return_index=True, return_inverse=True, return_counts=True)
+    of = before[first]
+    by = np.argsort(of, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return keys[by], of[by], counts[by], place[back]
+
+
+def _pieces(n_ranges: int, tokens: np.ndarray, starts: np.ndarray, counted: bool) -> Iterator[tuple]:
+    """(range, order, keys, counts, histories, pairs of each) of the distinct n-grams of some texts."""
+    def cut(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        cuts = np.searchsorted(_range(of, n_ranges), np.arange(n_ranges + 1)) if n_ranges < len(of) else None
+        if cuts is None:  # few keys, many ranges
+            r = _range(of, n_ranges)
+            heads = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, np.int64)
+            yield from zip(r[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(r)])
+        else:
+            yield from ((k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if lo < hi)
+
+    keys, counts = np.unique(tokens, return_counts=True)
+    for k, lo, hi in cut(keys):
+        yield k, TOKEN, keys[lo:hi].tobytes(), counts[lo:hi].astype("<u4").tobytes() if counted else None, None, None
+    keys, of, counts, _ = distinct_pairs(histories(tokens, starts), tokens)
+    heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+    sizes = np.diff(np.r_[heads, len(of)])
+    for k, lo, hi in cut(of[heads]):
+        a, b = heads[lo], heads[lo] + sizes[lo:hi].sum()
+        yield k, PAIR, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes() if counted else None, of[heads[lo:hi]].tobytes(), sizes[lo:hi].astype("<u4").tobytes()
+
+
+_PIECES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+_PIECES_SQL = "range int, n int, keys binary, counts binary, before binary, sizes binary"
 
 
 def _count(n_ranges: int, segment: int):
@@ -62,17 +104,9 @@ def _count(n_ranges: int, segment: int):
         known = WordHashes(150_000)
 
         def out(held: list[np.ndarray]) -> pa.RecordBatch:
-            tokens = np.concatenate(held)
             starts = np.cumsum([0, *map(len, held)])[:-1]
-            cols: list[list] = [[], [], [], []]
-            for order, keys in ((1, tokens), (2, pairs(tokens, starts))):
-                keys, counts = np.unique(keys, return_counts=True)
-                cuts = np.searchsorted(_range(keys, n_ranges), np.arange(n_ranges + 1))
-                for r, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if lo < hi:
-                        for c, v in zip(cols, (r, order, keys[lo:hi].tobytes(), counts[lo:hi].astype("<u4").tobytes())):
-                            c.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["range", "n", "keys", "counts"])
+            cols = zip(*_pieces(n_ranges, np.concatenate(held), starts, True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _PIECES)], names=["range", "n", "keys", "counts", "before", "sizes"])
 
         held, size = [], 0
         for b in batches:
@@ -100,27 +134,38 @@ def count_at(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, middle, 0.0)
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed counts, and a place of each."""
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts, by[first]
+
+
+def _joined(column: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind)
+
+
 def _reduce(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """The pieces of a range -> its tokens with exact counts, and its pairs and histories with their levels."""
     out: dict = {"range": int(key[0])}
-    for order in (1, 2):
-        part = g[g["n"] == order]
-        keys = np.frombuffer(b"".join(part["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(part["counts"]), "<u4").astype(np.int64)
-        by = np.argsort(keys, kind="stable")
-        keys, counts = keys[by], counts[by]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-        keys, counts = keys[first], np.add.reduceat(counts, first) if len(first) else counts
-        if order == 1:
-            out |= {"tokens": int(counts.sum()), "types": len(keys), "keys1": keys.tobytes(), "counts1": counts.astype("<i8").tobytes()}
-        q = level(counts)
-        out[f"entries{order}"] = int(q.sum())
-        if order == 2:
-            out |= {"keys2": keys.tobytes(), "levels2": q.astype(np.uint8).tobytes()}
-    out["entries"] = out.pop("entries1") + out.pop("entries2")
-    return pd.DataFrame([out])[["range", "tokens", "types", "entries", "keys1", "counts1", "keys2", "levels2"]]
-
-
-_REDUCED = "range int, tokens bigint, types bigint, entries bigint, keys1 binary, counts1 binary, keys2 binary, levels2 binary"
+    part = g[g["n"] == TOKEN]
+    keys, counts, _ = _summed(_joined(part["keys"], np.uint64), _joined(part["counts"], "<u4").astype(np.int64))
+    out |= {"tokens": int(counts.sum()), "types": len(keys), "keys1": keys.tobytes(), "counts1": counts.astype("<i8").tobytes(), "entries": int(level(counts).sum())}
+    part = g[g["n"] == PAIR]
+    keys = _joined(part["keys"], np.uint64)
+    keys, counts, at = _summed(keys, _joined(part["counts"], "<u4").astype(np.int64))
+    of = np.repeat(_joined(part["before"], np.uint64), _joined(part["sizes"], "<u4"))[at]
+    before, followers = np.unique(of, return_counts=True)
+    for n, k, c in ((PAIR, keys, counts), (FOLLOWED, before, followers)):
+        q = level(c)
+        out |= {f"keys{n}": k.tobytes(), f"levels{n}": q.astype(np.uint8).tobytes()}
+        out["entries"] += int(q.sum())
+    trim()
+    return pd.DataFrame([out])[[c.split()[0] for c in _REDUCED.split(", ")]]
+
+
+_REDUCED = "range int, tokens bigint, types bigint, entries bigint, keys1 binary, counts1 binary, keys2 binary, levels2 binary, keys3 binary, levels3 binary"
 
 
 def _places(keys: np.ndarray, q: int | np.ndarray, size: np.ndarray | int, probe: int) -> np.ndarray:
@@ -134,29 +179,32 @@ def _tagged(keys: np.ndarray, order: int) -> np.ndarray:
     return keys ^ np.uint64(order)
 
 
+def slice_of(r, bits: float) -> bytes:
+    """The filter's slice of a reduced range."""
+    size = int(max(64, np.ceil(r.entries * bits)))
+    size += -size % 8
+    mask = np.zeros(size, np.uint8)
+    levels = level(np.frombuffer(r.counts1, "<i8")), np.frombuffer(r.levels2, np.uint8), np.frombuffer(r.levels3, np.uint8)
+    for order, (keys, q) in enumerate(zip((r.keys1, r.keys2, r.keys3), levels), 1):
+        keys, q = _tagged(np.frombuffer(keys, np.uint64), order), q.astype(np.int64)
+        for at in range(1, int(q.max(initial=0)) + 1):
+            some = keys[q >= at]
+            for p in range(PROBES):
+                mask[_places(some, at, size, p)] = 1
+    return np.packbits(mask, bitorder="little").tobytes()
+
+
 def _slices(bits: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                size = int(max(64, np.ceil(r.entries * bits)))
-                size += -size % 8
-                mask = np.zeros(size, np.uint8)
-                for keys, q, order in (
-                    (np.frombuffer(r.keys1, np.uint64), level(np.frombuffer(r.counts1, "<i8")), 1),
-                    (np.frombuffer(r.keys2, np.uint64), np.frombuffer(r.levels2, np.uint8).astype(np.int64), 2),
-                ):
-                    keys = _tagged(keys, order)
-                    for at in range(1, int(q.max(initial=0)) + 1):
-                        some = keys[q >= at]
-                        for p in range(PROBES):
-                            mask[_places(some, at, size, p)] = 1
-                yield pd.DataFrame({"range": [r.range], "bits": [np.packbits(mask, bitorder="little").tobytes()]})
+                yield pd.DataFrame({"range": [r.range], "bits": [slice_of(r, bits)], "keys1": [r.keys1], "counts1": [r.counts1]})
 
     return run
 
 
 class Filter:
-    """The filter's slices; slice r holds the n-grams whose hash is in range r."""
+    """The filter's slices; slice r holds the n-grams of range r."""
 
     def __init__(self, slices: list[bytes], sizes: list[int] | None = None) -> None:
         """sizes: the slices' bytes, where slices are joined already."""
@@ -164,9 +212,9 @@ class Filter:
         self.n, self.sizes, self.starts = len(sizes), sizes, np.cumsum(sizes) - sizes
         self.bits = np.frombuffer(b"".join(slices), np.uint8)
 
-    def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
-        """Of distinct keys: the last level at which each is found."""
-        r = _range(keys, self.n).astype(np.int64)
+    def levels(self, keys: np.ndarray, order: int, of: np.ndarray | None = None) -> np.ndarray:
+        """Of distinct keys: the last level at which each is found. of: what their ranges go by, the keys themselves if not given."""
+        r = _range(keys if of is None else of, self.n)
         size, start, tagged = self.sizes[r], self.starts[r], _tagged(keys, order)
         out, alive, at = np.zeros(len(keys), np.int64), np.flatnonzero(size > 0), 0
         while len(alive) and at < 64:
@@ -177,13 +225,9 @@ class Filter:
             out[alive] = at
         return out
 
-    def counts(self, keys: np.ndarray, order: int) -> np.ndarray:
-        distinct, back = np.unique(keys, return_inverse=True)
-        return count_at(self.levels(distinct, order))[back]
-
 
 class Counts:
-    """A block of exact token counts, sorted by hash."""
+    """Exact token counts, sorted by hash."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.keys, self.counts = keys, counts
@@ -195,37 +239,58 @@ class Counts:
         return np.where(self.keys[at] == tokens, self.counts[at], 0)
 
 
-_SCORED = "doc_id bigint, text_key binary, n_tokens bigint, n_known bigint, base double, score double"
+_SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double"
 
 
-def smoothed(single: np.ndarray, both: np.ndarray, starts: np.ndarray, total: int, types: int) -> np.ndarray:
-    """The score of each text from the counts of its tokens and of its pairs; starts: where texts begin."""
-    before = np.empty(len(single))
-    before[1:] = single[:-1]
-    before[starts] = single[-1]  # each text ends once, so ends are as many as starts
-    both = np.minimum(both, before)
+def smoothed(single: np.ndarray, both: np.ndarray, before: np.ndarray, followers: np.ndarray, total: int, types: int) -> np.ndarray:
+    """log10 probability of each token from the counts of itself, of its pair, of its history and of the history's followers."""
     own = (single + 1) / (total + types + 1)
-    return np.add.reduceat(np.log10((both + PRIOR * own) / (before + PRIOR)), starts)
+    followers = np.where(before > 0, np.maximum(followers, 1.0), 1.0)
+    return np.log10((np.minimum(both, before) + followers * own) / (before + followers))
+
+
+class Texts:
+    """Tokens of some texts with what is distinct among them."""
+
+    def __init__(self, held: list[bytes], known: WordHashes) -> None:
+        each = [token_hashes(t, known) for t in held]
+        self.n = np.array([len(x) for x in each], np.int64)
+        self.starts = np.cumsum(self.n) - self.n
+        tokens = np.concatenate(each)
+        before = histories(tokens, self.starts)
+        self.tokens, self.token_at = np.unique(tokens, return_inverse=True)
+        self.histories = np.union1d(self.tokens, [START])  # the end of a text is followed by nothing
+        self.history_at = np.searchsorted(self.histories, before)
+        self.pairs, self.pair_of, _, self.pair_at = distinct_pairs(before, tokens)
+
+    def scored(self, exact: np.ndarray, single: np.ndarray, both: np.ndarray, followers: np.ndarray, total: int, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known tokens, base, score) of each text: exact and single counts of tokens, pair counts, followers of histories."""
+        c = exact[self.token_at]
+        once = np.append(single, single[self.tokens == END][:1])  # texts begin as often as they end
+        of = np.where(self.histories == START, len(single), np.searchsorted(self.tokens, self.histories))
+        each = smoothed(single[self.token_at], both[self.pair_at], once[of][self.history_at], followers[self.history_at], total, types)
+        sums = [np.add.reduceat(x, self.starts) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), each)]
+        return sums[0], sums[1] - self.n * np.log10(total + types + 1), sums[2]
 
 
-def _score(shared, total: int, types: int, keyed: bool, most: int = 2 << 20):
+def _scored_batch(doc_ids: list, t: Texts, found: tuple) -> pa.RecordBatch:
+    cols = (pa.array(doc_ids, pa.int64()), pa.array(t.n), *map(pa.array, found))
+    return pa.RecordBatch.from_arrays(list(cols), names=[c.split()[0] for c in _SCORED.split(", ")])
+
+
+def _score(shared, total: int, types: int, most: int = 4 << 20):
+    """Scores with the whole filter and table in each worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, slices = shared.value
         table, known = Counts(np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")), WordHashes(150_000)
-        bloom = Filter(*slices) if slices is not None else None
+        bloom = Filter(*slices)
 
         def out(doc_ids: list, held: list[bytes]) -> pa.RecordBatch:
-            each = [token_hashes(t, known) for t in held]
-            n = np.array([len(x) for x in each], np.int64)
-            tokens, starts = np.concatenate(each), np.cumsum(n) - n
-            c = table.of(tokens)
-            found = np.add.reduceat((c > 0).astype(np.int64), starts)
-            base = np.add.reduceat(np.log10(c + 1.0), starts)
-            score = np.zeros(len(n))
-            if bloom is not None:
-                score = smoothed(bloom.counts(tokens, 1), bloom.counts(pairs(tokens, starts), 2), starts, total, types)
-            marks = [hashlib.sha256(t).digest() if keyed else None for t in held]
-            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(n), pa.array(found), pa.array(base), pa.array(score)], names=["doc_id", "text_key", "n_tokens", "n_known", "base", "score"])
+            t = Texts(held, known)
+            single = count_at(bloom.levels(t.tokens, TOKEN))
+            found = t.scored(table.of(t.tokens), single, count_at(bloom.levels(t.pairs, PAIR, t.pair_of)), count_at(bloom.levels(t.histories, FOLLOWED)), total, types)
+            return _scored_batch(doc_ids, t, found)
 
         for b in batches:
             doc_ids, held, size, first = b.column(0).to_pylist(), [], 0, 0
@@ -241,14 +306,6 @@ def _score(shared, total: int, types: int, keyed: bool, most: int = 2 << 20):
     return run
 
 
-def _segment_tokens(sizes, n_bytes: int, data: bytes, known: WordHashes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Tokens of a segment, where its texts begin, and the texts."""
-    held = list(unpack(sizes, n_bytes, data))
-    each = [token_hashes(t, known) for t in held]
-    n = np.array([len(x) for x in each], np.int64)
-    return np.concatenate(each), np.cumsum(n) - n, held
-
-
 def _ask(n_ranges: int):
     """A segment -> its distinct n-grams by range, in order."""
 
@@ -256,103 +313,84 @@ def _ask(n_ranges: int):
         known = WordHashes(150_000)
         for b in batches:
             for r in b.to_pylist():
-                tokens, starts, _ = _segment_tokens(r["sizes"], r["n_bytes"], r["pack"], known)
-                cols: list[list] = [[], [], [], []]
-                for order, keys in ((1, tokens), (2, pairs(tokens, starts))):
-                    keys = np.unique(keys)
-                    cuts = np.searchsorted(_range(keys, n_ranges), np.arange(n_ranges + 1))
-                    for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                        if lo < hi:
-                            for c, v in zip(cols, (k, r["seg"], order, keys[lo:hi].tobytes())):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["range", "seg", "n", "keys"])
+                each = [token_hashes(t, known) for t in unpack(r["sizes"], r["n_bytes"], r["pack"])]
+                starts = np.cumsum([0, *map(len, each)])[:-1]
+                rows = [(k, r["seg"], n, keys, before, sizes) for k, n, keys, _, before, sizes in _pieces(n_ranges, np.concatenate(each), starts, False)]
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["range", "seg", "n", "keys", "before", "sizes"])
 
     return run
 
 
+_ANSWER = "seg bigint, range int, n int, levels binary, counts binary"
+
+
 def _answer(asked: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
-    """The n-grams asked of a range and its slice -> the level of each, a byte."""
+    """The n-grams asked of a range -> the level of each, a byte; of tokens exact counts, too, of pairs also their histories' levels."""
     bloom = Filter([bytes(made["bits"].iloc[0]) if len(made) else b""])
-    found = [bloom.levels(np.frombuffer(k, np.uint64), n).astype(np.uint8).tobytes() for k, n in zip(asked["keys"], asked["n"])]
-    return pd.DataFrame({"seg": asked["seg"], "range": asked["range"], "n": asked["n"], "levels": found})
+    table = Counts(_joined(made["keys1"], np.uint64), _joined(made["counts1"], "<i8"))
+    rows = []
+    for r in asked.itertuples(index=False):
+        keys = np.frombuffer(r.keys, np.uint64)
+        levels, counts = bloom.levels(keys, r.n).astype(np.uint8).tobytes(), None
+        if r.n == TOKEN:
+            counts = table.of(keys).astype("<i8").tobytes()
+        else:
+            rows.append((r.seg, r.range, FOLLOWED, bloom.levels(np.frombuffer(r.before, np.uint64), FOLLOWED).astype(np.uint8).tobytes(), None))
+        rows.append((r.seg, r.range, r.n, levels, counts))
+    trim()
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _ANSWER.split(", ")])
 
 
 def _score_found(total: int, types: int):
-    """A segment and the levels of its distinct n-grams -> the scores of its texts."""
+    """A segment and the answers for its distinct n-grams -> the scores of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes(150_000)
         for b in batches:
             for r in b.to_pylist():
-                tokens, starts, held = _segment_tokens(r["sizes"], r["n_bytes"], r["pack"], known)
-                counts = []
-                for order, keys in ((1, tokens), (2, pairs(tokens, starts))):
-                    # ranges grow with the hash: their levels, one after another, are those of the sorted hashes
-                    levels = b"".join(x["levels"] for x in sorted((x for x in r["found"] if x["n"] == order), key=lambda x: x["range"]))
-                    back = np.unique(keys, return_inverse=True)[1]
-                    counts.append(count_at(np.frombuffer(levels, np.uint8).astype(np.int64))[back])
-                n, none = np.diff(np.r_[starts, len(tokens)]), np.zeros(len(starts))
-                marks = [hashlib.sha256(t).digest() for t in held]
-                yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"], pa.int64()), pa.array(marks, pa.binary()), pa.array(n), pa.array(none.astype(np.int64)), pa.array(none), pa.array(smoothed(*counts, starts, total, types))], names=["doc_id", "text_key", "n_tokens", "n_known", "base", "score"])
+                t = Texts(list(unpack(r["sizes"], r["n_bytes"], r["pack"])), known)
+                # ranges grow with the hash: their answers, one after another, are those of the sorted n-grams
+                told = sorted(r["found"], key=lambda x: x["range"])
+                counts = {n: count_at(np.frombuffer(b"".join(x["levels"] for x in told if x["n"] == n), np.uint8).astype(np.int64)) for n in (TOKEN, PAIR, FOLLOWED)}
+                exact = np.frombuffer(b"".join(x["counts"] for x in told if x["n"] == TOKEN), "<i8")
+                followers = np.zeros(len(t.histories))
+                followers[np.searchsorted(t.histories, np.unique(t.pair_of))] = counts[FOLLOWED]
+                yield _scored_batch(r["doc_ids"], t, t.scored(exact, counts[TOKEN], counts[PAIR], followers, total, types))
 
     return run
 
 
-def lm_scores(documents: DataFrame, max_filter: int = MAX_FILTER, max_table: int = MAX_TABLE, segment: int = SEGMENT_TOKENS) -> DataFrame:
+def lm_scores(documents: DataFrame, max_filter: int = MAX_FILTER, max_table: int = MAX_TABLE, segment: int = SEGMENT_TOKENS, bits: float = BITS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     The model learns from whole texts that are not held out (remainder(7) is 2; a null doc_id is not).
     Null and empty texts are the end token alone. Repeated rows count as often as they are there.
-    Without training texts all counts are 0. Tokens are told apart by 64-bit hashes.
+    Without training texts all counts are 0. Tokens are told apart by 64-bit hashes. Other columns are
+    ignored; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    n_ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = documents.agg(F.sum(F.octet_length(utf8()))).head()[0] or 0
+    n_ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     learn = texts(documents.where(F.coalesce(remainder(7) != 2, F.lit(True)))).select("text")
-    counted = learn.mapInArrow(_count(n_ranges, segment), "range int, n int, keys binary, counts binary")
+    counted = learn.mapInArrow(freeing(_count(n_ranges, segment)), _PIECES_SQL)
     reduced = materialize(counted.groupBy("range").applyInPandas(_reduce, _REDUCED), "ngrams")
-    heads = {r[0]: r for r in reduced.select("range", "tokens", "types", "entries").collect()}  # a row a range
-    total, types, entries = (sum(r[i] for r in heads.values()) for i in (1, 2, 3))
-    cut = reduced.select("range", "entries", "keys1", "counts1", "keys2", "levels2").mapInPandas(_slices(BITS), "range int, bits binary")
-    whole = entries * BITS <= 8 * max_filter
-    slices = None
-    if whole:
-        made = {r[0]: bytes(r[1]) for r in cut.collect()}
-        sizes = [len(made.get(r, b"")) for r in range(n_ranges)]
-        slices = [b"".join(made.pop(r, b"") for r in range(n_ranges))], sizes
-
-    blocks: list[list[int]] = [[]]
-    size = 0
-    for r in sorted(heads):
-        if blocks[-1] and size + 16 * heads[r][2] > max_table:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += 16 * heads[r][2]
-    rows, found = texts(documents), None
-    if not whole:
+    total, types, entries = (x or 0 for x in reduced.agg(F.sum("tokens"), F.sum("types"), F.sum("entries")).head())
+    cut = reduced.select("range", "entries", "keys1", "counts1", "keys2", "levels2", "keys3", "levels3").mapInPandas(_slices(bits), "range int, bits binary, keys1 binary, counts1 binary")
+    if entries * bits <= 8 * max_filter and 16 * types <= max_table:
+        made = {r[0]: r for r in cut.collect()}  # within max_filter and max_table bytes
+        empty = (0, b"", b"", b"")
+        rows = [made.pop(r, empty) for r in range(n_ranges)]
+        slices = [b"".join(bytes(r[1]) for r in rows)], [len(r[1]) for r in rows]
+        shared = spark.sparkContext.broadcast((b"".join(bytes(r[2]) for r in rows), b"".join(bytes(r[3]) for r in rows), slices))
+        found = texts(documents).mapInArrow(freeing(_score(shared, total, types)), _SCORED)
+    else:
         packed = pack(documents)
-        asked = packed.select("seg", "sizes", "n_bytes", "pack").mapInArrow(_ask(n_ranges), "range int, seg bigint, n int, keys binary")
-        levels = asked.groupBy("range").cogroup(cut.groupBy("range")).applyInPandas(_answer, "seg bigint, range int, n int, levels binary")
-        levels = materialize(levels.select("seg", F.struct("range", "n", "levels").alias("found")), "levels")
-        found = materialize(with_rows(packed, levels, "found").mapInArrow(_score_found(total, types), _SCORED), "scores")
-        release(packed, levels)
-    passes = len(blocks) + (not whole)
-    for i, ranges in enumerate(blocks):
-        lo, hi = (ranges[0], ranges[-1]) if ranges else (0, -1)
-        part = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in reduced.where(F.col("range").between(lo, hi)).select("range", "keys1", "counts1").collect())
-        shared = spark.sparkContext.broadcast((b"".join(p[1] for p in part), b"".join(p[2] for p in part), None if i else slices))
-        one = rows.mapInArrow(_score(shared, total, types, passes > 1), _SCORED)
-        if passes > 1:
-            one = materialize(one, "scores")
-        found = one if found is None else found.unionByName(one)
-    if passes > 1:
-        n = F.lit(passes)
-        copies = (F.count(F.lit(1)) / n).cast("int").alias("copies")
-        sums = [(F.sum(c) / (F.count(F.lit(1)) / n)).alias(c) for c in ("n_known", "base", "score")]
-        found = found.groupBy("doc_id", "text_key").agg(F.first("n_tokens").alias("n_tokens"), *sums, copies)
-        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1)))
-    return found.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", F.col("n_known").cast("bigint").alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+        asked = packed.select("seg", "sizes", "n_bytes", "pack").mapInArrow(freeing(_ask(n_ranges)), "range int, seg bigint, n int, keys binary, before binary, sizes binary")
+        told = asked.groupBy("range").cogroup(cut.groupBy("range")).applyInPandas(_answer, _ANSWER)
+        told = materialize(told.select("seg", F.struct("range", "n", "levels", "counts").alias("found")), "levels")
+        found = with_rows(packed, told, "found").mapInArrow(freeing(_score_found(total, types)), _SCORED)
+    return found.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
