@@ -353,66 +353,80 @@ def test_best_chain_is_the_best():
         assert (got[0][0] if got else 0) == pytest.approx(max(best) if max(best) >= passages.MIN_SCORE else 0)
 
 
-def test_lm(spark):
-    rows = [*ROWS, (None, "w1 w2")]
-    tokens = [(i, [*text_of(t).lower().split(), "END"]) for i, t in rows]
-    held = {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 == 2}
-    c = Counter(x for i, t in tokens if i not in held for x in t)
-    n, v = sum(c.values()), len(c)
-    want = {i: (len(t), sum(c[x] > 0 for x in t), sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t)) for i, t in tokens}
-    first = None
-    for kw in ({}, {"max_table": 2000, "segment": 700}):
-        got = lm.lm_scores(table(spark, rows), **kw).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (*want[r.doc_id][:2], n, r.doc_id in held)
-            assert r.base_score == pytest.approx(want[r.doc_id][2])
-            assert r.score < 0
-        scores = {r.doc_id: r.score for r in got}
-        first = first or scores
-        assert scores == pytest.approx(first)
-    assert lm.lm_scores(table(spark, rows).limit(0)).count() == 0
-
-
-def test_lm_filter_past_one_block(spark):
-    rows = [*ROWS, (None, "w1 w2"), (2**60 + 1, "w3 w4")]
-    found = []
-    for kw in ({}, {"max_filter": 1000}, {"max_filter": 1000, "max_table": 2000}):
-        got = sorted(lm.lm_scores(table(spark, rows), **kw).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
-        found.append(([r[:5] for r in got], [r.base_score for r in got], [r.score for r in got]))
-    for other in found[1:]:
-        assert other[0] == found[0][0] and len(other[0]) == len(rows)
-        assert other[1] == pytest.approx(found[0][1]) and other[2] == pytest.approx(found[0][2])
+def brute_lm(rows, held):
+    """The model in plain words: quantised counts, Witten-Bell interpolation, no filter."""
+    def q(c):
+        return float(lm.count_at(lm.level(np.array([c])))[0]) if c else 0.0
+
+    texts_ = [(i, [*text_of(t).lower().split(), "END"]) for i, t in rows]
+    one, two, follow = Counter(), Counter(), {}
+    for i, t in texts_:
+        if i not in held:
+            one.update(t)
+            two.update(zip(["START", *t], t))
+            for a, b in zip(["START", *t], t):
+                follow.setdefault(a, set()).add(b)
+    n, v = sum(one.values()), len(one)
+    out = []
+    for _, t in texts_:
+        score = 0.0
+        for a, b in zip(["START", *t], t):
+            own, before = (q(one[b]) + 1) / (n + v + 1), q(one["END"] if a == "START" else one[a])
+            more = q(len(follow.get(a, ()))) if before else 1.0
+            score += math.log10((min(q(two[a, b]), before) + more * own) / (before + more))
+        out.append((len(t), sum(one[x] > 0 for x in t), n, sum(math.log10((one[x] + 1) / (n + v + 1)) for x in t), score))
+    return out
+
+
+LM_ROWS = [*ROWS, (None, "w1 w2"), (2**60 + 1, "w3 w4")]
+
+
+@pytest.mark.parametrize("kw", [{}, {"segment": 700}, {"max_filter": 1000}, {"max_table": 2000, "segment": 700}])
+def test_lm(spark, kw):
+    """Broadcast whole or asked range by range, the same scores, and those of the model without a filter."""
+    held = {i for i, _ in LM_ROWS if i is not None and zlib.crc32(str(i).encode()) % 7 == 2}
+    got = lm.lm_scores(table(spark, LM_ROWS), bits=200, **kw).collect()
+    order = lambda x: (x[0] is None, x[0] or 0, x[2])
+    want = sorted([(i, i in held, *w) for (i, _), w in zip(LM_ROWS, brute_lm(LM_ROWS, held))], key=order)
+    assert len(got) == len(want)
+    for r, w in zip(sorted(map(tuple, got), key=order), want):
+        assert r[:5] == w[:5]
+        assert r[5:] == pytest.approx(w[5:])
+
+
+def test_lm_with_its_own_bits(spark):
+    a, b = (sorted(map(tuple, lm.lm_scores(table(spark, LM_ROWS), **kw).collect()), key=str) for kw in ({}, {"max_filter": 100}))
+    assert [x[:5] for x in a] == [x[:5] for x in b] and [x[6] for x in a] == pytest.approx([x[6] for x in b])
+
+
+@pytest.mark.parametrize("kw", [{}, {"max_filter": 0}])
+def test_lm_of_nothing(spark, kw):
+    assert lm.lm_scores(table(spark, LM_ROWS).limit(0), **kw).count() == 0
+    (r,) = lm.lm_scores(table(spark, [(0, None)]), **kw).collect()
+    assert (r.n_tokens, r.train_tokens) == (1, 1) and r.score < 0
+
+
+def reduced(tokens, starts):
+    import pandas as pd
+
+    g = pd.DataFrame(list(lm._pieces(1, tokens, starts, True)), columns=["range", "n", "keys", "counts", "before", "sizes"])
+    return next(lm._reduce((0,), g).itertuples(index=False))
 
 
 def test_log_frequency_filter():
     rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2))
-    counts = rng.geometric(0.05, len(keys)).astype(np.int64)
-    import pandas as pd
-
-    q = lm.level(counts, 1)
-    row = pd.DataFrame([{"range": 0, "entries": int(q.sum()), "keys1": keys.tobytes(), "counts1": counts.tobytes(), "keys2": b"", "levels2": b""}])
-    (made,) = lm._slices(12)(iter([row]))
-    f = lm.Filter([made["bits"][0]])
-    got = f.levels(keys, 1)
+    keys = rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2)
+    tokens = np.repeat(keys, rng.geometric(0.05, len(keys)))
+    rng.shuffle(tokens)
+    r = reduced(tokens, np.array([0]))
+    f = lm.Filter([lm.slice_of(r, 12)])
+    keys, counts = np.unique(tokens, return_counts=True)
+    got, q = f.levels(keys, lm.TOKEN), lm.level(counts)
     assert (got >= q).all() and (got == q).mean() > 0.97
-    assert (f.levels(np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64)), 1) > 0).mean() < 0.03
-
-
-def test_filter_holds_pairs_seen_once():
-    import pandas as pd
-
-    rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
-    counts = np.where(np.arange(len(keys)) % 4 > 0, 1, 5).astype("<u4")
-    rows = pd.DataFrame([{"range": 0, "n": 2, "keys": keys.tobytes(), "counts": counts.tobytes()}])
-    made = lm._reduce((0,), rows)
-    (out,) = lm._slices(12)(iter([made]))
-    f = lm.Filter([out["bits"][0]])
-    got = f.counts(keys, 2)
-    assert (got >= 1).all()
-    assert (got[counts == 1] == 1).mean() > 0.97 and (got[counts == 5] > 3).all()
+    assert (f.levels(np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64)), lm.TOKEN) > 0).mean() < 0.03
+    pairs, of, n, _ = lm.distinct_pairs(lm.histories(tokens, np.array([0])), tokens)
+    got = f.levels(pairs, lm.PAIR, of)
+    assert (got >= lm.level(n)).all() and (n == 1).mean() > 0.9  # those seen once are in, too
 
 
 def test_quality(spark):
