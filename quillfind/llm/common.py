@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,20 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where it is set.
-
-    Unset, as in tests, a local master takes a temporary folder; a cluster has none that all can see, an error.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if sc.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="quillfind-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
+from quillfind.sources.scratch import shared_dir
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -137,6 +123,35 @@ def trim() -> None:
         pass
 
 
+#: What worker processes keep from task to task, by owner: functions that let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept_by(owner: str, cached):
+    """Register an lru_cache that tasks of one owner keep for the next; tasks of others clear it."""
+    _KEPT[owner] = cached.cache_clear
+    return cached
+
+
+def _let_go(owner: str) -> None:
+    for other, clear in _KEPT.items():
+        if other != owner:
+            clear()
+
+
+def freeing(run: Callable, owner: str = "") -> Callable:
+    """run, a function of batches, that lets go what other owners keep before, and unused memory after."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        _let_go(owner)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def keyed_stream(
     df: DataFrame,
     keys: list[str],
@@ -174,7 +189,7 @@ def keyed_stream(
         if last is not None:
             yield from each(last, held[0] if len(held) == 1 else pd.concat(held, ignore_index=True))
 
-    return dealt.mapInPandas(run, schema)
+    return dealt.mapInPandas(freeing(run), schema)
 
 
 #: The multipliers of the public SplitMix64 finaliser and of Fibonacci hashing.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, mix64, read_table, release, shingles, texts, utf8
+from .common import bounded, freeing, materialize, mix64, read_table, release, shingles, texts, utf8
 
 WINDOW, GRAM = 8, 5
 BLOCK_BYTES = 32 << 20
@@ -189,12 +189,15 @@ def _scan(shared, most: int = 4 << 20, keyed: bool = False):
 def _hit_column(shared, text: str | Column) -> Column:
     """Number of words that windows of one block of items cover, as a column."""
 
-    @F.arrow_udf("bigint")
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index: BenchmarkIndex = pickle.loads(zlib.decompress(shared.value))
         for c in columns:
             yield pa.array([sum(hi - lo for lo, hi in spans) for held in bounded(c) for _, spans, _ in index.hits(held)], pa.int64())
 
+    @F.arrow_udf("bigint")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from freeing(count)(columns)
+
     return run(utf8(text))
 
 
@@ -233,7 +236,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, min_items: int = 2
     found, end = None, F.lit(0).cast("bigint")
     for items in blocks(benchmark, n):
         shared = _share(spark, items)
-        one = rows.mapInArrow(_scan(shared, keyed=n > 1), _HITS_SQL)
+        one = rows.mapInArrow(freeing(_scan(shared, keyed=n > 1)), _HITS_SQL)
         if n > 1:  # each block's hits are written, then joined by document
             one = materialize(one, "hits")
             shared.destroy()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, named_texts, read_table
+from .common import freeing, materialize, named_texts, read_table
 
 BLOCK = 4096
 #: A segment is closed at so many bytes of distinct blocks or so many rows.
@@ -121,7 +121,7 @@ def exact_groups(documents: DataFrame, block: int = BLOCK, segment_bytes: int =
     one doc_id and text, one is kept. Other columns of documents are ignored, whatever their names.
     An empty table gives an empty result.
     """
-    nodes = materialize(named_texts(documents, row).mapInArrow(_local_names(block, segment_bytes, segment_rows), _NODES_SQL), "blocks")
+    nodes = materialize(named_texts(documents, row).mapInArrow(freeing(_local_names(block, segment_bytes, segment_rows)), _NODES_SQL), "blocks")
     depth = nodes.agg(F.max("level")).head()[0] or 0
     first = F.min("ref")
     names = [materialize(nodes.where("level = 0").select("ref", first.over(Window.partitionBy("block")).alias("name")), "names")]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import WordHashes, keyed_stream, lower_words, materialize, mix64, named_texts, read_table, release, shingles
+from .common import WordHashes, freeing, keyed_stream, lower_words, materialize, mix64, named_texts, read_table, release, shingles
 from .components import connected_components
 
 SHINGLE, BANDS, ROWS, BASE, RATE = 5, 24, 3, 1.001, 20.0
@@ -173,7 +173,7 @@ def _star_links(pairs: DataFrame, full: DataFrame) -> DataFrame:
     dealt = pairs.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / STAR_BLOCK)).cast("int"))
     rows = dealt.select("a", "block", F.col("b").alias("node")).unionByName(sizes.select("a", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / STAR_BLOCK) - 1).cast("int"))).alias("block"), F.col("a").alias("node")))
     rows = rows.join(full, "node").repartition("a", "block").sortWithinPartitions("a", "block", F.col("node") != F.col("a"))
-    return materialize(rows.select("a", "node", "text").mapInArrow(_verify, "a binary, b binary"), "links")
+    return materialize(rows.select("a", "node", "text").mapInArrow(freeing(_verify), "a binary, b binary"), "links")
 
 
 def joining_links(sets: list[np.ndarray], comp: np.ndarray, may: Callable[[int], np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -238,7 +238,7 @@ def near_duplicates(documents: DataFrame, row: tuple[str, str] | None = None) ->
     (two nulls are equal here); stays is true for one row of each component and for all without
     shingles. Other columns are ignored; an empty table gives no rows.
     """
-    signs = materialize(named_texts(documents, row).mapInArrow(_sign, _SIGNS_SQL), "signs")
+    signs = materialize(named_texts(documents, row).mapInArrow(freeing(_sign), _SIGNS_SQL), "signs")
     # A node is a distinct set, named by its least doc_id and its key.
     best = F.min(F.struct("rank", "file", "place")).alias("best")
     reps = signs.where("set_key IS NOT NULL").groupBy("set_key").agg(best, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_tables import ChunkTable
-from .common import read_table
+from .common import freeing, kept_by, read_table
 
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
@@ -32,6 +32,9 @@ def chunk_codec(model: str) -> ChunkCodec:
     return ChunkCodec(model)
 
 
+kept_by("pieces", chunk_codec)
+
+
 class ChunkCodec:
     """encode and decode of whole texts, equal to the library's without begin and end ids."""
 
@@ -102,7 +105,7 @@ def encode_pieces(documents: DataFrame, model: str, digest: bool = False) -> Dat
     """
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return rows.mapInArrow(_code(model, digest), f"doc_id bigint, n_tokens bigint, {kind}")
+    return rows.mapInArrow(freeing(_code(model, digest), "pieces"), f"doc_id bigint, n_tokens bigint, {kind}")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_tables import ChunkTable
-from .common import bounded, materialize, mix64, read_table, release, texts, utf8
+from .common import bounded, freeing, materialize, mix64, read_table, release, texts, utf8
 
 BUCKETS, DIM, NGRAMS = 1 << 18, 10, (2, 3, 4)
 EPOCHS, RATE, TRAIN_ROWS, TRAIN_BYTES, SEED = 6, 0.5, 4000, 64 << 20, 7
@@ -116,12 +116,16 @@ class Model:
 
 
 def score_texts(bucket: np.ndarray, constant: float, batches: Iterator[list[bytes]]) -> Iterator[np.ndarray]:
-    def of(words: list[bytes]) -> list[complex]:
-        at, ids = features(words)
-        total, n = np.bincount(at, bucket[ids], len(words)), np.bincount(at, minlength=len(words))
-        return (total + 1j * n).tolist()
-
-    table = ChunkTable(of, 300_000)
+    def of(words: list[bytes], most: int = 20_000) -> list[complex]:
+        out: list[complex] = []
+        for i in range(0, len(words), most):
+            some = words[i : i + most]
+            at, ids = features(some)
+            total, n = np.bincount(at, bucket[ids], len(some)), np.bincount(at, minlength=len(some))
+            out += (total + 1j * n).tolist()
+        return out
+
+    table = ChunkTable(of, 150_000)
     for held in batches:
         split = [t.split() for t in held]
         known = table.load(set().union(*split))
@@ -141,8 +145,7 @@ def score_column(spark: SparkSession, model: Model, text: str | Column = "text")
     bucket, constant = model.scores()
     shared = spark.sparkContext.broadcast(bucket)
 
-    @F.arrow_udf("double")
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sizes: list[int] = []
 
         def parts() -> Iterator[list[bytes]]:
@@ -158,6 +161,10 @@ def score_column(spark: SparkSession, model: Model, text: str | Column = "text")
                 yield pa.array(np.concatenate(held))
                 held, sizes[:] = [], sizes[1:]
 
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from freeing(score)(columns)
+
     return run(utf8(text))
 
 

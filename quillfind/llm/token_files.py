@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunk_tables import ChunkTable
-from .common import read_table, table_path, texts
+from .common import freeing, kept_by, read_table, table_path, texts
 
 SHARD_TOKENS, SHARD_DOCS, SAMPLE = 2 << 20, 100_000, 256
 _MAGIC = b"QFEF"
@@ -107,6 +107,9 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+kept_by("tokens", word_tokenizer)
+
+
 class WordTokenizer:
     """Ids of a text with a tokenizer that never joins across ASCII white space and drops it."""
 
@@ -186,7 +189,7 @@ def _encode_part(tokenizer: str, end_id: int, shard_tokens: int, shard_docs: int
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_tokens: int = SHARD_TOKENS, shard_docs: int = SHARD_DOCS) -> None:
     """Encode whole texts and write the shards to path, in ascending doc_id order (null ids first, ties by text)."""
     ordered = texts(documents).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encode_part(tokenizer, end_id, shard_tokens, shard_docs), _SHARDS_SQL).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(freeing(_encode_part(tokenizer, end_id, shard_tokens, shard_docs), "tokens"), _SHARDS_SQL).write.option("compression", "zstd").parquet(path)
 
 
 def _open_part(base: dict[int, int]):
