@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
+from functools import lru_cache
 
 #: Elements that break lines, that have no end tag, and whose content is not text.
 BLOCK_TAGS = frozenset(
@@ -24,30 +26,84 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
-_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
-#: Ancestors that count as the path of a block, from the root on and from the leaf up.
-NEAR = 12
+#: Elements that start only where one that they close may be open, and those past which they do not look.
+_CLOSERS = {tag: [left for left, right in CLOSED_BY.items() if tag in right] for tag in {t for right in CLOSED_BY.values() for t in right}}
+_FENCES = ("ul", "ol", "table", "dl", "select")
+#: Hash buckets of the tags and names of a path.
+PATH_BUCKETS = 1024
 
 
-def _names(attributes: str) -> tuple[str, ...]:
-    if not attributes or "=" not in attributes:
-        return ()
-    return tuple(p for v in _NAMES.findall(attributes) for p in _PART.findall(v.lower()))
+@lru_cache(maxsize=100_000)
+def bucket(word: str, n: int = PATH_BUCKETS) -> int:
+    return zlib.crc32(word.encode("utf-8", "replace")) * 2654435761 % (1 << 32) * n >> 32
+
+
+@lru_cache(maxsize=50_000)
+def _marks(tag: str, attributes: str) -> tuple[int, ...]:
+    """The buckets of an element's tag and of its names."""
+    names = [p for v in _NAMES.findall(attributes) for p in _PART.findall(v.lower())] if "=" in attributes else []
+    return (bucket("t:" + tag), *(bucket("n:" + x) for x in names))
 
 
 class Block:
-    """A leaf: its text, its path of (tag, names), and the length of its text in links."""
+    """A leaf: its text, the buckets of all its ancestors' tags and names and of the two nearest tags, and the length of its text in links."""
 
     __slots__ = ("text", "path", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: int) -> None:
+    def __init__(self, text: str, path: tuple[int, ...], linked: int) -> None:
         self.text, self.path, self.linked = text, path, linked
 
 
+class _Open:
+    """The open elements, with the places of those that rules look for, so that no rule scans the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.where: dict[str, list[int]] = {}
+        self.closing_p: list[int] = []
+        self.marks: dict[int, int] = {}
+        self._path: tuple[int, ...] | None = None
+
+    def last(self, tag: str) -> int:
+        at = self.where.get(tag)
+        return at[-1] if at else -1
+
+    def push(self, tag: str, marks: tuple[int, ...]) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag in _CLOSES_P:
+            self.closing_p.append(len(self.stack))
+        for k in marks:
+            self.marks[k] = self.marks.get(k, 0) + 1
+        self.stack.append((tag, marks))
+        self._path = None
+
+    def cut(self, at: int) -> None:
+        """Close all from place at on."""
+        while len(self.stack) > at:
+            tag, marks = self.stack.pop()
+            self.where[tag].pop()
+            if tag in _CLOSES_P:
+                self.closing_p.pop()
+            for k in marks:
+                self.marks[k] -= 1
+                if not self.marks[k]:
+                    del self.marks[k]
+        self._path = None
+
+    def path(self) -> tuple[int, ...]:
+        if self._path is None:
+            near = {bucket(f"u{up}:{tag}") for up, (tag, _) in enumerate(reversed(self.stack[-2:]))}
+            self._path = tuple(near | self.marks.keys())
+        return self._path
+
+
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order, without empty ones. Broken markup never fails."""
+    """The leaf blocks of a page in order, without empty ones. Broken markup never fails, and time follows its length.
+
+    White space of any kind, that of character references too, becomes one space.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = _Open()
     held: list[str] = []
     linked = 0
     at = 0
@@ -55,52 +111,38 @@ def blocks(page: str) -> list[Block]:
     def flush() -> None:
         nonlocal linked
         if held:
-            text = _SPACE.sub(" ", html.unescape("".join(held))).strip(" ")
+            text = " ".join(html.unescape("".join(held)).split())
             if text:
-                path = stack if len(stack) <= 2 * NEAR else stack[:NEAR] + stack[-NEAR:]
-                out.append(Block(text, tuple(path), linked))
+                out.append(Block(text, opened.path(), linked))
             held.clear()
         linked = 0
 
-    def opened(name: str) -> bool:
-        return any(t == name for t, _ in stack)
-
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
             held.append(piece)
-            if stack and stack[-1][0] == "a":
+            if opened.stack and opened.stack[-1][0] == "a":
                 linked += len(piece)
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
-        block = tag in BLOCK_TAGS
-        if block:
+        if tag in BLOCK_TAGS:
             flush()
         if m[2]:
-            if tag == "p" or opened(tag):
-                while stack and opened(tag):
-                    if stack.pop()[0] == tag:
-                        break
+            if opened.last(tag) >= 0:
+                opened.cut(opened.last(tag))
             continue
         if tag in VOID_TAGS:
             continue
-        if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in _CLOSES_P:
-                    break
-        for i in range(len(stack) - 1, -1, -1):
-            if tag in CLOSED_BY.get(stack[i][0], ()):
-                del stack[i:]
-                break
-            if stack[i][0] in ("ul", "ol", "table", "dl", "select"):
-                break
-        stack.append((tag, _names(m[4])))
+        if tag in _CLOSES_P and opened.closing_p and opened.stack[opened.closing_p[-1]][0] == "p":
+            opened.cut(opened.closing_p[-1])
+        if tag in _CLOSERS:
+            found = max(map(opened.last, _CLOSERS[tag]))
+            if found > max(map(opened.last, _FENCES)):
+                opened.cut(found)
+        opened.push(tag, _marks(tag, m[4]))
     if at < len(page):
         held.append(page[at:])
     flush()

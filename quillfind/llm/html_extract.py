@@ -14,53 +14,56 @@ bounded numbers of blocks; a longer page is a batch by itself.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import inspect
+import io
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
-from .html_blocks import Block, blocks
+from . import html_blocks
+from .common import freeing, read_table, shared_dir
+from .html_blocks import PATH_BUCKETS, Block, blocks, bucket
 
-PATH_BUCKETS, WORD_BUCKETS, STEPS = 1024, 256, 32
+WORD_BUCKETS, STEPS = 256, 32
 N_FEATURES = PATH_BUCKETS + WORD_BUCKETS + STEPS
 HIDDEN, SEED, PAGES, EPOCHS = 16, 11, 2000, 6
+#: How many words of a block count in full; all words of a longer one share that weight.
+FULL_WORDS = 12
 #: Blocks that are labelled at once.
 BATCH_BLOCKS = 20_000
 
+_WORD = re.compile(r"[^\s.,;:!?]+")
 
-@lru_cache(maxsize=100_000)
-def _hash(word: str, n: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace")) * 2654435761 % (1 << 32) * n >> 32
 
+@lru_cache(maxsize=200_000)
+def _word_bucket(word: str) -> int:
+    return PATH_BUCKETS + bucket(word, WORD_BUCKETS)
 
-@lru_cache(maxsize=50_000)
-def _path_features(path: tuple) -> tuple[int, ...]:
-    found = set()
-    for tag, names in path:
-        found.add(_hash("t:" + tag, PATH_BUCKETS))
-        found.update(_hash("n:" + x, PATH_BUCKETS) for x in names)
-    for up, (tag, names) in enumerate(reversed(path[-2:])):
-        found.add(_hash(f"u{up}:{tag}", PATH_BUCKETS))
-    return tuple(found)
 
-
-def features(page: list[Block]) -> list[list[int]]:
-    """Of each block its features; those of words are at most 12, spread over the block."""
+def features(page: list[Block]) -> list[dict[int, float]]:
+    """Of each block its features with their weights: path, all words of the whole block, and steps of size, links, place and end."""
     out = []
     for i, b in enumerate(page):
-        f = list(_path_features(b.path))
-        words = b.text[:400].lower().split()
-        f += {PATH_BUCKETS + _hash(w.strip(".,;:!?"), WORD_BUCKETS) for w in words[:: max(1, len(words) // 12)][:12]}
+        f: dict[int, float] = dict.fromkeys(b.path, 1.0)
+        words = list(map(_word_bucket, _WORD.findall(b.text.lower())))
+        if words:
+            weight = min(1.0, FULL_WORDS / len(words))
+            for k, n in Counter(words).items():
+                f[k] = weight * n
         size = min(9, len(b.text).bit_length())
         link = min(4, 4 * b.linked // len(b.text))
         place = 10 * i // len(page)
         base = PATH_BUCKETS + WORD_BUCKETS
-        f += [base + size, base + 10 + link, base + 15 + place, base + 25 + (b.text[-1] in ".!?\"'")]
+        for k in (base + size, base + 10 + link, base + 15 + place, base + 25 + (b.text[-1] in ".!?\"'")):
+            f[k] = 1.0
         out.append(f)
     return out
 
@@ -124,28 +127,34 @@ class Labeller:
     def params(self) -> list[np.ndarray]:
         return [self.ahead.wx, self.ahead.wh, self.ahead.b, self.behind.wx, self.behind.wh, self.behind.b, self.w, self.c]
 
+    def take(self, weights: list[np.ndarray]) -> Labeller:
+        for own, given in zip(self.params(), weights, strict=True):
+            own[...] = given
+        return self
+
     @staticmethod
-    def _lay(pages: list[list[list[int]]], backward: bool) -> tuple:
-        """Flat features, where blocks begin, and (step, page) of each block."""
+    def _lay(pages: list[list[dict[int, float]]], backward: bool) -> tuple:
+        """Flat features and weights, where blocks begin, and (step, page) of each block."""
         sizes = np.array([len(p) for p in pages])
         flat = [f for p in pages for f in p]
         counts = np.array([len(f) for f in flat])
         ids = np.fromiter((k for f in flat for k in f), np.int64, int(counts.sum()))
+        weights = np.fromiter((w for f in flat for w in f.values()), np.float32, len(ids))[:, None]
         page = np.repeat(np.arange(len(pages)), sizes)
         step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         if backward:
             step = np.repeat(sizes, sizes) - 1 - step
         mask = np.zeros((int(sizes.max()), len(pages)), bool)
         mask[step, page] = True
-        return ids, np.cumsum(counts) - counts, counts, step, page, mask
+        return ids, weights, np.cumsum(counts) - counts, counts, step, page, mask
 
-    def _forward(self, pages: list[list[list[int]]], kept: list | None = None) -> np.ndarray:
+    def _forward(self, pages: list[list[dict[int, float]]], kept: list | None = None) -> np.ndarray:
         """A score for each block."""
         both = []
         for net, backward in ((self.ahead, False), (self.behind, True)):
-            ids, starts, counts, step, page, mask = lay = self._lay(pages, backward)
+            ids, weights, starts, counts, step, page, mask = lay = self._lay(pages, backward)
             x = np.zeros((*mask.shape, 4 * HIDDEN), np.float32)
-            x[step, page] = np.add.reduceat(net.wx[ids], starts)
+            x[step, page] = np.add.reduceat(net.wx[ids] * weights, starts)
             keep = None if kept is None else []
             h = net.run(x, mask, keep)[step, page]
             both.append(h)
@@ -153,7 +162,7 @@ class Labeller:
                 kept.append((net, lay, keep, h))
         return np.concatenate(both, axis=1) @ self.w + self.c
 
-    def fit(self, data: list[tuple[list[list[int]], list[int]]], epochs: int = EPOCHS, batch: int = 40, rate: float = 0.015, seed: int = SEED) -> Labeller:
+    def fit(self, data: list[tuple[list[dict[int, float]], list[int]]], epochs: int = EPOCHS, batch: int = 40, rate: float = 0.015, seed: int = SEED) -> Labeller:
         """Adam on the cross entropy of blocks."""
         rng = np.random.default_rng(seed)
         params = self.params()
@@ -169,14 +178,14 @@ class Labeller:
                 d = ((1 / (1 + np.exp(-z)) - y) / len(y) * 8).astype(np.float32)
                 states = np.concatenate([k[3] for k in kept], axis=1)
                 grads: list = []
-                for side, (net, (ids, starts, counts, step, page, mask), keep, _) in enumerate(kept):
+                for side, (net, (ids, weights, starts, counts, step, page, mask), keep, _) in enumerate(kept):
                     dh = np.zeros((*mask.shape, HIDDEN), np.float32)
                     dh[step, page] = d[:, None] * self.w[side * HIDDEN : (side + 1) * HIDDEN]
                     dx, dwh, db = net.back(dh, keep)
                     dwx = np.zeros_like(net.wx)
                     by = np.argsort(ids, kind="stable")
                     first = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
-                    dwx[ids[by][first]] = np.add.reduceat(dx[step, page][np.repeat(np.arange(len(counts)), counts)[by]], first)
+                    dwx[ids[by][first]] = np.add.reduceat(dx[step, page][np.repeat(np.arange(len(counts)), counts)[by]] * weights[by], first)
                     grads += [dwx, dwh, db]
                 grads += [states.T @ d, d.sum(keepdims=True)]
                 n += 1
@@ -370,16 +379,16 @@ class PageWriter:
         return blocks("".join(self.html)), self.labels
 
 
-def _disturbed(found: list[int], rng: np.random.Generator) -> list[int]:
+def _disturbed(found: dict[int, float], rng: np.random.Generator) -> dict[int, float]:
     """A block's features with its words often missing or others, so that words alone decide nothing."""
-    words = [f for f in found if PATH_BUCKETS <= f < PATH_BUCKETS + WORD_BUCKETS]
-    rest = [f for f in found if not PATH_BUCKETS <= f < PATH_BUCKETS + WORD_BUCKETS]
+    is_word = range(PATH_BUCKETS, PATH_BUCKETS + WORD_BUCKETS)
+    words = [(k, w) for k, w in found.items() if k in is_word]
     how = rng.random()
     if how < 0.35:
         words = words[: int(rng.integers(0, 3))]
     elif how < 0.75:
-        words = (PATH_BUCKETS + rng.integers(0, WORD_BUCKETS, int(rng.integers(0, 13)))).tolist()
-    return rest + words
+        words = [(k, 1.0) for k in (PATH_BUCKETS + rng.integers(0, WORD_BUCKETS, int(rng.integers(0, FULL_WORDS + 1)))).tolist()]
+    return {k: w for k, w in found.items() if k not in is_word} | dict(words)
 
 
 @lru_cache(maxsize=1)
@@ -395,6 +404,27 @@ def trained(n_pages: int = PAGES, seed: int = SEED) -> Labeller:
     return Labeller(seed).fit(data)
 
 
+def _recipe() -> str:
+    """What the weights follow from: the code that writes pages, reads them and trains."""
+    code = inspect.getsource(html_blocks) + inspect.getsource(inspect.getmodule(trained))
+    return hashlib.sha256(code.encode()).hexdigest()[:24]
+
+
+def labeller(spark: SparkSession) -> Labeller:
+    """The trained labeller, its weights kept in the shared folder: trained once for all sessions that share it."""
+    path = f"{shared_dir(spark)}/quillfind/labeller-{_recipe()}"
+    try:
+        (row,) = spark.read.schema("weights binary").parquet(path).collect()
+    except (AnalysisException, ValueError):
+        made = trained()
+        held = io.BytesIO()
+        np.savez(held, *made.params())
+        spark.createDataFrame([(held.getvalue(),)], "weights binary").coalesce(1).write.mode("overwrite").parquet(path)
+        return made
+    with np.load(io.BytesIO(bytes(row.weights))) as kept:
+        return Labeller().take([kept[k] for k in kept.files])
+
+
 def main_texts(labeller: Labeller, pages: list[str]) -> list[str]:
     cut = [blocks(p) for p in pages]
     return [" ".join([b.text for b, ok in zip(page, main) if ok]) for page, main in zip(cut, labeller.main(cut))]
@@ -427,11 +457,12 @@ def extract_main(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars.
 
     Null and empty pages have an empty text; null ids and urls stay null; repeated rows are each kept.
+    Pages of any length and depth are read whole. Other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    shared = spark.sparkContext.broadcast(trained())
-    return rows.mapInArrow(_extract(shared), "page_id bigint, url string, text string, n_chars bigint")
+    shared = spark.sparkContext.broadcast(labeller(spark))
+    return rows.mapInArrow(freeing(_extract(shared)), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

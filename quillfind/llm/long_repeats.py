@@ -2,15 +2,15 @@
 
 Every SPAN-byte string has one anchor: the GRAM bytes of least hash in it. Equal strings have equal
 anchors at equal places, so each document is cut into snippets, the runs of strings that share an
-anchor. Anchors that occur in one document only are sorted out by their hashes. The snippets of the
-others meet by anchor in ranges of bounded size, where a run-compressed index is built: distinct
-snippets are named once with the smallest document that holds them, all their SPAN-byte suffix
-prefixes are sorted, equal neighbours form runs, and each run keeps one sample, its smallest document.
-Streaming the snippets over the index gives each string's match with a smaller document. Bytes
+anchor. Anchors that occur in one document only are sorted out by their hashes. The distinct snippets of
+the others meet by anchor in ranges of bounded size, where a run-length index is built over them
+(run_index) and each is streamed over it: of each string comes the smallest document that has it. Bytes
 decide in the index; hashes only bring candidates together.
 
-Scale: texts are packed once into segments; each segment sends an anchor once. All exchanges are arrays
-in hash ranges or for a segment, so a passage in a third of all documents is a row a segment.
+Scale: texts are packed once into segments; each segment sends an anchor and a distinct snippet once, with
+its least document there, and gets back runs of least documents, a few numbers a snippet. So a passage in
+a third of all documents is a row a segment in its range, and no range holds a document's place. Segments
+find their snippets' places again by themselves.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX1, materialize, mix64, read_table, release, trim
+from .common import GOLDEN, MIX1, materialize, mix64, read_table, trim
+from .run_index import RunIndex
 from .segments import pack, unpack, unzip, with_rows, zip_bytes
 
 SPAN, GRAM = 50, 20
@@ -135,107 +136,99 @@ def _meet(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["seg", "keys"])
 
 
+class _Snippets:
+    """The snippets of a segment: where each is, and the distinct ones in order of range, then of appearance."""
+
+    def __init__(self, r, shared: np.ndarray, n_ranges: int) -> None:
+        key, doc, first, which = [], [], [], []
+        names: dict[bytes, int] = {}
+        keys: list[int] = []
+        for i, t in enumerate(unpack(r.sizes, r.n_bytes, r.pack)):
+            h, at = anchors(np.frombuffer(t, np.uint8))
+            h = h >> np.uint64(16)
+            ok = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h) if len(h) else []
+            if not len(ok):
+                continue
+            n = np.diff(np.r_[at, len(t) - SPAN + 1])[ok]
+            for k, a, m in zip(h[ok].tolist(), at[ok].tolist(), n.tolist()):
+                j = names.setdefault(t[a : a + m + SPAN - 1], len(names))
+                if j == len(keys):
+                    keys.append(k)
+                which.append(j)
+            doc.append(np.full(len(ok), i))
+            first.append(at[ok])
+        self.doc, self.first = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (doc, first))
+        self.keys = np.array(keys, np.uint64)
+        self.texts = list(names)
+        self.range = ((self.keys >> np.uint64(8)) * np.uint64(n_ranges) >> np.uint64(40)).astype(np.int64)
+        self.order = np.argsort(self.range, kind="stable")
+        self.which = np.array(which, np.int64)
+        self.id = _ids(r.doc_ids)[self.doc]
+
+    def by_range(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(range, distinct snippets in it)."""
+        r = self.range[self.order]
+        heads = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]).tolist() if len(r) else []
+        for lo, hi in zip(heads, [*heads[1:], len(r)]):
+            yield int(r[lo]), self.order[lo:hi]
+
+
+def _shared(keys) -> np.ndarray:
+    return np.unique(np.concatenate([_from_six(k) for k in keys]))
+
+
 def _snippets(n_ranges: int):
-    """A segment and its shared anchors -> snippets by range: arrays of anchor, document, place and length, and the bytes."""
+    """A segment and its shared anchors -> distinct snippets by range: arrays of anchor, least document and length, and the bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.keys is None or not len(r.keys):
                     continue
-                shared = np.unique(np.concatenate([_from_six(k) for k in r.keys]))
-                key, doc, first, count, texts_ = [], [], [], [], []
-                for i, t in enumerate(unpack(r.sizes, r.n_bytes, r.pack)):
-                    h, at = anchors(np.frombuffer(t, np.uint8))
-                    h = h >> np.uint64(16)
-                    ok = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h) if len(h) else []
-                    if len(ok):
-                        n = np.diff(np.r_[at, len(t) - SPAN + 1])[ok]
-                        key.append(h[ok])
-                        doc.append(np.full(len(ok), i))
-                        first.append(at[ok])
-                        count.append(n)
-                        texts_ += [t[a : a + m + SPAN - 1] for a, m in zip(at[ok].tolist(), n.tolist())]
-                if not key:
-                    continue
-                keys, docs, firsts, counts = map(np.concatenate, (key, doc, first, count))
-                ids = _ids(r.doc_ids)
-                where = ((keys >> np.uint64(8)) * np.uint64(n_ranges) >> np.uint64(40)).astype(np.int64)
-                by = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[by], np.arange(n_ranges + 1))
+                s = _Snippets(r, _shared(r.keys), n_ranges)
+                least = np.full(len(s.texts), NO_ID, np.int64)
+                np.minimum.at(least, s.which, s.id)
                 out = []
-                for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if lo < hi:
-                        at = by[lo:hi]
-                        data = b"".join([texts_[j] for j in at.tolist()])
-                        cols = (_six(keys[at] << np.uint64(16)), zip_bytes(docs[at].astype("<u4").tobytes()), zip_bytes(ids[docs[at]].astype("<i8").tobytes()), zip_bytes(firsts[at].astype("<u4").tobytes()), zip_bytes(counts[at].astype("<u4").tobytes()))
-                        out.append((k, r.seg, len(at), *cols, len(data), zip_bytes(data)))
-                yield pd.DataFrame(out, columns=["range", "seg", "n", "keys", "docs", "ids", "firsts", "counts", "size", "data"])
-                del out, texts_, key, doc, first, count
+                for k, at in s.by_range():
+                    some = [s.texts[j] for j in at.tolist()]
+                    data, counts = b"".join(some), np.array([len(x) for x in some]) - SPAN + 1
+                    out.append((k, r.seg, len(at), _six(s.keys[at] << np.uint64(16)), zip_bytes(least[at].astype("<i8").tobytes()), zip_bytes(counts.astype("<u4").tobytes()), len(data), zip_bytes(data)))
+                if out:
+                    yield pd.DataFrame(out, columns=["range", "seg", "n", "keys", "ids", "counts", "size", "data"])
+                del out, s
                 trim()
 
     return run
 
 
-_SNIPPETS = "range int, seg bigint, n bigint, keys binary, docs binary, ids binary, firsts binary, counts binary, size bigint, data binary"
+_SNIPPETS = "range int, seg bigint, n bigint, keys binary, ids binary, counts binary, size bigint, data binary"
+_TOLD = "seg bigint, range int, told binary"
 
 
 def run_index(texts_: list[bytes], counts: np.ndarray, owners: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Of distinct snippets: (text, smallest document) of each span-byte string, strings in the texts' order.
-
-    Prefixes of span bytes are sorted, equal neighbours are a run, and a run keeps its smallest owner.
-    """
-    data = np.frombuffer(b"".join(texts_) + b"\0" * 8, np.uint8)
-    lengths = counts + span - 1
-    starts = np.cumsum(lengths) - lengths
-    text = np.repeat(np.arange(len(texts_)), counts)
-    place = starts[text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts))
-    word = data.astype(np.uint64)
-    for size in (1, 2, 4):  # eight bytes from each place on, the first one highest
-        word = (word[:-size] << np.uint64(8 * size)) | word[size:]
-    cols = [word[place + min(j, span - 8)] for j in range(0, span, 8)]
-    order = np.lexsort(cols[::-1])
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for c in cols:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
-    heads = np.flatnonzero(new)
-    samples = np.minimum.reduceat(owners[text[order]], heads)  # one for each run
-    least = np.empty(len(order), np.int64)
-    least[order] = np.repeat(samples, np.diff(np.r_[heads, len(order)]))
-    return text, least
-
-
-def _index_hits(texts_: list[bytes], size: np.ndarray, owners: np.ndarray, name: np.ndarray, spans: dict[int, list]) -> None:
-    """Add to spans, by name, the first and last string of each run of strings that a smaller document has."""
-    text, least = run_index(texts_, size, owners)
-    hit = least < owners[text]
-    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-    first_of_text = place == 0
-    begin = np.flatnonzero(hit & (np.r_[True, ~hit[:-1]] | first_of_text))
-    end = np.flatnonzero(hit & (np.r_[~hit[1:], True] | np.r_[first_of_text[1:], True]))
-    for b, e in zip(begin.tolist(), end.tolist()):
-        spans.setdefault(int(name[text[b]]), []).append((int(place[b]), int(place[e])))
+    """Of distinct snippets: (text, smallest document) of each span-byte string, strings in the texts' order."""
+    index = RunIndex(texts_, counts, owners, span)
+    return index.text, index.smallest()
 
 
 def _match(g: pd.DataFrame) -> pd.DataFrame:
-    """The snippets of a range -> for each segment the covered byte ranges of its documents.
+    """The snippets of a range -> for each segment the runs of least documents of its snippets' strings.
 
     Anchors are independent, so those of a range are taken in several lots, each of about LOT_BYTES.
     """
     lots = max(1, int(g["size"].sum()) // LOT_BYTES)
     found = []
     for lot in range(lots):
-        found.append(_match_lot(g, lot, lots))
+        found += _match_lot(g, lot, lots)
         trim()
-    return pd.concat(found, ignore_index=True)
+    return pd.DataFrame(found, columns=["seg", "range", "told"])
 
 
-def _match_lot(g: pd.DataFrame, lot: int, lots: int) -> pd.DataFrame:
+def _match_lot(g: pd.DataFrame, lot: int, lots: int) -> list[tuple]:
     names: dict[bytes, int] = {}
     keys: list[int] = []
-    name, docs, ids, firsts, counts, seg = [], [], [], [], [], []
+    name, entry, ids = [], [], []
+    rows: list[tuple] = []
     for r in g.itertuples(index=False):
         n = np.frombuffer(unzip(r.counts, 4 * r.n), "<u4").astype(np.int64)
         key, ends = _from_six(r.keys), np.cumsum(n + SPAN - 1)
@@ -248,66 +241,85 @@ def _match_lot(g: pd.DataFrame, lot: int, lots: int) -> pd.DataFrame:
             if i == len(keys):
                 keys.append(k)
             name.append(i)
-        docs.append(np.frombuffer(unzip(r.docs, 4 * r.n), "<u4").astype(np.int64)[own])
+        rows.append((int(r.seg), int(r.range), len(own)))
+        entry.append(own)
         ids.append(np.frombuffer(unzip(r.ids, 8 * r.n), "<i8")[own])
-        firsts.append(np.frombuffer(unzip(r.firsts, 4 * r.n), "<u4").astype(np.int64)[own])
-        counts.append(n[own])
-        seg.append(np.full(len(own), r.seg))
     if not name:
-        return pd.DataFrame({"seg": pd.Series([], dtype="int64"), "spans": pd.Series([], dtype=object)})
-    docs, ids, firsts, counts, seg = map(np.concatenate, (docs, ids, firsts, counts, seg))
-    name = np.array(name)
-    owners = np.full(len(names), NO_ID, np.int64)
-    np.minimum.at(owners, name, ids)
-    # Copies of a snippet in a later document match throughout; its owner's strings go through the index.
-    whole = np.flatnonzero(ids > owners[name])
-    parts = [(seg[whole], docs[whole], firsts[whole], firsts[whole] + counts[whole] - 1 + SPAN)]
+        return []
+    name, listed = np.array(name), list(names)
+    size = np.array([len(x) for x in listed], np.int64) - SPAN + 1
+    owners = np.full(len(listed), NO_ID, np.int64)
+    np.minimum.at(owners, name, np.concatenate(ids))
+    # A snippet alone with its anchor shares its strings with its copies only: one run. The others go through the index.
+    runs: list = [((int(n),), (int(o),)) for n, o in zip(size, owners)]
     _, of, n = np.unique(np.array(keys, np.uint64), return_inverse=True, return_counts=True)
     contested = np.flatnonzero(n[of] > 1)
     if len(contested):
-        listed = list(names)
         contested = contested[np.argsort(of[contested], kind="stable")]
-        size = np.array([len(listed[i]) - SPAN + 1 for i in contested.tolist()], np.int64)
-        spans: dict[int, list] = {}
         # Anchors are independent: some whole ones at a time bound the index's memory.
-        step, group = np.cumsum(size) // INDEX_STRINGS, of[contested]
+        step, group = np.cumsum(size[contested]) // INDEX_STRINGS, of[contested]
         heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         cuts = heads[np.r_[True, np.diff(step[heads]) > 0]].tolist()
         for lo, hi in zip(cuts, [*cuts[1:], len(contested)]):
             some = contested[lo:hi]
-            _index_hits([listed[i] for i in some.tolist()], size[lo:hi], owners[some], some, spans)
-        own = np.flatnonzero(ids == owners[name])
-        rows = [(i, lo, hi) for i in own.tolist() for lo, hi in spans.get(int(name[i]), ())]
-        if rows:
-            i, lo, hi = (np.array(x) for x in zip(*rows))
-            parts.append((seg[i], docs[i], firsts[i] + lo, firsts[i] + hi + SPAN))
-    seg, docs, lo, hi = (np.concatenate(x) for x in zip(*parts))
-    by = np.lexsort((lo, docs, seg))
-    seg, docs, lo, hi = seg[by], docs[by], lo[by], hi[by]
-    ends = np.flatnonzero(np.r_[seg[1:] != seg[:-1], True]) + 1 if len(seg) else []
-    out, a = [], 0
-    for b in ends:
-        cols = np.stack([docs[a:b], lo[a:b], hi[a:b] - lo[a:b]]).astype("<u4")
-        out.append((int(seg[a]), zip_bytes(int(b - a).to_bytes(8, "little") + cols.tobytes())))
-        a = int(b)
-    return pd.DataFrame(out, columns=["seg", "spans"])
-
-
-def _cut(keep_text: bool):
-    """A segment and its covered ranges -> a row for each document."""
+            text, least = run_index([listed[i] for i in some.tolist()], size[some], owners[some])
+            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (least[1:] != least[:-1])])
+            lengths, of_text = np.diff(np.r_[new, len(text)]), text[new]
+            bounds = np.searchsorted(of_text, np.arange(len(some) + 1)).tolist()
+            lengths, values = lengths.tolist(), least[new].tolist()
+            for k, i in enumerate(some.tolist()):
+                runs[i] = (lengths[bounds[k] : bounds[k + 1]], values[bounds[k] : bounds[k + 1]])
+    out, at = [], 0
+    for (seg, k, m), own in zip(rows, entry):
+        mine = [runs[i] for i in name[at : at + m].tolist()]
+        at += m
+        n_runs = np.array([len(x[0]) for x in mine], "<u4")
+        lengths = np.array([v for x in mine for v in x[0]], "<u4")
+        least = np.array([v for x in mine for v in x[1]], "<i8")
+        head = np.array([m, len(lengths)], "<u8").tobytes()
+        out.append((seg, k, zip_bytes(head + own.astype("<u4").tobytes() + n_runs.tobytes() + lengths.tobytes() + least.tobytes())))
+    return out
+
+
+def _spans(s: _Snippets, told) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first byte, end) of what is covered in a segment, from the runs of its distinct snippets."""
+    place = {}  # (range, entry) in the order in which the segment sent its snippets
+    for k, at in s.by_range():
+        place[k] = at
+    n_runs, parts = np.zeros(len(s.texts), np.int64), []
+    for k, blob in told:
+        data = unzip_all(blob)
+        m, total = (int(x) for x in np.frombuffer(data, "<u8", 2))
+        of = place[k][np.frombuffer(data, "<u4", m, 16)]
+        n = np.frombuffer(data, "<u4", m, 16 + 4 * m).astype(np.int64)
+        n_runs[of] = n
+        parts.append((np.repeat(of, n), np.frombuffer(data, "<u4", total, 16 + 8 * m).astype(np.int64), np.frombuffer(data, "<i8", total, 16 + 8 * m + 4 * total)))
+    if not parts:
+        return (np.empty(0, np.int64),) * 3
+    of, length, least = (np.concatenate(x) for x in zip(*parts))
+    by = np.argsort(of, kind="stable")
+    length, least = length[by], least[by]
+    first = np.cumsum(n_runs) - n_runs
+    upto = np.cumsum(length)
+    begin = upto - length - np.repeat((upto - length)[np.minimum(first, len(upto) - 1)], n_runs)
+    n = n_runs[s.which]
+    run = np.repeat(first[s.which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    at = np.repeat(np.arange(len(s.which)), n)
+    hit = least[run] < s.id[at]
+    run, at = run[hit], at[hit]
+    lo = s.first[at] + begin[run]
+    return s.doc[at], lo, lo + length[run] + SPAN - 1
+
+
+def _cut(n_ranges: int, keep_text: bool):
+    """A segment and what the ranges told it -> a row for each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                doc, lo, hi = [], [], []
-                for s in r.spans if r.spans is not None else ():
-                    data = unzip_all(s)
-                    n = int.from_bytes(data[:8], "little")
-                    cols = np.frombuffer(data, "<u4", 3 * n, 8).reshape(3, n).astype(np.int64)
-                    doc.append(cols[0])
-                    lo.append(cols[1])
-                    hi.append(cols[1] + cols[2])
-                doc, lo, hi = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (doc, lo, hi))
+                doc = lo = hi = np.empty(0, np.int64)
+                if r.told is not None and len(r.told):
+                    doc, lo, hi = _spans(_Snippets(r, _shared(r.keys), n_ranges), [(x["range"], x["told"]) for x in r.told])
                 by = np.lexsort((lo, doc))
                 doc, lo, hi = doc[by], lo[by], hi[by]
                 cuts = np.searchsorted(doc, np.arange(len(r.sizes) + 1))
@@ -331,6 +343,8 @@ def _cut(keep_text: bool):
                 frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept" if keep_text else "kept_sha256"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
+                del out, frame
+                trim()
 
     return run
 
@@ -352,17 +366,19 @@ def remove_long_repeats(documents: DataFrame, digest: bool = False) -> DataFrame
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept (the bytes left) or kept_sha256.
 
     Null texts are empty. A null doc_id ranks after all others. Rows that repeat a doc_id do not
-    remove from each other. Texts shorter than SPAN bytes keep all bytes.
+    remove from each other. Texts shorter than SPAN bytes keep all bytes. Other columns are ignored; an
+    empty table gives no rows.
     """
     packed = pack(documents)
     n = ranges(packed)
     told = packed.select("seg", "sizes", "n_bytes", "pack").mapInPandas(_announce(n), "range int, seg bigint, shared boolean, keys binary")
     shared = materialize(told.groupBy("range").applyInPandas(_meet, "seg bigint, keys binary"), "anchors", "none")
-    snippets = with_rows(packed, shared, "keys").mapInPandas(_snippets(n), _SNIPPETS)
-    spans = materialize(snippets.groupBy("range").applyInPandas(_match, "seg bigint, spans binary"), "spans", "none")
-    release(shared)
+    known = with_rows(packed, shared, "keys")
+    snippets = known.mapInPandas(_snippets(n), _SNIPPETS)
+    least = snippets.groupBy("range").applyInPandas(_match, _TOLD)
+    least = materialize(least.select("seg", F.struct("range", "told").alias("told")), "runs", "none")
     kind = "kept_sha256 string" if digest else "kept binary"
-    return with_rows(packed, spans, "spans").mapInPandas(_cut(not digest), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {kind}")
+    return with_rows(known, least, "told").mapInPandas(_cut(n, not digest), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {kind}")
 
 
 def op9_long_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
