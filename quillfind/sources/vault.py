@@ -9,10 +9,28 @@ from quillfind.functions.text import anchor_id, lines_of
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """path, name, base_name, text of every .md file below path, whole texts."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    return files.select("path", "name", F.regexp_replace("name", r"\.md$", "").alias("base_name"), "text")
+    """path, name, base_name, text of every .md file below path, whole texts, empty files too.
+
+    Spark's own listing leaves empty files out, so those are taken from the file system's.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
+    files = files.select("path", F.decode("content", "UTF-8").alias("text"))
+    empty = _empty_files(spark, path)
+    if empty:
+        files = files.unionByName(spark.createDataFrame([(p, "") for p in empty], "path string, text string"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("name"), F.regexp_replace(name, r"\.md$", "").alias("base_name"), "text")
+
+
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    out = []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and f.getPath().getName().endswith(".md"):
+            out.append(f.getPath().toString())
+    return out
 
 
 def line_kind(line):

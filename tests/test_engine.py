@@ -92,5 +92,5 @@ def test_file_events(spark):
     notes = spark.createDataFrame([(k, t, t, f"{k}.md", f"{k}.md", k, "old") for k in "abc"], "id string, created_at timestamp, updated_at timestamp, path string, name string, base_name string, text string")
     rows = [(1, t, "a.md", "modify", None, "new"), (2, t, "b.md", "delete", None, None), (3, t, "c.md", "rename", "d.md", "ignored"), (4, t, "x.txt", "create", None, "no"), (5, t, "e.md", "create", None, "fresh")]
     events = spark.createDataFrame(rows, "event_id bigint, ts timestamp, path string, op string, new_path string, text string")
-    out = {r.path: r.text for r in files.apply_events(notes, files.last_events(events), F.lit(t)).collect()}
+    out = {r.path: r.text for r in files.apply_events(notes, events, F.lit(t)).collect()}
     assert out == {"a.md": "new", "d.md": "old", "e.md": "fresh"}

@@ -94,7 +94,7 @@ def test_query_grammar(spark):
     found = fts.fts_tokens(F.coalesce("content", F.lit("")))
 
     def ids(q):
-        return [r.docid for r in rows.where(fts.predicate(fts.parse(q), {"content": found})).orderBy("docid").collect()]
+        return [r.docid for r in rows.where(fts.predicate(fts.parse(q), fts.TokenArrays({"content": found}))).orderBy("docid").collect()]
 
     assert ids("apple") == [0, 1]
     assert ids("apple pie") == [0]
