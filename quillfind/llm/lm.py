@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, freeing, lower_words, materialize, mix64, read_table, texts, trim, utf8
+from .common import GOLDEN, WordHashes, freeing, lower_words, materialize, mix64, read_table, release, texts, trim, utf8
 from .quality import remainder
 from .segments import pack, unpack, with_rows
 
@@ -206,11 +206,15 @@ def _slices(bits: float):
 class Filter:
     """The filter's slices; slice r holds the n-grams of range r."""
 
-    def __init__(self, slices: list[bytes], sizes: list[int] | None = None) -> None:
-        """sizes: the slices' bytes, where slices are joined already."""
-        sizes = 8 * np.array([len(s) for s in slices] if sizes is None else sizes, np.int64)
-        self.n, self.sizes, self.starts = len(sizes), sizes, np.cumsum(sizes) - sizes
-        self.bits = np.frombuffer(b"".join(slices), np.uint8)
+    def __init__(self, joined: np.ndarray, sizes: np.ndarray) -> None:
+        """joined: the slices one after another; sizes: their bytes."""
+        self.bits, self.n, self.sizes = joined, len(sizes), 8 * sizes
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    @classmethod
+    def of(cls, slice_: bytes) -> Filter:
+        """A filter of one slice."""
+        return cls(np.frombuffer(slice_, np.uint8), np.array([len(slice_)], np.int64))
 
     def levels(self, keys: np.ndarray, order: int, of: np.ndarray | None = None) -> np.ndarray:
         """Of distinct keys: the last level at which each is found. of: what their ranges go by, the keys themselves if not given."""
@@ -282,9 +286,8 @@ def _score(shared, total: int, types: int, most: int = 4 << 20):
     """Scores with the whole filter and table in each worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, slices = shared.value
-        table, known = Counts(np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<i8")), WordHashes(150_000)
-        bloom = Filter(*slices)
+        joined, sizes, keys, counts = shared.value
+        table, bloom, known = Counts(keys, counts), Filter(joined, sizes), WordHashes(150_000)
 
         def out(doc_ids: list, held: list[bytes]) -> pa.RecordBatch:
             t = Texts(held, known)
@@ -327,7 +330,7 @@ _ANSWER = "seg bigint, range int, n int, levels binary, counts binary"
 
 def _answer(asked: pd.DataFrame, made: pd.DataFrame) -> pd.DataFrame:
     """The n-grams asked of a range -> the level of each, a byte; of tokens exact counts, too, of pairs also their histories' levels."""
-    bloom = Filter([bytes(made["bits"].iloc[0]) if len(made) else b""])
+    bloom = Filter.of(bytes(made["bits"].iloc[0]) if len(made) else b"")
     table = Counts(_joined(made["keys1"], np.uint64), _joined(made["counts1"], "<i8"))
     rows = []
     for r in asked.itertuples(index=False):
@@ -361,6 +364,25 @@ def _score_found(total: int, types: int):
     return run
 
 
+_CUT = "range int, bits binary, keys1 binary, counts1 binary"
+
+
+def _gathered(cut: DataFrame, n_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The slices joined, their bytes, and token hashes and counts, a partition at a time: the driver holds them once."""
+    sizes = np.zeros((2, n_ranges), np.int64)
+    for r in cut.select("range", F.octet_length("bits"), F.octet_length("keys1")).collect():  # three numbers a range
+        sizes[:, r[0]] = r[1], r[2] // 8
+    at = np.cumsum(sizes, axis=1) - sizes
+    joined = np.zeros(sizes[0].sum(), np.uint8)
+    keys, counts = np.zeros(sizes[1].sum(), np.uint64), np.zeros(sizes[1].sum(), np.int64)
+    for r in cut.toLocalIterator():
+        first, here = at[:, r.range], sizes[:, r.range]
+        joined[first[0] : first[0] + here[0]] = np.frombuffer(r.bits, np.uint8)
+        keys[first[1] : first[1] + here[1]] = np.frombuffer(r.keys1, np.uint64)
+        counts[first[1] : first[1] + here[1]] = np.frombuffer(r.counts1, "<i8")
+    return joined, sizes[0], keys, counts
+
+
 def lm_scores(documents: DataFrame, max_filter: int = MAX_FILTER, max_table: int = MAX_TABLE, segment: int = SEGMENT_TOKENS, bits: float = BITS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -376,13 +398,11 @@ def lm_scores(documents: DataFrame, max_filter: int = MAX_FILTER, max_table: int
     counted = learn.mapInArrow(freeing(_count(n_ranges, segment)), _PIECES_SQL)
     reduced = materialize(counted.groupBy("range").applyInPandas(_reduce, _REDUCED), "ngrams")
     total, types, entries = (x or 0 for x in reduced.agg(F.sum("tokens"), F.sum("types"), F.sum("entries")).head())
-    cut = reduced.select("range", "entries", "keys1", "counts1", "keys2", "levels2", "keys3", "levels3").mapInPandas(_slices(bits), "range int, bits binary, keys1 binary, counts1 binary")
+    cut = reduced.select("range", "entries", "keys1", "counts1", "keys2", "levels2", "keys3", "levels3").mapInPandas(_slices(bits), _CUT)
+    cut = materialize(cut, "filter", "none")
+    release(reduced)
     if entries * bits <= 8 * max_filter and 16 * types <= max_table:
-        made = {r[0]: r for r in cut.collect()}  # within max_filter and max_table bytes
-        empty = (0, b"", b"", b"")
-        rows = [made.pop(r, empty) for r in range(n_ranges)]
-        slices = [b"".join(bytes(r[1]) for r in rows)], [len(r[1]) for r in rows]
-        shared = spark.sparkContext.broadcast((b"".join(bytes(r[2]) for r in rows), b"".join(bytes(r[3]) for r in rows), slices))
+        shared = spark.sparkContext.broadcast(_gathered(cut, n_ranges))
         found = texts(documents).mapInArrow(freeing(_score(shared, total, types)), _SCORED)
     else:
         packed = pack(documents)
