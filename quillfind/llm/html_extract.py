@@ -17,8 +17,6 @@ from __future__ import annotations
 import hashlib
 import inspect
 import io
-import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,37 +32,42 @@ from .html_blocks import PATH_BUCKETS, Block, blocks, bucket
 
 WORD_BUCKETS, STEPS = 256, 32
 N_FEATURES = PATH_BUCKETS + WORD_BUCKETS + STEPS
-HIDDEN, SEED, PAGES, EPOCHS = 16, 11, 2000, 6
+HIDDEN, SEED, PAGES, EPOCHS = 16, 11, 2400, 6
 #: How many words of a block count in full; all words of a longer one share that weight.
 FULL_WORDS = 12
 #: Blocks that are labelled at once.
 BATCH_BLOCKS = 20_000
 
-_WORD = re.compile(r"[^\s.,;:!?]+")
+_MARKS = str.maketrans(dict.fromkeys(".,;:!?", " "))
 
 
-@lru_cache(maxsize=200_000)
-def _word_bucket(word: str) -> int:
-    return PATH_BUCKETS + bucket(word, WORD_BUCKETS)
+class _Buckets(dict):
+    """word -> its bucket; emptied when it holds limit words."""
 
+    def __missing__(self, word: str, limit: int = 300_000) -> int:
+        if len(self) >= limit:
+            self.clear()
+        found = self[word] = bucket(word, WORD_BUCKETS)
+        return found
 
-def features(page: list[Block]) -> list[dict[int, float]]:
-    """Of each block its features with their weights: path, all words of the whole block, and steps of size, links, place and end."""
+
+_WORDS = _Buckets()
+
+
+def word_buckets(text: str) -> list[int]:
+    """The bucket of every word of a text."""
+    return list(map(_WORDS.__getitem__, text.lower().translate(_MARKS).split()))
+
+
+def features(page: list[Block]) -> list[tuple[tuple[int, ...], list[int]]]:
+    """Of each block its path and its steps of size, links, place and end, and the buckets of all words of the whole block."""
     out = []
+    base = PATH_BUCKETS + WORD_BUCKETS
     for i, b in enumerate(page):
-        f: dict[int, float] = dict.fromkeys(b.path, 1.0)
-        words = list(map(_word_bucket, _WORD.findall(b.text.lower())))
-        if words:
-            weight = min(1.0, FULL_WORDS / len(words))
-            for k, n in Counter(words).items():
-                f[k] = weight * n
         size = min(9, len(b.text).bit_length())
         link = min(4, 4 * b.linked // len(b.text))
         place = 10 * i // len(page)
-        base = PATH_BUCKETS + WORD_BUCKETS
-        for k in (base + size, base + 10 + link, base + 15 + place, base + 25 + (b.text[-1] in ".!?\"'")):
-            f[k] = 1.0
-        out.append(f)
+        out.append(((*b.path, base + size, base + 10 + link, base + 15 + place, base + 25 + (b.text[-1] in ".!?\"'")), word_buckets(b.text)))
     return out
 
 
@@ -133,36 +136,43 @@ class Labeller:
         return self
 
     @staticmethod
-    def _lay(pages: list[list[dict[int, float]]], backward: bool) -> tuple:
-        """Flat features and weights, where blocks begin, and (step, page) of each block."""
+    def _lay(pages: list) -> tuple:
+        """Flat features, where blocks begin, the weight of each word bucket in each block, and (step, page) of each block."""
         sizes = np.array([len(p) for p in pages])
         flat = [f for p in pages for f in p]
-        counts = np.array([len(f) for f in flat])
-        ids = np.fromiter((k for f in flat for k in f), np.int64, int(counts.sum()))
-        weights = np.fromiter((w for f in flat for w in f.values()), np.float32, len(ids))[:, None]
+        counts = np.array([len(f) for f, _ in flat])
+        ids = np.fromiter((k for f, _ in flat for k in f), np.int64, int(counts.sum()))
+        n_words = np.array([len(w) for _, w in flat])
+        places = np.fromiter((k for _, w in flat for k in w), np.int64, int(n_words.sum())) + np.repeat(np.arange(len(flat)) * WORD_BUCKETS, n_words)
+        words = np.bincount(places, minlength=len(flat) * WORD_BUCKETS).reshape(len(flat), WORD_BUCKETS).astype(np.float32)
+        words *= np.minimum(1.0, FULL_WORDS / np.maximum(n_words, 1)).astype(np.float32)[:, None]
         page = np.repeat(np.arange(len(pages)), sizes)
         step = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        if backward:
-            step = np.repeat(sizes, sizes) - 1 - step
         mask = np.zeros((int(sizes.max()), len(pages)), bool)
         mask[step, page] = True
-        return ids, weights, np.cumsum(counts) - counts, counts, step, page, mask
+        return ids, np.cumsum(counts) - counts, counts, words, step, page, mask
 
-    def _forward(self, pages: list[list[dict[int, float]]], kept: list | None = None) -> np.ndarray:
+    def _forward(self, pages: list, kept: list | None = None) -> np.ndarray:
         """A score for each block."""
         both = []
-        for net, backward in ((self.ahead, False), (self.behind, True)):
-            ids, weights, starts, counts, step, page, mask = lay = self._lay(pages, backward)
-            x = np.zeros((*mask.shape, 4 * HIDDEN), np.float32)
-            x[step, page] = np.add.reduceat(net.wx[ids] * weights, starts)
+        own = slice(PATH_BUCKETS, PATH_BUCKETS + WORD_BUCKETS)
+        ahead = self._lay(pages)
+        sizes = np.array([len(p) for p in pages])
+        turned = np.repeat(sizes, sizes) - 1 - ahead[4]
+        mask = np.zeros_like(ahead[6])
+        mask[turned, ahead[5]] = True
+        for net, lay in ((self.ahead, ahead), (self.behind, (*ahead[:4], turned, ahead[5], mask))):
+            ids, starts, counts, words, step, page, seen = lay
+            x = np.zeros((*seen.shape, 4 * HIDDEN), np.float32)
+            x[step, page] = np.add.reduceat(net.wx[ids], starts) + words @ net.wx[own]
             keep = None if kept is None else []
-            h = net.run(x, mask, keep)[step, page]
+            h = net.run(x, seen, keep)[step, page]
             both.append(h)
             if kept is not None:
                 kept.append((net, lay, keep, h))
         return np.concatenate(both, axis=1) @ self.w + self.c
 
-    def fit(self, data: list[tuple[list[dict[int, float]], list[int]]], epochs: int = EPOCHS, batch: int = 40, rate: float = 0.015, seed: int = SEED) -> Labeller:
+    def fit(self, data: list[tuple[list, list[int]]], epochs: int = EPOCHS, batch: int = 40, rate: float = 0.015, seed: int = SEED) -> Labeller:
         """Adam on the cross entropy of blocks."""
         rng = np.random.default_rng(seed)
         params = self.params()
@@ -178,14 +188,15 @@ class Labeller:
                 d = ((1 / (1 + np.exp(-z)) - y) / len(y) * 8).astype(np.float32)
                 states = np.concatenate([k[3] for k in kept], axis=1)
                 grads: list = []
-                for side, (net, (ids, weights, starts, counts, step, page, mask), keep, _) in enumerate(kept):
+                for side, (net, (ids, starts, counts, words, step, page, mask), keep, _) in enumerate(kept):
                     dh = np.zeros((*mask.shape, HIDDEN), np.float32)
                     dh[step, page] = d[:, None] * self.w[side * HIDDEN : (side + 1) * HIDDEN]
                     dx, dwh, db = net.back(dh, keep)
                     dwx = np.zeros_like(net.wx)
                     by = np.argsort(ids, kind="stable")
                     first = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
-                    dwx[ids[by][first]] = np.add.reduceat(dx[step, page][np.repeat(np.arange(len(counts)), counts)[by]] * weights[by], first)
+                    dwx[ids[by][first]] = np.add.reduceat(dx[step, page][np.repeat(np.arange(len(counts)), counts)[by]], first)
+                    dwx[PATH_BUCKETS : PATH_BUCKETS + WORD_BUCKETS] = words.T @ dx[step, page]
                     grads += [dwx, dwh, db]
                 grads += [states.T @ d, d.sum(keepdims=True)]
                 n += 1
@@ -356,17 +367,21 @@ class PageWriter:
             self.labels += [label] * (label >= 0)
 
     def page(self) -> tuple[list[Block], list[int]]:
-        self.html: list[str] = ["<!DOCTYPE html><html><head>"]
+        self.html: list[str] = []
         self.labels: list[int] = []
-        if self.chance(0.9):
-            self.html.append(f"<title>{self.prose(12)}</title>")
-            self.labels.append(0)
-        self.html.append("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>")
-        if self.chance(0.7):
+        bare = self.chance(0.05)  # a fragment: no head, and nothing before the article
+        if not bare:
+            self.html.append("<!DOCTYPE html><html><head>")
+            if self.chance(0.9):
+                self.html.append(f"<title>{self.prose(12)}</title>")
+                self.labels.append(0)
+            style, script = self.one(("p{margin:0}", "body > p { color: red }", "")), self.one(("var t='</p>';", "if (1 < 2) { go(); }", ""))
+            self.html.append(f"<style>{style}</style><script>{script}</script></head><body>")
+        if not bare and self.chance(0.7):
             self.inside(self.one(self._MENU), self.links(int(self.rng.integers(2, 9))))
-        for _ in range(int(self.rng.integers(0, 4))):
+        for _ in range(0 if bare else int(self.rng.integers(0, 4))):
             self.minor()
-        if self.chance(0.97):
+        if bare or self.chance(0.97):
             self.article()
         if self.chance(0.25):
             self.comments()
@@ -379,16 +394,14 @@ class PageWriter:
         return blocks("".join(self.html)), self.labels
 
 
-def _disturbed(found: dict[int, float], rng: np.random.Generator) -> dict[int, float]:
+def _disturbed(found: tuple[tuple[int, ...], list[int]], rng: np.random.Generator) -> tuple[tuple[int, ...], list[int]]:
     """A block's features with its words often missing or others, so that words alone decide nothing."""
-    is_word = range(PATH_BUCKETS, PATH_BUCKETS + WORD_BUCKETS)
-    words = [(k, w) for k, w in found.items() if k in is_word]
-    how = rng.random()
+    how, words = rng.random(), found[1]
     if how < 0.35:
         words = words[: int(rng.integers(0, 3))]
     elif how < 0.75:
-        words = [(k, 1.0) for k in (PATH_BUCKETS + rng.integers(0, WORD_BUCKETS, int(rng.integers(0, FULL_WORDS + 1)))).tolist()]
-    return {k: w for k, w in found.items() if k not in is_word} | dict(words)
+        words = rng.integers(0, WORD_BUCKETS, int(rng.integers(0, FULL_WORDS + 1))).tolist()
+    return found[0], words
 
 
 @lru_cache(maxsize=1)
