@@ -419,7 +419,7 @@ def test_log_frequency_filter():
     tokens = np.repeat(keys, rng.geometric(0.05, len(keys)))
     rng.shuffle(tokens)
     r = reduced(tokens, np.array([0]))
-    f = lm.Filter([lm.slice_of(r, 12)])
+    f = lm.Filter.of(lm.slice_of(r, 12))
     keys, counts = np.unique(tokens, return_counts=True)
     got, q = f.levels(keys, lm.TOKEN), lm.level(counts)
     assert (got >= q).all() and (got == q).mean() > 0.97
