@@ -362,6 +362,11 @@ def ranges(packed: DataFrame) -> int:
     return max(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
 
 
+def by_range(rows: DataFrame, n: int):
+    """rows grouped by range, a task for about each of n ranges: they are bounded in text, not in what is left of it."""
+    return rows.repartition(n, "range").groupBy("range")
+
+
 def remove_long_repeats(documents: DataFrame, digest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, and kept (the bytes left) or kept_sha256.
 
@@ -372,10 +377,10 @@ def remove_long_repeats(documents: DataFrame, digest: bool = False) -> DataFrame
     packed = pack(documents)
     n = ranges(packed)
     told = packed.select("seg", "sizes", "n_bytes", "pack").mapInPandas(_announce(n), "range int, seg bigint, shared boolean, keys binary")
-    shared = materialize(told.groupBy("range").applyInPandas(_meet, "seg bigint, keys binary"), "anchors", "none")
+    shared = materialize(by_range(told, n).applyInPandas(_meet, "seg bigint, keys binary"), "anchors", "none")
     known = with_rows(packed, shared, "keys")
     snippets = known.mapInPandas(_snippets(n), _SNIPPETS)
-    least = snippets.groupBy("range").applyInPandas(_match, _TOLD)
+    least = by_range(snippets, n).applyInPandas(_match, _TOLD)
     least = materialize(least.select("seg", F.struct("range", "told").alias("told")), "runs", "none")
     kind = "kept_sha256 string" if digest else "kept binary"
     return with_rows(known, least, "told").mapInPandas(_cut(n, not digest), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {kind}")
