@@ -73,6 +73,7 @@ def chunk_texts(df: DataFrame, text: str = "text", size: int = 128, overlap: int
     """
     step = max(1, size - overlap)
     whole = F.coalesce(F.col(text), F.lit(""))
+    # Never empty, so inline_outer: for inline the optimizer would filter on a copy of the whole expression, tokens and all.
     base = df.withColumn("_tok", tokens(whole)).withColumn("_len", utf16_length(whole)).withColumn("_n", F.size("_tok"))
 
     def place(tok: Column) -> Column:
@@ -86,7 +87,7 @@ def chunk_texts(df: DataFrame, text: str = "text", size: int = 128, overlap: int
     one = F.struct(F.lit(0).alias("chunk_index"), whole.alias("chunk_text"), F.lit(0).alias("start_index"), F.col("_len").alias("end_index"), F.col("_n").alias("token_count"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(step))
     base = base.withColumn("_chunks", F.when(F.col("_n") <= size, F.array(one)).otherwise(F.transform(starts, chunk)))
-    return base.select(*[F.col(c) for c in df.columns], F.inline("_chunks"))
+    return base.select(*[F.col(c) for c in df.columns], F.inline_outer("_chunks"))
 
 
 def lines_of(text: str | Column) -> Column:

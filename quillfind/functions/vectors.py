@@ -41,10 +41,15 @@ def dot_product(a: Column, b: Column) -> Column:
     return same_length(a, b, _sum(products, "double"))
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    """(cos + 1) / 2 of int8 vectors from exact integer sums; 0 when either is zero."""
-    dot = _sum(F.zip_with(a, b, lambda x, y: x.cast("bigint") * y.cast("bigint")), "bigint").cast("double")
-    na, nb = F.sqrt(_squares(a, "bigint")), F.sqrt(_squares(b, "bigint"))
+def norm(v: Column) -> Column:
+    """The Euclidean length of an int8 vector, from exact integer sums."""
+    return F.sqrt(_squares(v, "bigint"))
+
+
+def cosine_similarity(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """(cos + 1) / 2 of int8 vectors from exact integer sums; 0 when either is zero. Norms known before are not computed again."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("int") * y), F.lit(0), lambda s, x: s + x).cast("double")
+    na, nb = norm(a) if norm_a is None else norm_a, norm(b) if norm_b is None else norm_b
     score = F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise((dot / (na * nb) + 1) / 2)
     return same_length(a, b, score)
 

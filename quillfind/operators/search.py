@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillfind.functions import fts
 from quillfind.functions.text import fts_sanitise
-from quillfind.functions.vectors import cosine_similarity
+from quillfind.functions.vectors import cosine_similarity, norm
 from quillfind.operators.lsh import candidates, hash_vectors
 
 
@@ -35,11 +35,22 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0.0)
     queries (query_id, query) is the stated query set and is broadcast. The rank filter is applied in
     each partition before the exchange, so k rows a query and partition move.
     """
-    scored = vectors.crossJoin(F.broadcast(queries.select("query_id", "query")))
-    scored = scored.withColumn("score", cosine_similarity(F.col("query"), F.col("vector"))).where(F.col("score") >= min_score).drop("query")
+    scored = scored_pairs(vectors.withColumn("_norm_v", norm(F.col("vector"))).crossJoin(F.broadcast(with_norm(queries))), min_score)
     return ranked(scored, k)
 
 
+def with_norm(queries: DataFrame) -> DataFrame:
+    """The stated query set with the norm of each query."""
+    return queries.select("query_id", "query", norm(F.col("query")).alias("_norm_q"))
+
+
+def scored_pairs(pairs: DataFrame, min_score: float) -> DataFrame:
+    """Pairs (vector, query, _norm_q, and _norm_v where it is known) with their score, without what made it."""
+    norm_v = F.col("_norm_v") if "_norm_v" in pairs.columns else None
+    score = cosine_similarity(F.col("query"), F.col("vector"), F.col("_norm_q"), norm_v)
+    return pairs.withColumn("score", score).where(F.col("score") >= min_score).drop("query", "_norm_q", "_norm_v")
+
+
 def ranked(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -59,11 +70,11 @@ def vector_search(queries: DataFrame, vectors: DataFrame, notes: DataFrame, bloc
             index = hash_vectors(vectors.select("id", "vector"), planes).withColumnRenamed("id", "vector_id")
         asked = hash_vectors(queries.select("query_id", F.col("query").alias("vector")), planes).select("query_id", "bucket_hash")
         near = candidates(asked, index.select("bucket_hash", "vector_id"), options.top_k).select("query_id", F.col("vector_id").alias("id"))
-        pool = vectors.join(near, "id").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+        pool = vectors.join(near, "id").join(F.broadcast(with_norm(queries)), "query_id")
     else:
-        pool = vectors.crossJoin(F.broadcast(queries.select("query_id", "query")))
+        pool = vectors.withColumn("_norm_v", norm(F.col("vector"))).crossJoin(F.broadcast(with_norm(queries)))
     pool = pool.where(F.col("type").isin(*options.types) if options.types else F.lit(False))
-    pool = pool.withColumn("score", cosine_similarity(F.col("query"), F.col("vector"))).where(F.col("score") >= options.min_score)
+    pool = scored_pairs(pool, options.min_score)
     pool = pool.select("query_id", "id", "note_id", "chunk_id", "block_id", "type", "score")
     n = notes.select(F.col("id").alias("note_id"), F.col("path").alias("note_path"), F.col("name").alias("note_name"))
     if options.exclude_paths:
@@ -114,9 +125,9 @@ def search_fts_many(content: DataFrame, queries: DataFrame, limit: int, postings
     its terms as there are. Without postings the terms come from the texts.
     """
     q = queries.select("query_id", F.array_distinct(fts.fts_tokens(fts_sanitise(F.col("query")))).alias("_terms"))
-    q = q.select("query_id", F.size("_terms").alias("_n"), F.explode("_terms").alias("term"))
+    q = q.select("query_id", F.size("_terms").alias("_n"), F.explode_outer("_terms").alias("term"))
     if postings is None:
-        have = content.select("docid", F.explode(F.array_distinct(fts.fts_tokens(F.coalesce("content", F.lit(""))))).alias("term"))
+        have = content.select("docid", F.explode_outer(F.array_distinct(fts.fts_tokens(F.coalesce("content", F.lit(""))))).alias("term"))
     else:
         have = postings.where("column = 'content'").select("docid", "term")
     hits = have.join(F.broadcast(q), "term").groupBy("query_id", "docid").agg(F.count(F.lit(1)).alias("_have"), F.first("_n").alias("_n")).where("_have = _n")

@@ -46,7 +46,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = notes(spark, sf_dir).select("id", "doc_id", "created_at", "path", "name", F.posexplode(lines_of("text")).alias("ordinal", "line"))
+    n = notes(spark, sf_dir).select("id", "doc_id", "created_at", "path", "name", F.posexplode_outer(lines_of("text")).alias("ordinal", "line"))
     kinds = F.array(*map(F.lit, LINE_TYPES))
     content, end = F.col("line.content"), F.col("line.end")
     return n.select(

@@ -48,7 +48,7 @@ def line_kind(line):
 
 def blocks_of_lines(notes: DataFrame, now) -> DataFrame:
     """A block for each line that is not blank, with its kind and offsets."""
-    rows = notes.select(F.col("id").alias("note_id"), F.posexplode(lines_of("text")).alias("ordinal", "line")).select("note_id", "ordinal", "line.*")
+    rows = notes.select(F.col("id").alias("note_id"), F.posexplode_outer(lines_of("text")).alias("ordinal", "line")).select("note_id", "ordinal", "line.*")
 
     def place(col, offset):
         return F.struct(F.col("ordinal").alias("line"), col.cast("int").alias("col"), offset.cast("int").alias("offset"))
