@@ -20,8 +20,9 @@ from quillfind.streaming import files
 class Engine:
     """Tables live in the store; every job reads them, makes new ones and saves them together."""
 
-    def __init__(self, spark: SparkSession, root: str, provider: Provider, settings: Settings | None = None, seed: int = 42) -> None:
-        self.spark, self.store, self.provider, self.seed = spark, Store(spark, root), provider, seed
+    def __init__(self, spark: SparkSession, root: str, provider: Provider, settings: Settings | None = None, seed: int = 42, parts: int = 16) -> None:
+        """parts: partitions of a new store, in how many pieces a large vault is written."""
+        self.spark, self.store, self.provider, self.seed = spark, Store(spark, root, parts), provider, seed
         self.settings = settings or Settings()
         self.store.initialize()
 

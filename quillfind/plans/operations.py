@@ -427,7 +427,7 @@ def _told(e: Engine) -> DataFrame:
 @register(_counts())
 def engine_setup(spark, d):
     """A whole vault read, split, embedded and indexed: rows of each table."""
-    e = Engine(spark, _place(spark, "setup"), E.HashingEmbedder(16))
+    e = Engine(spark, _place(spark, "setup"), E.HashingEmbedder(16), parts=2)
     e.automatic_setup(_vault(spark, d))
     return _told(e)
 
@@ -435,7 +435,7 @@ def engine_setup(spark, d):
 @register(_counts("doc_id % 4 <> 1"))
 def engine_changes(spark, d):
     """The engine after a second scan with changed texts, and after notes are deleted: nothing is left behind."""
-    e = Engine(spark, _place(spark, "changes"), E.HashingEmbedder(16))
+    e = Engine(spark, _place(spark, "changes"), E.HashingEmbedder(16), parts=2)
     v = _vault(spark, d)
     other = v.withColumn("text", F.when(F.col("base_name").cast("bigint") % 3 == 0, F.lit("quite another text than before")).otherwise(F.col("text")))
     e.automatic_setup(other)
@@ -447,7 +447,7 @@ def engine_changes(spark, d):
 @register(_counts("doc_id % 4 <> 1").replace("notes AS (SELECT doc_id::VARCHAR AS id", "notes AS (SELECT doc_id::VARCHAR AS id"))
 def engine_file_events(spark, d):
     """The engine after file events: notes made, changed, moved and deleted with all that follows from them."""
-    e = Engine(spark, _place(spark, "events"), E.HashingEmbedder(16))
+    e = Engine(spark, _place(spark, "events"), E.HashingEmbedder(16), parts=2)
     v = _vault(spark, d)
     k = F.col("base_name").cast("bigint")
     e.automatic_setup(v.where(k % 4 != 2).withColumn("text", F.when(k % 4 == 3, F.lit("an older text that has changed since")).otherwise(F.col("text"))))
