@@ -59,10 +59,13 @@ def pack(documents: DataFrame, most: int = SEGMENT_BYTES) -> DataFrame:
     return materialize(texts(documents).mapInArrow(_pack(most), SCHEMA), "segments", "none")
 
 
-def with_rows(packed: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """packed with the list of each segment's values of column, none if it has none."""
+def with_rows(packed: DataFrame, rows: DataFrame, column: str, few: bool = False) -> DataFrame:
+    """packed with the list of each segment's values of column, none if it has none.
+
+    few: the rows are known to be so few that they go to every worker, and the segments stay where they are.
+    """
     listed = rows.groupBy("seg").agg(F.collect_list(column).alias(column))
-    return packed.join(listed, "seg", "left")
+    return packed.join(F.broadcast(listed) if few else listed, "seg", "left")
 
 
 def unpack(sizes: np.ndarray, n_bytes: int, data: bytes) -> Iterator[bytes]:
