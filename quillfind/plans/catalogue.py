@@ -49,10 +49,11 @@ def _queries(spark, d) -> DataFrame:
 _KNN = "s AS (SELECT q.vec_id AS query_id, v.id, v.type, v.note_id, " + _cos("q.vector", "v.vector") + " AS score FROM vectors v, vectors q WHERE {n})"
 
 
-@register("WITH " + fx.CTES["vectors"] + ",\n" + _KNN.format(n="q.vec_id = 0") + " SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
+@register("WITH " + fx.CTES["vectors"] + ",\n" + _KNN.format(n="q.vec_id % 50 = 0") + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score >= 0.6 QUALIFY rank <= 5")
 def vec_cosine_topk(spark, d):
-    q = _queries(spark, d).where("query_id = 0")  # the search for one text
-    return S.knn(q, fx.vectors(spark, d).select("id", "vector"), 10).select("id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """The five best of at least 0.6."""
+    found = S.knn(_queries(spark, d), fx.vectors(spark, d).select("id", "vector"), 5, 0.6)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("WITH " + fx.CTES["vectors"] + ",\n" + _KNN.format(n="q.vec_id % 50 = 0") + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10")
