@@ -71,7 +71,7 @@ def anchors(b: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarr
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     least = sliding_min(gram_hashes(b, gram), span - gram + 1)
     first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return least[first], first
+    return mix64(least[first]), first  # least hashes are small ones: spread anew, ranges are alike
 
 
 def _six(h: np.ndarray) -> bytes:
