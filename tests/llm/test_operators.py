@@ -278,6 +278,31 @@ def test_passages_with_text_between(spark):
     assert places == {(0, 60, 0, 60, 60), (160, 220, 60, 120, 60)}
 
 
+def fuzzy_copies(rng, n, k):
+    """n documents that hold a passage of k words, each with a word of its own in another place."""
+    one = [f"p{i}" for i in range(k)]
+    own = [f"v{i}" for i in range(9000)]
+    return [" ".join(rng.choices(own, k=9) + one[:at] + [f"x{i}"] + one[at + 1 :] + rng.choices(own, k=9)) for i, at in enumerate(rng.randrange(8, k - 8) for _ in range(n))]
+
+
+@pytest.mark.parametrize("n", [12, 160])
+def test_passages_link_all_pairs(spark, n):
+    """Neither the first nor the one before alone: each document is linked with all others, in groups above HOLDERS, too."""
+    texts = fuzzy_copies(random.Random(n), n, 70)
+    got = passages.shared_passages(table(spark, list(enumerate(texts)))).collect()
+    assert {(r.source_id, r.doc_id) for r in got} == {(i, j) for j in range(n) for i in range(j)}
+    for r in got:
+        a, b = texts[r.source_id].split()[r.source_start : r.source_end], texts[r.doc_id].split()[r.start_word : r.end_word]
+        assert len(a) == len(b) and r.n_equal == sum(x == y for x, y in zip(a, b)) >= 0.75 * len(a)
+
+
+def test_passages_of_copies_are_one_class(spark):
+    texts = fuzzy_copies(random.Random(3), 3, 60)
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[0].upper()), (4, texts[2]), (5, texts[1]), (6, texts[0]), (None, texts[0]), (8, "too short a text"), (9, "too short a text")]
+    got = {(r.source_id, r.doc_id) for r in passages.shared_passages(table(spark, rows)).collect()}
+    assert got == {(1, 3), (1, 6), (2, 5), (1, 2), (1, 4), (2, 4), (1, None), (2, None), (4, None)}
+
+
 def test_recall_of_fuzzy_passages(spark):
     rng = random.Random(6)
     rows = []
