@@ -303,6 +303,47 @@ def test_passages_of_copies_are_one_class(spark):
     assert got == {(1, 3), (1, 6), (2, 5), (1, 2), (1, 4), (2, 4), (1, None), (2, None), (4, None)}
 
 
+def test_passages_of_one_word(spark):
+    """A word that stands in a row more often here than there is found everywhere, by rows of the whole row there."""
+    rows = [(1, "x " + "de " * 47 + "la " * 47 + "y"), (2, "z " + "de " * 226 + "w " * 226 + "la " * 226 + "u")]
+    got = passages.shared_passages(table(spark, rows)).collect()
+    found = set().union(*(range(r.start_word, r.end_word) for r in got))
+    assert found >= {*range(1, 227 - 40), *range(1 + 226 * 2 + 40, 1 + 226 * 3)} and len(got) <= 40
+    assert {r.end_word for r in got} >= {227, 679} and {r.start_word for r in got} >= {1, 453}
+
+
+def test_rest_of_a_chain_is_a_chain():
+    """A match whose best chain goes through one that a better chain has stands alone."""
+    a0, b0 = np.array([0, 47, 47]), np.array([0, 47, 226])
+    got = passages.chains(a0, a0 + 47, b0, b0 + 47, np.array([47, 47, 47]))
+    assert got == [(94, [0, 1]), (47, [2])]
+
+
+def beside(words, at, step):
+    """The words beside a place, as segment_seeds packs them."""
+    out = 0
+    for k in range(passages.REACH):
+        if 0 <= at + k * step < len(words):
+            w = words[at + k * step]
+            out |= (w % 15 + 1) << (12 + 4 * k) if k else w & 0xFFFF | 1
+    return np.array([out], np.uint64)
+
+
+def test_growth_is_never_less_than_an_end_grows():
+    rng = random.Random(5)
+    ends = 0
+    for _ in range(3000):
+        few = rng.choice([2, 4, 30, 1000])
+        x, y = ([2 * rng.randrange(few) for _ in range(rng.choice([3, 12, 60]))] for _ in range(2))
+        step = rng.choice([1, -1])
+        at = [0 if step > 0 else len(w) - 1 for w in (x, y)]
+        bound = int(passages._growth(beside(x, at[0], step), beside(y, at[1], step))[0])
+        n, _ = passages.grow(x, y, *at, step)
+        assert n <= bound or bound == passages.ENDLESS
+        ends += bound < passages.ENDLESS
+    assert ends > 1500
+
+
 def test_recall_of_fuzzy_passages(spark):
     rng = random.Random(6)
     rows = []
