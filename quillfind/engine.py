@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfind.functions import fts
+from quillfind.functions.text import stable_id
 from quillfind.log import logger
 from quillfind.operators import ingest, lsh, maintenance, search
 from quillfind.operators.embed import EmbeddingService, Provider
@@ -34,7 +35,10 @@ class Engine:
         acted = ingest.upsert_actions(notes, later).select("path", "id", "action").persist()
         told = {r["action"]: r["n"] for r in acted.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
         changed = acted.where("action <> 'skip'")
-        if set(told) - {"skip"}:
+        if set(told) == {"insert"}:  # all are new: nothing to look up
+            fresh = later.select(stable_id(F.lit("note"), F.col("path")).alias("id"), now.alias("created_at"), now.alias("updated_at"), "path", "name", "base_name", "text")
+            self._save_notes(fresh, notes.limit(0), now)
+        elif set(told) - {"skip"}:
             hit = F.broadcast(changed.select("path")) if self._small(told) else changed.select("path")
             after = ingest.upsert_notes(notes.join(hit, "path", "left_semi"), later.join(hit, "path", "left_semi"), now)
             self._save_notes(after, notes.limit(0), now)
@@ -42,24 +46,45 @@ class Engine:
         return told
 
     @staticmethod
-    def _small(told: dict[str, int], most: int = 10_000) -> bool:
-        """Are the changed paths few enough to go to every worker?"""
+    def _small(told: dict[str, int], most: int = 250_000) -> bool:
+        """Are the changed notes few enough for their paths or ids to go to every worker?"""
         return sum(n for k, n in told.items() if k != "skip") <= most
 
     def _save_notes(self, changed: DataFrame, gone: DataFrame, now: Column) -> None:
         """Save changed notes (whole rows) with all that follows from them, and drop gone ones (id).
 
-        Only the partitions that these notes are in are read and written.
+        Only the partitions that these notes are in are read and written. Notes are written first; what follows
+        from them is made from their new partitions, so texts are dealt out once and not held meanwhile.
         """
-        changed = changed.persist()
-        both = changed.select("id").unionByName(gone.select("id"))
+        both = changed.select("id").unionByName(gone.select("id")).persist()
         parts = self.store.parts_of(both)
         if parts:
+            few = self._small({"": both.count()})
+            ids = F.broadcast(both) if few else both
             before = self.store.tables(parts)
-            after = ingest.cascade(before, changed, gone, lambda n: vaults.blocks_of_lines(n, now), self.provider, now)
-            notes = ingest.delete_for_notes(before["notes"].withColumnRenamed("id", "note_id"), both).withColumnRenamed("note_id", "id").unionByName(changed, allowMissingColumns=True)
-            self.store.save({"notes": notes, **after}, parts, {"fts_postings": lambda new: fts.postings(new["fts_content"]), **self._buckets()})
-        changed.unpersist()
+            first = not self.store.filled("notes", parts)
+            made: dict[str, DataFrame] = {}
+
+            def follows(name: str):
+                def make(new: dict[str, DataFrame]) -> DataFrame:
+                    if not made:
+                        fresh = new["notes"] if first else new["notes"].join(ids, "id", "left_semi")
+                        made.update(ingest.cascade(before, fresh, gone, lambda n: vaults.blocks_of_lines(n, now), self.provider, now, ids))
+                    return made[name]
+
+                return make
+
+            def indexed(new: dict[str, DataFrame]) -> DataFrame:
+                if first or not few:
+                    return fts.postings(new["fts_content"])
+                mine = ids.withColumnRenamed("id", "note_id")
+                fresh = fts.postings(new["fts_content"].join(mine, "note_id", "left_semi"))
+                return ingest.delete_for_notes(before["fts_postings"], ids).unionByName(fresh)
+
+            notes = ingest.delete_for_notes(before["notes"].withColumnRenamed("id", "note_id"), ids).withColumnRenamed("note_id", "id").unionByName(changed, allowMissingColumns=True)
+            tables = {name: follows(name) for name in ("blocks", "vectors", "chunks", "fts_content")}
+            self.store.save({"notes": notes}, parts, {**tables, "fts_postings": indexed, **self._buckets()})
+        both.unpersist()
 
     def _buckets(self) -> dict:
         """How lsh_buckets follow from vectors just written: nothing without an index."""
@@ -105,7 +130,9 @@ class Engine:
     def rebuild_index(self) -> None:
         v = self.store.table("vectors").where(F.col("vector").isNotNull()).select("id", "note_id", "vector")
         first = v.select(F.size("vector")).head()
-        self.store.save(lsh.build_index(v, first[0] if first else 0, self.seed, F.current_timestamp()))
+        made = lsh.build_index(v, first[0] if first else 0, self.seed, F.current_timestamp())
+        buckets = made.pop("lsh_buckets")
+        self.store.save(made, derived={"lsh_buckets": lambda new: buckets})
 
     def clear_index(self, config_id: str | None = None) -> None:
         """Drop the index, or one configuration of it; searches scan then."""
@@ -121,8 +148,7 @@ class Engine:
     def ensure_fts(self) -> None:
         """Keyword rows and postings for notes that have none; nothing is written when none lacks them."""
         t = self.store.tables()
-        missing = ingest.missing_fts_rows(t["notes"], t["blocks"], t["fts_content"])
-        lacking = missing.select("note_id").distinct()
+        lacking = t["notes"].select(F.col("id").alias("note_id")).join(t["fts_content"].select("note_id").distinct(), "note_id", "left_anti")
         parts = self.store.parts_of(lacking, "note_id")
         if parts:
             here = self.store.tables(parts)
@@ -151,9 +177,10 @@ class Engine:
             return True
         return False
 
-    def delete_notes(self, ids: list[str]) -> None:
-        """Delete notes with all that belongs to them."""
-        gone = self.store.table("notes").where(F.col("id").isin(ids))
+    def delete_notes(self, ids: list[str] | DataFrame) -> None:
+        """Delete notes with all that belongs to them: listed ones, or those of a table (id)."""
+        notes = self.store.table("notes")
+        gone = notes.join(ids.select("id").distinct(), "id", "left_semi") if isinstance(ids, DataFrame) else notes.where(F.col("id").isin(ids))
         self._save_notes(gone.limit(0), gone.select("id"), F.current_timestamp())
 
     def cleanup(self) -> dict[str, int]:

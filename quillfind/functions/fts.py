@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN = r"[a-z0-9\x{80}-\x{10FFFF}]+"
@@ -211,8 +216,61 @@ def wanted(tree, default: str = "content") -> Column:
     return out
 
 
+#: A token's byte for each byte of UTF-8, 0 where there is none; bytes of text that are indexed at once.
+_BYTES = np.zeros(256, np.uint8)
+_BYTES[128:] = np.arange(128, 256)
+for _c in LOWER + "0123456789":
+    _BYTES[ord(_c)] = _BYTES[ord(_c.upper())] = ord(_c)
+PIECE = 1 << 20
+
+
 def postings(content: DataFrame) -> DataFrame:
-    """The keyword index of content: term, column, docid, note_id and the term's positions in that column."""
-    columns = F.array(*[F.struct(F.lit(c).alias("column"), fts_tokens(F.coalesce(F.col(c), F.lit(""))).alias("tokens")) for c in COLUMNS])
-    rows = content.select("docid", "note_id", F.inline(columns)).select("docid", "note_id", "column", F.posexplode("tokens").alias("position", "term"))
-    return rows.groupBy("term", "column", "docid", "note_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    """The keyword index of content: term, column, docid, note_id and the term's positions in that column.
+
+    All postings of a row follow from the row, so nothing is exchanged; what is made together is in order of terms.
+    """
+    rows = content.select("docid", *[F.col(c).cast("string").alias(c) for c in COLUMNS])
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("column", T.StringType()), rows.schema["docid"], T.StructField("note_id", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+            cuts = np.r_[0, np.flatnonzero(np.diff(upto)) + 1, len(upto)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                piece = b.slice(lo, hi - lo)
+                yield from (p for p in (_column_postings(piece, c) for c in COLUMNS) if p.num_rows)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _column_postings(b: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    """Postings of one column of a batch, by term and row: tokens are runs of bytes, numbered in each row."""
+    text = pc.fill_null(b.column(column).cast(pa.large_string()), "")
+    n, (_, ends, data) = len(text), text.buffers()
+    ends = np.frombuffer(ends, np.int64)[text.offset : text.offset + n + 1]
+    data = _BYTES[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if data is not None else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    inside = data != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = ends[:-1][ends[:-1] < len(data)]
+    first[begins] = inside[begins]
+    start = np.flatnonzero(first)
+    row = np.searchsorted(ends, start, "right") - 1
+    count = np.bincount(row, minlength=n)
+    position = np.arange(len(start)) - np.repeat(np.cumsum(count) - count, count)
+    offsets = np.r_[np.cumsum(inside)[start] - 1, inside.sum()].astype(np.int64)
+    tokens = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data[inside])).dictionary_encode()
+    order = pc.array_sort_indices(tokens.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    # One number for term, row and position: sorted, it is the index.
+    span = int(position.max(initial=0)) + 1
+    packed = np.sort((place[tokens.indices.to_numpy()] * n + row) * span + position)
+    key = packed // span
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    rows = pa.array(key[at] % max(n, 1))
+    positions = pa.ListArray.from_arrays(pa.array(np.r_[at, len(key)], pa.int32()), pa.array(packed - key * span, pa.int32()))
+    term = tokens.dictionary.take(pa.array(order)).take(pa.array(key[at] // max(n, 1))).cast(pa.string())
+    names = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(at), np.int8)), pa.array([column])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([term, names, b.column("docid").take(rows), b.column("note_id").take(rows), positions], ["term", "column", "docid", "note_id", "positions"])

@@ -63,11 +63,11 @@ def delete_for_notes(df: DataFrame, notes: DataFrame, column: str = "note_id") -
 
 
 def upsert_actions(have: DataFrame, later: DataFrame) -> DataFrame:
-    """later (path, name, base_name, text) with id and action: insert, update or skip."""
-    old = have.select("path", F.col("id").alias("id"), F.col("name").alias("_n"), F.col("base_name").alias("_b"), F.col("text").alias("_t"))
-    same = F.col("text").eqNullSafe(F.col("_t")) & F.col("name").eqNullSafe(F.col("_n")) & F.col("base_name").eqNullSafe(F.col("_b"))
+    """later (path, name, base_name, text) with id and action: insert, update or skip. Texts are told apart by their digests, so stored ones stay where they are."""
+    old = have.select("path", F.col("id").alias("id"), F.col("name").alias("_n"), F.col("base_name").alias("_b"), F.sha2("text", 256).alias("_t"))
+    same = F.col("_d").eqNullSafe(F.col("_t")) & F.col("name").eqNullSafe(F.col("_n")) & F.col("base_name").eqNullSafe(F.col("_b"))
     action = F.when(F.col("id").isNull(), "insert").when(same, "skip").otherwise("update")
-    return later.join(old, "path", "left").withColumn("action", action).drop("_n", "_b", "_t")
+    return later.withColumn("_d", F.sha2("text", 256)).join(old, "path", "left").withColumn("action", action).drop("_n", "_b", "_t", "_d")
 
 
 def upsert_notes(have: DataFrame, later: DataFrame, now: Column) -> DataFrame:
@@ -102,8 +102,9 @@ def make_vectors(notes: DataFrame, blocks: DataFrame, provider: Provider, now: C
 def fts_rows(notes: DataFrame, blocks: DataFrame) -> DataFrame:
     """Keyword rows of notes and all blocks given: id, type, note_id, content, note_path, note_name, block_id."""
     n = notes.select(F.concat(F.lit("note_"), "id").alias("id"), F.lit("note").alias("type"), F.col("id").alias("note_id"), F.col("text").alias("content"), F.col("path").alias("note_path"), F.col("name").alias("note_name"), F.lit(None).cast("string").alias("block_id"))
-    names = notes.select(F.col("id").alias("note_id"), F.col("path").alias("note_path"), F.col("name").alias("note_name"))
-    b = blocks.join(names, "note_id").select(F.concat(F.lit("block_"), "id").alias("id"), F.lit("block").alias("type"), "note_id", "content", "note_path", "note_name", F.col("id").alias("block_id"))
+    if "note_path" not in blocks.columns:  # blocks just split know their note
+        blocks = blocks.join(notes.select(F.col("id").alias("note_id"), F.col("path").alias("note_path"), F.col("name").alias("note_name")), "note_id")
+    b = blocks.select(F.concat(F.lit("block_"), "id").alias("id"), F.lit("block").alias("type"), "note_id", "content", "note_path", "note_name", F.col("id").alias("block_id"))
     return n.unionByName(b)
 
 
@@ -121,13 +122,13 @@ def replace_fts_rows(content: DataFrame, changed: DataFrame, fresh: DataFrame) -
     return kept.unionByName(added.withColumn("docid", F.col("_top") + 1 + F.col("_seq")).drop("_top", "_seq"), allowMissingColumns=True)
 
 
-def cascade(tables: dict[str, DataFrame], changed: DataFrame, gone: DataFrame, vault_blocks, provider: Provider, now: Column) -> dict[str, DataFrame]:
+def cascade(tables: dict[str, DataFrame], changed: DataFrame, gone: DataFrame, vault_blocks, provider: Provider, now: Column, both: DataFrame | None = None) -> dict[str, DataFrame]:
     """blocks, vectors, chunks and fts_content after notes changed (whole rows) and notes went (id).
 
     What belonged to either goes; changed notes are split, embedded and indexed again. Chunks are not
-    made by ingest, so those of notes that stay are kept.
+    made by ingest, so those of notes that stay are kept. both: the ids of either, where they are known.
     """
-    both = changed.select("id").unionByName(gone.select("id"))
+    both = changed.select("id").unionByName(gone.select("id")) if both is None else both
     fresh = vault_blocks(changed)
     return {
         "blocks": replace_blocks(tables["blocks"], both, fresh),

@@ -47,8 +47,9 @@ def line_kind(line):
 
 
 def blocks_of_lines(notes: DataFrame, now) -> DataFrame:
-    """A block for each line that is not blank, with its kind and offsets."""
-    rows = notes.select(F.col("id").alias("note_id"), F.posexplode_outer(lines_of("text")).alias("ordinal", "line")).select("note_id", "ordinal", "line.*")
+    """A block for each line that is not blank, with its kind and offsets, and with its note's path and name where those are given."""
+    names = [c for c in ("path", "name") if c in notes.columns]
+    rows = notes.select(F.col("id").alias("note_id"), *[F.col(c).alias(f"note_{c}") for c in names], F.posexplode_outer(lines_of("text")).alias("ordinal", "line")).select("*", "line.*").drop("line")
 
     def place(col, offset):
         return F.struct(F.col("ordinal").alias("line"), col.cast("int").alias("col"), offset.cast("int").alias("offset"))
@@ -64,4 +65,5 @@ def blocks_of_lines(notes: DataFrame, now) -> DataFrame:
         anchor_id(F.col("content")).alias("anchor_id"),
         place(F.lit(0), F.col("end") - F.length("content")).alias("start_position"),
         place(F.length("content"), F.col("end")).alias("end_position"),
+        *[f"note_{c}" for c in names],
     )
