@@ -328,11 +328,11 @@ def _hybrid_sql(weight: float, exclude: str = "false") -> str:
 
 
 def _hybrid(spark, d, options: S.SearchOptions) -> DataFrame:
+    """Every text is read once for all queries; an index of all terms would be written for one reading."""
     n = fx.notes(spark, d)
     q = E.embed(_spoken(spark, d), E.HashingEmbedder(_DIMS)).withColumnRenamed("vector", "query")
     content = fx.fts_content(spark, d).where("type = 'note'")
-    note_ids = fx.fts_postings(spark, d).where(F.col("docid") < 1 << 40)  # notes come before blocks
-    out = S.hybrid_search(q, fx.note_vectors(spark, d), n, None, content, options, postings=note_ids)
+    out = S.hybrid_search(q, fx.note_vectors(spark, d), n, None, content, options)
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("score", 9).alias("score"), "key", "note_path")
 
 
