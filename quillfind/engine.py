@@ -14,6 +14,7 @@ from quillfind.operators import ingest, lsh, maintenance, search
 from quillfind.operators.embed import EmbeddingService, Provider
 from quillfind.settings import Settings, requires_reindex
 from quillfind.sources import vault as vaults
+from quillfind.sources.scratch import written
 from quillfind.sources.store import Store, part_of
 from quillfind.streaming import files
 
@@ -50,13 +51,13 @@ class Engine:
         """Are the changed notes few enough for their paths or ids to go to every worker?"""
         return sum(n for k, n in told.items() if k != "skip") <= most
 
-    def _save_notes(self, changed: DataFrame, gone: DataFrame, now: Column) -> None:
-        """Save changed notes (whole rows) with all that follows from them, and drop gone ones (id).
+    def _save_notes(self, changed: DataFrame, gone: DataFrame, now: Column, named: DataFrame | None = None) -> None:
+        """Save changed notes (whole rows) with all that follows from them, and drop gone ones (id). named: the changed ones' ids, where they are known.
 
         Only the partitions that these notes are in are read and written. Notes are written first; what follows
         from them is made from their new partitions, so texts are dealt out once and not held meanwhile.
         """
-        both = changed.select("id").unionByName(gone.select("id")).persist()
+        both = (changed.select("id") if named is None else named).unionByName(gone.select("id")).persist()
         parts = self.store.parts_of(both)
         if parts:
             few = self._small({"": both.count()})
@@ -102,18 +103,22 @@ class Engine:
     def apply_files(self, events: DataFrame, now: Column | None = None) -> None:
         """File events (event_id, ts, path, op, new_path, text) with all that follows: blocks, vectors, buckets and keywords.
 
-        Only notes of paths that the events name are looked at.
+        Only notes of paths that the events name are looked at. Texts stay where they are until it is known which notes change.
         """
         now = F.current_timestamp() if now is None else now
-        named = files.relevant(events).select(F.explode(F.array(F.col("path"), F.coalesce("new_path", "path"))).alias("path")).distinct()
-        before = self.store.table("notes").join(named, "path", "left_semi").persist()
-        after = files.apply_events(before, events, now).persist()
-        held = ("path", "name", "base_name", "text")
-        same = before.select("id", F.struct(*held).alias("_was"))
-        moved = after.join(same, "id", "left").where(~F.struct(*held).eqNullSafe(F.col("_was"))).drop("_was")
-        self._save_notes(moved, before.join(after, "id", "left_anti").select("id"), now)
-        before.unpersist()
-        after.unpersist()
+        notes, rows = self.store.table("notes").select(*files.NOTE), files.relevant(events).select("event_id", "ts", "path", "op", "new_path", "text")
+        told = files.referred(rows).persist()
+        named = told.select(F.explode(F.array(F.col("path"), F.coalesce("new_path", "path"))).alias("path")).distinct()
+        before, drop_before = written(files.referred(notes).join(named, "path", "left_semi"))
+        after, drop_after = written(files.apply_events(before, told, now))
+        held = F.struct("path", "name", "base_name", files.digest(F.col("text")))
+        same = before.select("id", held.alias("_was"))
+        moved, drop_moved = written(after.join(same, "id", "left").where(~held.eqNullSafe(F.col("_was"))).drop("_was"))
+        few = self._small({"": moved.count()}, 100_000)
+        self._save_notes(files.resolved(moved, [notes, rows], few), before.join(after, "id", "left_anti").select("id"), now, moved.select("id"))
+        told.unpersist()
+        for drop in (drop_moved, drop_after, drop_before):
+            drop()
 
     def watch(self, stream: DataFrame, checkpoint: str):
         """A streaming query that applies file events as they come."""

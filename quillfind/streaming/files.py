@@ -21,6 +21,35 @@ def relevant(events: DataFrame) -> DataFrame:
     return events.where(is_markdown(F.when(F.col("op") == "rename", F.coalesce("new_path", "path")).otherwise(F.col("path"))))
 
 
+def referred(rows: DataFrame) -> DataFrame:
+    """Notes or events with a reference in place of their text: its digest, and what names the row; null for none.
+
+    So texts stay where they are while events are put in order; resolved() brings them back.
+    """
+    what = ("id",) if "id" in rows.columns else ("ts", "event_id", "path", "op", "new_path")
+    named = [F.coalesce((F.unix_micros(F.col(c).cast("timestamp")) if c == "ts" else F.col(c)).cast("string"), F.lit("\0")) for c in what]
+    return rows.withColumn("text", F.concat(F.sha2("text", 256), F.lit(":"), F.sha2(F.concat_ws("\x1f", F.lit(what[0]), *named), 256)))
+
+
+def digest(reference: Column) -> Column:
+    """Of a reference the digest of its text."""
+    return F.substring(reference, 1, 64)
+
+
+def resolved(notes: DataFrame, sources: list[DataFrame], few: bool) -> DataFrame:
+    """notes with the texts that they refer to, of the rows in sources. few: the notes without texts may go to every worker."""
+    texts = None
+    for rows in sources:
+        kept = rows.withColumn("_text", F.col("text"))
+        own = referred(kept).select(F.col("text").alias("_ref"), "_text")
+        if "id" not in rows.columns and not own.groupBy("_ref").count().where("_ref IS NOT NULL AND count > 1").isEmpty():
+            own = own.dropDuplicates(["_ref"])  # an event that came twice
+        texts = own if texts is None else texts.unionByName(own)
+    some = notes.where("text IS NOT NULL").withColumnRenamed("text", "_ref")
+    found = texts.join(F.broadcast(some) if few else some, "_ref").withColumnRenamed("_text", "text")
+    return found.select(*NOTE).unionByName(notes.where("text IS NULL").select(*NOTE))
+
+
 def last_events(events: DataFrame) -> DataFrame:
     """The last event of each path; other files than .md are left out."""
     rows = relevant(events)
